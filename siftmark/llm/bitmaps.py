@@ -23,6 +23,15 @@ def hash_bitmap(hashes: DataFrame, column: str, bits: int = BITS) -> bytes:
     return bytes(out)
 
 
+def bitmap_of(hashes: np.ndarray, bits: int = BITS) -> bytes:
+    """As hash_bitmap, of hashes at hand."""
+    out = np.zeros(1 << bits, bool)
+    h = hashes.view(np.uint64)
+    for part in (h, h >> np.uint64(32)):
+        out[(part & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
 def probe(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes may be among those of the bitmap (bits: its bytes)."""
     mask = np.uint64(8 * len(bits) - 1)
