@@ -106,13 +106,14 @@ def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (np.stack([whole, stem], 1) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), np.searchsorted(starts, offsets)
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Cnn:
+def train(texts: list[np.ndarray], labels: np.ndarray, rate_of_ones: float | None = None, seed: int = 7) -> Cnn:
     """A network fitted to texts (arrays of word_ids) and labels (0 or 1), with one text in five kept for calibration.
 
     Words that occur in toxic texts clearly more or less often than in others
     begin with their smoothed log-odds as the first part of their embedding,
-    which the first filters read. Without both labels the score is the share
-    of label 1.
+    which the first filters read. rate_of_ones: the share of label 1 where the
+    scores are used, if it is not that of the labels given. Without both
+    labels the score is the share of label 1.
     """
     rng = np.random.default_rng(seed)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
@@ -180,6 +181,9 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Cnn:
             embedding[rows] -= rate * g / np.sqrt(square_e[rows])
             model._tables = []
     _calibrate(model, [texts[i] for i in np.flatnonzero(held)], labels[held])
+    if rate_of_ones is not None:
+        odds_of = lambda p: np.log(p / (1 - p))
+        model.shift += float(odds_of(np.clip(rate_of_ones, 1e-4, 1 - 1e-4)) - odds_of(share))
     return model
 
 
@@ -231,6 +235,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_each: int = MAX_EACH) -> Cn
     """A network from at most max_each documents of either label, with at most MAX_TRAIN_WORDS words each."""
     known = tk.durable(learnable(labels))
     order = F.xxhash64("doc_id")
+    count = dict(known.groupBy("toxic").count().collect())
     # at most 2 * max_each ids: small enough to broadcast and to bring their words to the driver
     chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(max_each).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(max_each))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
@@ -245,7 +250,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_each: int = MAX_EACH) -> Cn
     found = rows.mapInArrow(words, "doc_id long, toxic int, words binary").collect()
     found.sort(key=lambda r: (tk.mix(np.array([r.doc_id], np.int64).view(np.uint64))[0], bytes(r.words)))  # the same order whatever the partitions
     texts = [np.frombuffer(bytes(r.words), "<u4").astype(np.int64).reshape(-1, 2) for r in found]
-    return train([t if len(t) else np.full((1, 2), BUCKETS) for t in texts], np.array([r.toxic for r in found], np.int64))
+    return train([t if len(t) else np.full((1, 2), BUCKETS) for t in texts], np.array([r.toxic for r in found], np.int64), count.get(1, 0) / max(1, sum(count.values())))
 
 
 def score_documents(documents: DataFrame, model: Cnn) -> DataFrame:
