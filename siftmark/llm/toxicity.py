@@ -89,7 +89,8 @@ def _pooled(model: Cnn, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 def raw_scores(model: Cnn, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     words, begin = padded(ids, first)
-    return np.maximum(_pooled(model, words, begin), 0) @ model.out + model.bias
+    # summed row by row, so a text's score doesn't hang on its neighbours
+    return (np.maximum(_pooled(model, words, begin), 0).astype(np.float64) * model.out).sum(1) + model.bias
 
 
 def scores(model: Cnn, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
