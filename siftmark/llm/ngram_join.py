@@ -2,15 +2,16 @@
 
 Texts with equal shingle sets are one class. Classes are linked in two steps:
 
-1. Each class meets, for a few minhash values, the smallest class of its own
-   size band with the same value. That is linear in the input and joins nearly
+1. Each class meets, for a few minhash values, one class of its own size band
+   with the same value. That is linear in the input and joins nearly
    all near copies, however large their groups are.
 2. What may still be missing is a link between components. By the prefix
    rule, two sets with a Jaccard similarity of t or more share one of their
    first n - ceil(t * n) + 1 shingles in any common order. Shingles whose
    holders all lie in one component are settled; the holders of the others
-   meet in tiles of (shingle, size band), and every pair across components
-   with fitting sizes is compared.
+   meet in tiles of (shingle, size band). Of the pairs across components with
+   fitting sizes, the join itself keeps those that the shingle's places in the
+   two orders and the bit counts of two short bitmaps leave room for a link.
 
 A pair is compared by the parity bitmaps of the two sets first: each set bit
 of their exclusive or stands for at least one shingle in only one of them, so
@@ -38,6 +39,8 @@ PERMUTATIONS = 6
 HEAVY, HEAVY_LOCAL, HEAVY_TOTAL = 1 << 17, 4, 16
 #: Shingles between two counts of a task.
 STRETCH = 1 << 21
+#: 64-bit words of the short bitmaps that go along with the shingles of step 2.
+WORDS = 6
 _SHORT = tk.constants(WIDTH, 7)
 _CLASS = tk.constants(2, 8)
 _PERMUTE = tk.constants(PERMUTATIONS, 9)
@@ -74,6 +77,12 @@ def signature(shingles: np.ndarray) -> bytes:
     return np.packbits((np.bincount((shingles >> np.uint64(8) & np.uint64(n_bits - 1)).astype(np.int64), minlength=n_bits) & 1).astype(bool)).tobytes()
 
 
+def short_signature(shingles: np.ndarray) -> np.ndarray:
+    """Parities of a hashed bitmap of WORDS 64-bit words."""
+    n_bits = 64 * WORDS
+    return np.packbits((np.bincount((shingles >> np.uint64(24) & np.uint64(n_bits - 1)).astype(np.int64), minlength=n_bits) & 1).astype(bool)).view(np.int64)
+
+
 def may_link(n_a: int, sig_a: bytes, n_b: int, sig_b: bytes) -> bool:
     """Whether the bit counts leave room for a link. The larger bitmap is folded onto the smaller one."""
     a, b = np.frombuffer(sig_a, np.uint8), np.frombuffer(sig_b, np.uint8)
@@ -92,14 +101,14 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-_SET_ROW = "doc_id long, n long, class long, sig binary, mins array<long>, token long, count long"
+_SET_ROW = "doc_id long, n long, class long, sig binary, bits array<long>, mins array<long>, token long, count long"
 
 
 def _scan_sets(documents: DataFrame) -> DataFrame:
-    """A row (doc_id, n, class, sig, mins) for each document, and rows (token, count) of shingles that recur within a stretch of a task's texts."""
+    """A row (doc_id, n, class, sig, bits, mins) for each document, and rows (token, count) of shingles that recur within a stretch of a task's texts."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
         names = [x.split()[0] for x in _SET_ROW.split(", ")]
         pending: list[np.ndarray] = []
         size, seen = 0, set()
@@ -110,7 +119,7 @@ def _scan_sets(documents: DataFrame) -> DataFrame:
                 token, count = np.unique(np.concatenate(pending), return_counts=True)
                 often = count >= HEAVY_LOCAL
                 token, count = token[often].view(np.int64), count[often]
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(token), k) for k in kinds[:5]), pa.array(token), pa.array(count)], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(token), k) for k in kinds[:6]), pa.array(token), pa.array(count)], names=names)
             pending.clear()
             seen.clear()
             size = 0
@@ -119,18 +128,18 @@ def _scan_sets(documents: DataFrame) -> DataFrame:
             ids, rows = batch.column(0).to_pylist(), []
             for row, shingles in shingle_sets(batch.column(1)):
                 if not len(shingles):
-                    rows.append((ids[row], 0, None, None, None))
+                    rows.append((ids[row], 0, None, None, None, None))
                     continue
                 name = class_of(shingles)
-                rows.append((ids[row], len(shingles), name, signature(shingles), [int((shingles * k).min().view(np.int64)) for k in _PERMUTE]))
+                rows.append((ids[row], len(shingles), name, signature(shingles), short_signature(shingles), [int((shingles * k).min().view(np.int64)) for k in _PERMUTE]))
                 if name not in seen:
                     seen.add(name)
                     pending.append(shingles)
                     size += len(shingles)
                 if size >= STRETCH:
                     yield from heavy()
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds[:5], strict=True)), *(pa.nulls(len(rows), k) for k in kinds[5:])], names=names)
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds[:6], strict=True)), *(pa.nulls(len(rows), k) for k in kinds[6:])], names=names)
         yield from heavy()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(go, _SET_ROW)
@@ -156,7 +165,7 @@ def _by_class(documents: DataFrame, emit: Callable, schema: str, kinds: list[pa.
 
 
 def _prefixes(documents: DataFrame, heavy: list) -> DataFrame:
-    """(class, n, tokens): each class's first shingles; frequent ones come last, the rest in the order of their hashes."""
+    """(class, n, tokens, bits): each class's first shingles, in order, and its short signature; frequent shingles come last, the rest in the order of their hashes."""
     spark = documents.sparkSession
     token = np.array([t for t, _ in heavy], np.int64).view(np.uint64)
     order = np.argsort(token)
@@ -173,10 +182,11 @@ def _prefixes(documents: DataFrame, heavy: list) -> DataFrame:
             if found.any():
                 weight = np.zeros(n, np.int64)
                 weight[at[found]] = count[place[found]]
-                return name, n, shingles[np.lexsort((shingles, weight))[:p]].view(np.int64)
-        return name, n, shingles[:p].view(np.int64)
+                return name, n, shingles[np.lexsort((shingles, weight))[:p]].view(np.int64), short_signature(shingles)
+        return name, n, shingles[:p].view(np.int64), short_signature(shingles)
 
-    return _by_class(documents, emit, "class long, n long, tokens array<long>", [pa.int64(), pa.int64(), pa.list_(pa.int64())])
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return _by_class(documents, emit, "class long, n long, tokens array<long>, bits array<long>", kinds)
 
 
 def _verify(documents: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -247,19 +257,38 @@ def _band(n: Column) -> Column:
 
 
 def _star_pairs(classes: DataFrame) -> DataFrame:
-    """Each class with the least class of its band with an equal minhash value."""
-    values = classes.select("class", _band(F.col("n")).alias("band"), F.posexplode("mins").alias("no", "token"))
+    """Each class with one of its band with an equal minhash value: the first in an order of classes that differs from value to value."""
+    values = classes.select("class", "n", "bits", _band(F.col("n")).alias("band"), F.posexplode("mins").alias("no", "token"))
     key = ["no", "token", "band"]
-    least = values.groupBy(*key).agg(F.min("class").alias("b"), F.max("class").alias("last")).where("b <> last").drop("last")
-    return values.join(least, key).where("class <> b").select(F.col("class").alias("a"), "b").distinct()
+    order = F.struct(F.xxhash64("no", "class"), "class", "n", "bits")
+    first = values.groupBy(*key).agg(F.min(order).alias("p"), F.max("class").alias("last"), F.min("class").alias("first")).where("first <> last")
+    pivots = first.select(*key, F.col("p.class").alias("b"), F.col("p.n").alias("n_b"), *(F.col("p.bits")[i].alias(f"v{i}") for i in range(WORDS)))
+    words = [F.col("bits")[i].alias(f"w{i}") for i in range(WORDS)]
+    met = values.select(*key, F.col("class").alias("a"), F.col("n").alias("n_a"), *words).join(pivots, key)
+    return met.where((F.col("a") != F.col("b")) & _bits_leave_room()).select("a", "b").distinct()
+
+
+def _bits_leave_room() -> Column:
+    """Whether the short signatures w and v of sets of n_a and n_b shingles leave room for a link: 9 times the shingles in only one set are at most n_a + n_b."""
+    apart = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("w0").bitwiseXOR(F.col("v0"))))
+    return apart * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)
 
 
 def _cross_pairs(holders: DataFrame) -> DataFrame:
-    """Pairs across components of classes that hold a common token, whose sizes allow a link; holders: token, class, n, component."""
-    small = holders.select("token", _band(F.col("n")).alias("band"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    large = holders.select("token", F.explode(F.array(_band(F.col("n")), _band(F.col("n")) - 1)).alias("band"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    fits = (F.col("c_a") != F.col("c_b")) & (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
-    return small.join(large, ["token", "band"]).where(fits).select("a", "b").distinct()
+    """Pairs across components of classes that hold a common token and may be links; holders: token, place, class, n, component, bits.
+
+    All common shingles come at or after the first common one in both orders,
+    so for that one the smaller rest bounds the overlap; at other tokens the
+    pair may be passed over.
+    """
+    words = [F.col("bits")[i].alias(f"w{i}") for i in range(WORDS)]
+    left = holders.select("token", _band(F.col("n")).alias("band"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("place").alias("p_a"), *words)
+    both_bands = F.explode(F.array(_band(F.col("n")), _band(F.col("n")) - 1)).alias("band")
+    right = holders.select("token", both_bands, F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("place").alias("p_b"), *(F.col("bits")[i].alias(f"v{i}") for i in range(WORDS)))
+    total = F.col("n_a") + F.col("n_b")
+    sizes = (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
+    places = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) * (100 + PERCENT) >= total * PERCENT
+    return left.join(right, ["token", "band"]).where((F.col("c_a") != F.col("c_b")) & sizes & places & _bits_leave_room()).select("a", "b").distinct()
 
 
 def linked_documents(documents: DataFrame) -> DataFrame:
@@ -274,14 +303,16 @@ def linked_documents(documents: DataFrame) -> DataFrame:
     """
     scanned = tk.durable(_scan_sets(documents))
     docs = scanned.where("n is not null").select("doc_id", "n", "class")
-    classes = tk.durable(scanned.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("mins").alias("mins")))
+    classes = tk.durable(scanned.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"), F.first("mins").alias("mins")))
     tokens = scanned.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= HEAVY_TOTAL)
     heavy = tokens.orderBy(F.desc("count"), "token").limit(HEAVY).collect()
 
     stars = _verify(documents, _star_pairs(classes), classes)
     first = components(stars)
     mine = F.coalesce("component", "class").alias("component")
-    held = tk.durable(_prefixes(documents, heavy).join(first.withColumnRenamed("node", "class"), "class", "left").select("class", "n", mine, "tokens"))
+    # a class may come from several tasks; its rows are equal
+    prefixes = _prefixes(documents, heavy).groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "bits", "tokens")))
+    held = tk.durable(prefixes.join(first.withColumnRenamed("node", "class"), "class", "left").select("class", "n", mine, "bits", "tokens"))
     shared = held.select(F.explode("tokens").alias("token"), "component").groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     open_tokens = tk.durable(shared.where("low <> high").select("token"))
     bitmap = documents.sparkSession.sparkContext.broadcast(hash_bitmap(open_tokens, "token"))
@@ -289,15 +320,17 @@ def linked_documents(documents: DataFrame) -> DataFrame:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
-            column = batch.column(3)
+            column = batch.column(4)
             token = column.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
+            size = np.diff(column.offsets.to_numpy())
+            owner, place = np.repeat(np.arange(batch.num_rows), size), np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
             at = np.flatnonzero(probe(bits, token))
             owner = pa.array(owner[at])
-            yield pa.RecordBatch.from_arrays([pa.array(token[at]), *(batch.column(c).take(owner) for c in range(3))], names=["token", "class", "n", "component"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(place[at]), *(batch.column(c).take(owner) for c in range(4))], names=["token", "place", "class", "n", "component", "bits"])
 
-    holders = held.mapInArrow(pick, "token long, class long, n long, component long").distinct().join(open_tokens, "token", "left_semi")
-    cross = _verify(documents, _cross_pairs(tk.durable(holders)), classes)
+    # tokens that only the bitmap lets through are held within one component, so they make no pair
+    holders = held.mapInArrow(pick, "token long, place long, class long, n long, component long, bits array<long>")
+    cross = _verify(documents, _cross_pairs(holders), classes)
     whole = components(stars.union(cross))
     named = classes.join(whole.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", mine)
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
