@@ -8,7 +8,6 @@ A hash of a byte run is the polynomial sum of random per-byte values modulo
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +15,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.durable import kept as durable  # noqa: F401  the operators take it from here
+
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text hashed at once; temporaries take about 60 times as much.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -136,17 +137,15 @@ def words_list(text: str | None, kind: np.ndarray, values: np.ndarray) -> np.nda
     return words_of(data, np.array([0, len(data)]), kind, values)[0]
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+#: Rows that go to a Python worker at once: texts are long, so few rows are much data.
+BATCH_ROWS = 1000
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no earlier stage.
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds of its input, for the queries of this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
-    The folder is the session's spark.checkpoint.dir; only where none is set
-    (tests on one machine) a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
