@@ -16,8 +16,8 @@ from .textkit import read
 WINDOW = 4096
 #: Windows that a task keeps open at most; beyond it they are refilled from each other and all but one closed.
 MAX_OPEN = 2048
-#: Words whose ids a Python worker remembers.
-MAX_CACHED = 1 << 20
+#: Words whose ids a Python worker remembers from task to task, and pieces between spaces that it remembers within one.
+MAX_WORDS, MAX_PIECES = 1 << 19, 1 << 18
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: White space of the tokeniser's pattern \s; the tokeniser drops it and no token crosses it.
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -57,9 +57,9 @@ class Encoder(dict):
             ids = self._word(word) + (self._word(m[2]) if m[2] else b"")
         else:
             ids = self._encode(piece)
-        if len(self) >= MAX_CACHED:
+        if len(self) >= MAX_PIECES:
             self.clear()
-        if len(self.words) >= MAX_CACHED:
+        if len(self.words) >= MAX_WORDS:
             self.words.clear()
         if len(piece) <= 64:
             self[piece] = ids
@@ -214,6 +214,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str | None = None, end_
                     yield _table(packer.drain())
         packer.finish()
         yield _table(packer.drain())
+        encoder(path).clear()
 
     return documents.select("doc_id", "text").mapInArrow(pack, SCHEMA)
 
