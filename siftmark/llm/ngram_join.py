@@ -5,7 +5,9 @@ Texts with equal shingle sets are one class. Classes are linked in two steps:
 1. Each class meets, for a few minhash values, one class of its own size band
    with the same value. That is linear in the input and joins nearly
    all near copies, however large their groups are.
-2. What may still be missing is a link between components. By the prefix
+2. In each tile of (shingle, size band), as in step 3, each class meets one
+   other; a few likely pairs of any two components are tried.
+3. What may still be missing is a link between components. By the prefix
    rule, two sets with a Jaccard similarity of t or more share one of their
    first n - ceil(t * n) + 1 shingles in any common order. Shingles whose
    holders all lie in one component are settled; the holders of the others
@@ -35,12 +37,14 @@ from .bitmaps import bitmap_of, hash_bitmap, probe
 WIDTH, PERCENT = 5, 80
 #: Minhash values by which step 1 looks for partners; they affect speed only.
 PERMUTATIONS = 6
-#: The most frequent shingles come last in the order of step 2: so many at most, of those counted so often in one stretch of texts. They affect speed only.
+#: The most frequent shingles come last in the order of steps 2 and 3: so many at most, of those counted so often in one stretch of texts. They affect speed only.
 HEAVY, HEAVY_LOCAL, HEAVY_TOTAL = 1 << 17, 4, 16
 #: Shingles between two counts of a task.
 STRETCH = 1 << 21
-#: 64-bit words of the short bitmaps that go along with the shingles of step 2.
+#: 64-bit words of the short bitmaps that go along with the shingles of steps 2 and 3.
 WORDS = 6
+#: Pairs of two components that step 2 tries at most; they affect speed only.
+TRIES = 8
 _SHORT = tk.constants(WIDTH, 7)
 _CLASS = tk.constants(2, 8)
 _PERMUTE = tk.constants(PERMUTATIONS, 9)
@@ -190,8 +194,8 @@ def _prefixes(documents: DataFrame, heavy: list) -> DataFrame:
 
 
 def _verify(documents: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are links."""
-    sigs = classes.select("class", "n", "sig")
+    """The pairs (a, b) of classes that are links; pairs may have other columns."""
+    pairs, sigs = pairs.select("a", "b"), classes.select("class", "n", "sig")
     both = (
         pairs.join(sigs.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a")
         .join(sigs.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
@@ -268,10 +272,13 @@ def _star_pairs(classes: DataFrame) -> DataFrame:
     return met.where((F.col("a") != F.col("b")) & _bits_leave_room()).select("a", "b").distinct()
 
 
+def _bits_apart() -> Column:
+    return sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("w0").bitwiseXOR(F.col("v0"))))
+
+
 def _bits_leave_room() -> Column:
     """Whether the short signatures w and v of sets of n_a and n_b shingles leave room for a link: 9 times the shingles in only one set are at most n_a + n_b."""
-    apart = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("w0").bitwiseXOR(F.col("v0"))))
-    return apart * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)
+    return _bits_apart() * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)
 
 
 def _cross_pairs(holders: DataFrame) -> DataFrame:
@@ -288,7 +295,36 @@ def _cross_pairs(holders: DataFrame) -> DataFrame:
     total = F.col("n_a") + F.col("n_b")
     sizes = (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
     places = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) * (100 + PERCENT) >= total * PERCENT
-    return left.join(right, ["token", "band"]).where((F.col("c_a") != F.col("c_b")) & sizes & places & _bits_leave_room()).select("a", "b").distinct()
+    return left.join(right, ["token", "band"]).where((F.col("c_a") != F.col("c_b")) & sizes & places & _bits_leave_room()).select("a", "b", "c_a", "c_b").distinct()
+
+
+def _pivot_pairs(holders: DataFrame) -> DataFrame:
+    """For each pair of components that meet so, a few pairs of classes whose bit counts leave most room for a link: each holder meets one holder of its (token, size band).
+
+    That is linear in the holders. It merges most of what step 1 left apart in
+    large groups, so that few of their pairs meet in _cross_pairs().
+    """
+    key = ["token", "band"]
+    rows = holders.withColumn("band", _band(F.col("n")))
+    order = F.struct(F.xxhash64("token", "class"), "class", "n", "component", "bits")
+    pivots = rows.groupBy(*key).agg(F.min(order).alias("p")).select(*key, F.col("p.class").alias("b"), F.col("p.n").alias("n_b"), F.col("p.component").alias("c_b"), *(F.col("p.bits")[i].alias(f"v{i}") for i in range(WORDS)))
+    words = [F.col("bits")[i].alias(f"w{i}") for i in range(WORDS)]
+    met = rows.select(*key, F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), *words).join(pivots, key).where((F.col("c_a") != F.col("c_b")) & _bits_leave_room())
+    room = F.struct((_bits_apart() / (F.col("n_a") + F.col("n_b"))).alias("apart"), "a", "b", "c_a", "c_b")
+    several = F.pmod(F.xxhash64("token"), F.lit(TRIES)).alias("try")
+    best = met.groupBy(F.least("c_a", "c_b").alias("low"), F.greatest("c_a", "c_b").alias("high"), several).agg(F.min(room).alias("best"))
+    return best.select("best.a", "best.b", "best.c_a", "best.c_b").distinct()
+
+
+def _between(linked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The links (a, b) of classes as links of their components."""
+    return linked.join(pairs, ["a", "b"]).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+
+
+def _renamed(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """rows with the components (node) that were merged under their new names."""
+    names = merged.select(F.col("node").alias("component"), F.col("component").alias("_name"))
+    return rows.join(names, "component", "left").withColumn("component", F.coalesce("_name", "component")).drop("_name")
 
 
 def linked_documents(documents: DataFrame) -> DataFrame:
@@ -329,10 +365,15 @@ def linked_documents(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(place[at]), *(batch.column(c).take(owner) for c in range(4))], names=["token", "place", "class", "n", "component", "bits"])
 
     # tokens that only the bitmap lets through are held within one component, so they make no pair
-    holders = held.mapInArrow(pick, "token long, place long, class long, n long, component long, bits array<long>")
-    cross = _verify(documents, _cross_pairs(holders), classes)
-    whole = components(stars.union(cross))
-    named = classes.join(whole.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", mine)
+    holders = tk.durable(held.mapInArrow(pick, "token long, place long, class long, n long, component long, bits array<long>"))
+    best = tk.durable(_pivot_pairs(holders))
+    merged = components(_between(_verify(documents, best, classes), best))
+    still = _renamed(holders, merged)
+    shared = still.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    cross = tk.durable(_cross_pairs(still.join(shared, "token")))
+    last = components(_between(_verify(documents, cross, classes), cross))
+    named = classes.join(first.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", mine)
+    named = _renamed(_renamed(named, merged), last)
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     answer = tk.durable(named.join(least, "component").select("class", "component_id"))
     return docs.join(answer, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("component_id", "doc_id").alias("component_id"))
