@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from .textkit import durable, read
 #: Rolling hash of a line i: (value of line i + FACTOR * value of line i - 1) modulo PRIME.
 FACTOR, PRIME = 31337, 2**31 - 1
 _LIMIT = (1 << 63) - 1
+_SPACE = " \t\n\v\f\r"
 
 
 def cut(text: str) -> tuple[list[str], list[int]]:
@@ -47,6 +49,11 @@ def _key(doc_id: Column, text: Column) -> Column:
     return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), text))
 
 
+def _texts(documents: DataFrame) -> DataFrame:
+    # the doc_id is widened here, so that other names and types of it don't matter further on
+    return documents.select(_key(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def _chunk_hashes(texts: DataFrame) -> DataFrame:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,8 +94,7 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
     chunks whose hash recurs (as a bitmap of fixed size tells, with few
     others) are moved with their bytes, and only equal bytes count as repeats.
     """
-    # the doc_id is widened here, so that other names and types of it don't matter further on
-    texts = documents.select(_key(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = _texts(documents)
     again = _chunk_hashes(texts).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
     bitmap = documents.sparkSession.sparkContext.broadcast(hash_bitmap(again, "h1"))
     chunks = durable(_chunk_texts(texts, bitmap))
@@ -97,20 +103,14 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
     return chunks.join(first, ["h1", "chunk"]).where((F.col("key") != F.col("first.key")) | (F.col("no") != F.col("first.no"))).select("key", "no").distinct()
 
 
-def dedup_lines(documents: DataFrame, text_as: str = "text") -> DataFrame:
-    """documents with the repeated chunks cut out of text, and n_lines_before, n_lines_removed, n_chunks_removed (long).
-
-    The first place of a chunk keeps it, the others lose its lines. A text of
-    which nothing is left is empty and has all its lines removed. A null text
-    stays null, with no lines. Rows with equal doc_id and text are one
-    document repeated and get the same result; null doc_ids come last. All
-    other columns are carried along, whatever their names.
-    """
-    removed = repeated_chunks(documents).groupBy("key").agg(F.collect_list("no").alias("gone"))
+def _cut_out(documents: DataFrame, removed: DataFrame, kept_of: Callable[[str, set[int]], tuple[list[str], int]], text_as: str, pieces: str) -> DataFrame:
+    """documents with what kept_of() leaves of a text without its removed (key, no), and n_lines_before, n_lines_removed, pieces."""
+    gone = removed.groupBy("key").agg(F.collect_set("no").alias("gone"))
     rows = documents.select(F.struct("*").alias("row"), _key(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("key"))
-    joined = rows.join(removed, "key", "left")
+    joined = rows.join(gone, "key", "left")
+    added = ("n_lines_before", "n_lines_removed", pieces)
 
-    @F.pandas_udf("text string, n_lines_before long, n_lines_removed long, n_chunks_removed long")
+    @F.pandas_udf(f"text string, {', '.join(f'{c} long' for c in added)}")
     def strip(texts, gone):
         import pandas as pd
 
@@ -119,17 +119,113 @@ def dedup_lines(documents: DataFrame, text_as: str = "text") -> DataFrame:
             if text is None:
                 out.append((None, 0, 0, 0))
                 continue
+            n = text.count("\n") + 1
             if numbers is None:
-                out.append((text, text.count("\n") + 1, 0, 0))
+                out.append((text, n, 0, 0))
                 continue
-            (lines, starts), drop = cut(text), set(map(int, numbers))
-            kept = [x for no, (i, j) in enumerate(zip(starts, starts[1:], strict=False)) if no not in drop for x in lines[i:j]]
-            out.append(("\n".join(kept), len(lines), len(lines) - len(kept), len(drop)))
-        return pd.DataFrame(out, columns=["text", "n_lines_before", "n_lines_removed", "n_chunks_removed"])
+            kept, cuts = kept_of(text, set(map(int, numbers)))
+            out.append(("\n".join(kept), n, n - len(kept), cuts))
+        return pd.DataFrame(out, columns=["text", *added])
 
     done = joined.select("row", strip(F.col("row.text"), F.col("gone")).alias("cut"))
-    names = [c for c in documents.columns if c.lower() not in ("n_lines_before", "n_lines_removed", "n_chunks_removed")]
-    return done.select(*((F.col("cut.text").alias(text_as) if c == "text" else F.col(f"row.`{c}`").alias(c)) for c in names), "cut.n_lines_before", "cut.n_lines_removed", "cut.n_chunks_removed")
+    names = [c for c in documents.columns if c.lower() not in added]
+    return done.select(*((F.col("cut.text").alias(text_as) if c == "text" else F.col(f"row.`{c}`").alias(c)) for c in names), *(f"cut.{c}" for c in added))
+
+
+def _without_chunks(text: str, drop: set[int]) -> tuple[list[str], int]:
+    lines, starts = cut(text)
+    return [x for no, (i, j) in enumerate(zip(starts, starts[1:], strict=False)) if no not in drop for x in lines[i:j]], len(drop)
+
+
+def dedup_lines(documents: DataFrame, text_as: str = "text") -> DataFrame:
+    """documents with the repeated chunks cut out of text, and n_lines_before, n_lines_removed, n_chunks_removed (long).
+
+    The first place of a chunk keeps it, the others lose its lines. A text of
+    which nothing is left is empty and has all its lines removed. A null text
+    stays null, with no lines. Rows with equal doc_id and text are one
+    document repeated and get the same result; null doc_ids come last. All
+    other columns are carried along, whatever their names.
+    """
+    return _cut_out(documents, repeated_chunks(documents), _without_chunks, text_as, "n_chunks_removed")
+
+
+def _windows(text: str) -> Iterator[tuple[int, bytes]]:
+    """(first line, SHA-256) of every two lines in a row that have a word."""
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    for no, (a, b) in enumerate(zip(lines, lines[1:], strict=False)):
+        if a.strip() or b.strip():
+            yield no, hashlib.sha256(a + b"\n" + b).digest()
+
+
+def _head(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def _window_hashes(texts: DataFrame) -> DataFrame:
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h1, n = np.unique(np.array([_head(digest) for text in batch.column(2) for _, digest in _windows(text.as_py())], np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(n.astype(np.int64))], names=["h1", "n"])
+
+    return texts.mapInArrow(go, "h1 long, n long")
+
+
+def _window_digests(texts: DataFrame, bitmap) -> DataFrame:
+    """The windows that may be repeated."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        for batch in batches:
+            keys, ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for key, doc, text in zip(keys, ids, batch.column(2), strict=True):
+                found = list(_windows(text.as_py()))
+                hit = probe(bits, np.array([_head(digest) for _, digest in found], np.int64))
+                rows.extend((key, doc, *found[i]) for i in np.flatnonzero(hit))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "doc_id", "no", "digest"])
+
+    return texts.mapInArrow(go, "key string, doc_id long, no long, digest binary")
+
+
+def repeated_windows(documents: DataFrame) -> DataFrame:
+    """(key, no) of every two-line window that occurs at an earlier place (as in repeated_chunks()) with which it has no line in common.
+
+    A passage of two lines or more is repeated just when all its windows are,
+    so these windows cover the repeated passages of any length from their
+    first line to their last, whatever is around them.
+    """
+    texts = _texts(documents)
+    again = _window_hashes(texts).groupBy("h1").agg(F.sum("n").alias("n")).where("n > 1").select("h1")
+    bitmap = documents.sparkSession.sparkContext.broadcast(hash_bitmap(again, "h1"))
+    windows = durable(_window_digests(texts, bitmap))
+    place = F.struct(F.coalesce("doc_id", F.lit(_LIMIT)).alias("doc_id"), "key", "no")
+    first = durable(windows.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last"))
+    return windows.join(first, "digest").where((F.col("key") != F.col("first.key")) | (F.col("no") > F.col("first.no") + 1)).select("key", "no")
+
+
+def _without_windows(text: str, drop: set[int]) -> tuple[list[str], int]:
+    """The lines in no window of drop, and the number of passages cut; blank lines go with them where no kept line is beside them."""
+    lines = text.split("\n")
+    gone = [i in drop or i - 1 in drop for i in range(len(lines))]
+    kept, passages = [], 0
+    runs = [(out, [lines[i] for i in at]) for out, at in groupby(range(len(lines)), gone.__getitem__)]
+    blank = [not out and not any(x.strip(_SPACE) for x in run) for out, run in runs]
+    for out, alike in groupby(zip(runs, blank, strict=True), lambda x: x[0][0] or x[1]):
+        if out:
+            passages += 1
+        else:
+            kept += [x for (_, run), _ in alike for x in run]
+    return kept, passages
+
+
+def dedup_passages(documents: DataFrame, text_as: str = "text") -> DataFrame:
+    """As dedup_lines(), for whole passages: every line goes that is in a passage of two lines or more (one with a word) found at an earlier place; n_passages_removed in place of n_chunks_removed.
+
+    The first place of a line always keeps it, and a copy of a text of two
+    lines or more loses all its lines.
+    """
+    return _cut_out(documents, repeated_windows(documents), _without_windows, text_as, "n_passages_removed")
 
 
 def op2_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

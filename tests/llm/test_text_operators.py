@@ -152,6 +152,17 @@ def test_repeated_chunks_are_cut(spark):
     assert got[12].text == "\n"
 
 
+@pytest.mark.parametrize("n", range(2, 9))
+def test_whole_passages_are_cut(spark, n):
+    own = lambda d, k: [f"{d} own {n} {i}" for i in range(k)]
+    passage = [f"passage {n} {i}" for i in range(n)]
+    texts = {d: own(d, 3) + passage + own(f"{d} end", 4) for d in range(12)}
+    got = {r.doc_id: r for r in line_dedup.dedup_passages(frame(spark, [(d, "\n".join(t)) for d, t in texts.items()])).collect()}
+    assert got[0].n_lines_removed == 0 and got[0].text == "\n".join(texts[0])
+    for d in range(1, 12):
+        assert got[d].text.split("\n") == [x for x in texts[d] if not x.startswith("passage")] and (got[d].n_lines_removed, got[d].n_passages_removed) == (n, 1)
+
+
 # n-gram join
 
 
