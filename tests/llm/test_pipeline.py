@@ -34,3 +34,11 @@ def test_stages_one_by_one(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns[:2] == ["doc_id", "start"]
+
+
+def test_copies_of_whole_documents_go(spark):
+    texts = {n: "\n".join(f"copy {n} line {i}" for i in range(n)) for n in range(2, 30)}
+    rows = [*texts.items(), *((100 + n, t) for n, t in texts.items())]
+    docs = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long")
+    left = {r.doc_id: r for r in corpus_pipeline.lines(spark, docs, SF).collect()}
+    assert set(left) == set(texts) and all(left[d].text == t for d, t in texts.items())

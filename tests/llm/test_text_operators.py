@@ -163,6 +163,15 @@ def test_whole_passages_are_cut(spark, n):
         assert got[d].text.split("\n") == [x for x in texts[d] if not x.startswith("passage")] and (got[d].n_lines_removed, got[d].n_passages_removed) == (n, 1)
 
 
+def test_copies_lose_all_their_lines(spark):
+    texts = {n: "\n".join(f"copy {n} line {i}" for i in range(n)) for n in range(2, 30)} | {40: "head\n\n\n\n\nfoot\n\n\n\n"}
+    rows = [*texts.items(), *((100 + n, t) for n, t in texts.items()), (None, texts[7]), (200, "x\nx\nx"), (201, None), (202, "one line"), (203, "one line")]
+    got = {r.doc_id: r for r in line_dedup.dedup_passages(frame(spark, rows)).collect()}
+    assert all(got[n].n_lines_removed == 0 and got[n].text == t for n, t in texts.items())
+    assert all(got[d].text == "" and got[d].n_lines_removed == got[d].n_lines_before for d in [*(100 + n for n in texts), None])
+    assert (got[200].text, got[201].text, got[203].text) == ("x\nx\nx", None, "one line")
+
+
 # n-gram join
 
 
