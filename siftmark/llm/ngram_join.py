@@ -105,15 +105,15 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-_SET_ROW = "doc_id long, n long, class long, sig binary, bits array<long>, mins array<long>, token long, count long"
+_SET_ROW = "n long, class long, sig binary, bits array<long>, mins array<long>, token long, count long"
 
 
-def _scan_sets(documents: DataFrame) -> DataFrame:
+def _scan_sets(documents: DataFrame, id_type: str = "long") -> DataFrame:
     """A row (doc_id, n, class, sig, bits, mins) for each document, and rows (token, count) of shingles that recur within a stretch of a task's texts."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
-        names = [x.split()[0] for x in _SET_ROW.split(", ")]
+        kinds = [{"long": pa.int64(), "string": pa.string()}[id_type], pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+        names = ["doc_id", *(x.split()[0] for x in _SET_ROW.split(", "))]
         pending: list[np.ndarray] = []
         size, seen = 0, set()
 
@@ -146,7 +146,7 @@ def _scan_sets(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds[:6], strict=True)), *(pa.nulls(len(rows), k) for k in kinds[6:])], names=names)
         yield from heavy()
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(go, _SET_ROW)
+    return documents.select(F.col("doc_id").cast(id_type).alias("doc_id"), "text").mapInArrow(go, f"doc_id {id_type}, {_SET_ROW}")
 
 
 def _by_class(documents: DataFrame, emit: Callable, schema: str, kinds: list[pa.DataType]) -> DataFrame:
@@ -327,7 +327,7 @@ def _renamed(rows: DataFrame, merged: DataFrame) -> DataFrame:
     return rows.join(names, "component", "left").withColumn("component", F.coalesce("_name", "component")).drop("_name")
 
 
-def linked_documents(documents: DataFrame) -> DataFrame:
+def linked_documents(documents: DataFrame, id_type: str = "long") -> DataFrame:
     """doc_id, n_shingles, class (null without words), component_id of every row.
 
     Two documents link when 100 * common >= 80 * union over their distinct
@@ -335,9 +335,10 @@ def linked_documents(documents: DataFrame) -> DataFrame:
     component_id is the smallest doc_id reachable by links; without words
     (null, empty or blank text) a document links with nothing. Repeated rows
     each get their row; null doc_ids count only where a component has no
-    other. Columns other than doc_id and text are not read.
+    other. Columns other than doc_id and text are not read. id_type is long
+    or string, and also the order of the ids.
     """
-    scanned = tk.durable(_scan_sets(documents))
+    scanned = tk.durable(_scan_sets(documents, id_type))
     docs = scanned.where("n is not null").select("doc_id", "n", "class")
     classes = tk.durable(scanned.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"), F.first("mins").alias("mins")))
     tokens = scanned.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= HEAVY_TOTAL)

@@ -89,8 +89,8 @@ def count_texts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     ]
 
 
-def count_words(documents: DataFrame) -> DataFrame:
-    """doc_id, lang, source and COUNTS of every document."""
+def count_words(documents: DataFrame, id_type: str = "long") -> DataFrame:
+    """doc_id (id_type), lang, source and COUNTS of every document."""
     names = ("doc_id", "lang", "source", *COUNTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +99,8 @@ def count_words(documents: DataFrame) -> DataFrame:
                 kept = [batch.column(c).slice(i, j - i) for c in range(3)]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x.astype(np.int64)) for x in count_texts(data, offsets))], names=list(names))
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
-    return rows.mapInArrow(count, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
+    rows = documents.select(F.col("doc_id").cast(id_type).alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
+    return rows.mapInArrow(count, f"doc_id {id_type}, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _value(metric: str) -> Column:
@@ -141,7 +141,7 @@ def thresholds(bins: DataFrame) -> DataFrame:
     return chosen.select("lang", "source", "metric", F.when(metric(4), F.col("q2") - reach).alias("low"), (F.col("q2") + reach).alias("high"))
 
 
-def judge(documents: DataFrame) -> DataFrame:
+def judge(documents: DataFrame, id_type: str = "long") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed (names of the metrics outside their fences).
 
     base_failed: under 50 words, or over half of them in repeated three-word
@@ -149,7 +149,7 @@ def judge(documents: DataFrame) -> DataFrame:
     empty texts have no words and fail; null languages and sources are groups
     of their own; repeated rows each get their row. Other columns are not read.
     """
-    counts = tk.durable(count_words(documents))
+    counts = tk.durable(count_words(documents, id_type))
     limits = thresholds(sketch(counts))
     wide = tk.durable(
         limits.groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(

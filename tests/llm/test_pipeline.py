@@ -42,3 +42,16 @@ def test_copies_of_whole_documents_go(spark):
     docs = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long")
     left = {r.doc_id: r for r in corpus_pipeline.lines(spark, docs, SF).collect()}
     assert set(left) == set(texts) and all(left[d].text == t for d, t in texts.items())
+
+
+def test_rows_are_judged_one_by_one(spark):
+    words = lambda seed, n: " ".join(f"w{seed}{chr(97 + i % 26)}{i * i % 89}" for i in range(n))
+    near, good, other = words("n", 200), words("g", 200), words("o", 200)
+    schema = "doc_id long, text string, lang string, source string"
+    frame = lambda rows: spark.createDataFrame([(d, t, "en", "s") for d, t in rows], schema)
+    rows = [(None, near), (None, near), (None, near + " more"), (4, near), (4, near), (4, near + " more"), (-9, good), (5, good), (None, good), (7, other), (7, words("x", 90)), (None, None), (None, None)]
+    left = sorted((str(r.doc_id), r.text or "") for r in corpus_pipeline.near_duplicates(spark, frame(rows), SF).collect())
+    assert left == sorted([("4", near) if ("4", near) in left else ("4", near + " more"), ("-9", good), ("7", other), ("7", words("x", 90)), ("None", ""), ("None", "")])
+    rows = [(None, good), (None, "too short"), (3, other), (3, "short too"), (None, None), (5, "short"), (6, near)]
+    left = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.quality(spark, frame(rows), SF).collect())
+    assert left == sorted([("None", good), ("3", other), ("6", near)])
