@@ -135,6 +135,54 @@ def contaminated_passages(documents: DataFrame, benchmark: DataFrame) -> DataFra
     )
 
 
+def _short_items(benchmark: DataFrame) -> DataFrame:
+    """n, seed, words of the items of fewer than SPAN words, each once."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in tk.text_chunks(batch.column(0)):
+                words, _, _, first = tk.words_of(data, offsets, tk.ALNUM, tk.FOLDED)
+                short = [words[a:b] for a, b in zip(first, first[1:], strict=False) if 0 < b - a < SPAN]
+                seeds = [tk.gram_hashes(w, len(w)).view(np.int64)[0] for w in short]
+                yield pa.RecordBatch.from_arrays([pa.array([len(w) for w in short], pa.int64()), pa.array(seeds, pa.int64()), pa.array([w.view(np.int64) for w in short], pa.list_(pa.int64()))], names=["n", "seed", "words"])
+
+    return benchmark.select("text").mapInArrow(go, "n long, seed long, words array<long>").distinct()
+
+
+def _whole_items(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id of the documents that hold all words of one of the short items, in a row."""
+    lengths = sorted(r.n for r in items.select("n").distinct().collect())
+    bitmap = documents.sparkSession.sparkContext.broadcast(hash_bitmap(items, "seed"))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for i, _, data, offsets in tk.text_chunks(batch.column(1)):
+                words, _, _, first = tk.words_of(data, offsets, tk.ALNUM, tk.FOLDED)
+                found = {}
+                for n in lengths:
+                    hashes = tk.gram_hashes(words, n)
+                    at = np.flatnonzero(probe(bits, hashes))
+                    text = np.searchsorted(first, at, "right") - 1
+                    inside = at + n <= first[text + 1]
+                    for a, t in zip(at[inside].tolist(), text[inside].tolist(), strict=True):
+                        found.setdefault((t, words[a : a + n].tobytes()), int(hashes[a : a + 1].view(np.int64)[0]))
+                runs = [np.frombuffer(w, np.int64) for _, w in found]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i + t] for t, _ in found], pa.int64()), pa.array(list(found.values()), pa.int64()), pa.array(runs, pa.list_(pa.int64()))], names=["doc_id", "seed", "words"])
+
+    held = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(go, "doc_id long, seed long, words array<long>")
+    return held.join(items.select("seed", "words"), ["seed", "words"]).select("doc_id")
+
+
+def contaminated_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id of the documents with a passage of any item, whatever its item_id: a window as in contaminated_passages(), or all words of an item of fewer than 12."""
+    items = benchmark.select(F.xxhash64("text").alias("item_id"), "text")
+    found = contaminated_passages(documents, items).select("doc_id")
+    short = tk.durable(_short_items(benchmark))
+    return (found if short.isEmpty() else found.unionByName(_whole_items(documents, short))).distinct()
+
+
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_passages(tk.read(spark, sf_dir, "documents"), tk.read(spark, sf_dir, "benchmark"))
 

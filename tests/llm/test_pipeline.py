@@ -55,3 +55,12 @@ def test_rows_are_judged_one_by_one(spark):
     rows = [(None, good), (None, "too short"), (3, other), (3, "short too"), (None, None), (5, "short"), (6, near)]
     left = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.quality(spark, frame(rows), SF).collect())
     assert left == sorted([("None", good), ("3", other), ("6", near)])
+
+
+def test_every_item_of_the_benchmark_counts(spark, tmp_path):
+    item = " ".join(f"word{i}" for i in range(20))
+    items = [(None, item), (None, "What is seven?"), (1, "one two three four five six seven eight nine ten eleven"), (2, None), (3, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(1, f"before {item} after"), (2, "so WHAT is\nseven, then"), (3, "what is"), (4, "seven?"), (5, "nine one two three four five six seven eight nine ten eleven"), (6, "two three four five six seven eight nine ten eleven"), (7, None), (8, "what is seven")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.benchmarks(spark, frame, str(tmp_path)).collect()) == [3, 4, 6, 7]
