@@ -4,8 +4,11 @@ from collections import defaultdict
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import pyarrow as pa
+import public_tokenizers
 from tokenizers import Tokenizer
 
+from siftmark.llm import packing, textkit
 from siftmark.llm.packing import Encoder, Packer, default_tokenizer, pack_documents
 
 TOKENIZER = Tokenizer.from_file(default_tokenizer())
@@ -16,16 +19,45 @@ def ids_of(text):
     return TOKENIZER.encode(text or "", add_special_tokens=False).ids + [2]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(max_size=60))
-def test_encoder_equals_tokenizer(text):
-    assert np.frombuffer(Encoder(default_tokenizer()).ids(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+def encoded(encoder, texts):
+    out = []
+    for _, _, data, offsets in textkit.text_chunks(pa.array(texts, pa.string())):
+        ids, first = encoder.ids(data, offsets)
+        out += [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
+    return out
+
+
+ENCODER = Encoder(default_tokenizer())
+LATIN = st.text("abzABZéÉßÿ×÷ŒœΣσς'<|>_-.,!019 \t\n\x0b\x1c\x85\xa0\u0301\u3000tsrevmdlL", max_size=40)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(LATIN | st.text(max_size=60) | st.none(), max_size=5))
+def test_encoder_equals_tokenizer(texts):
+    assert encoded(ENCODER, texts) == [TOKENIZER.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_that_begins_anew(monkeypatch):
+    monkeypatch.setattr(packing, "MAX_PIECES", 4)
+    encoder = Encoder(default_tokenizer())
+    for n in (1, 2, 1):
+        texts = [f"alpha beta{'x' * n}, gamma delta", "Gamma alpha."]
+        for t in texts:
+            assert encoded(encoder, [t]) == [TOKENIZER.encode(t, add_special_tokens=False).ids]
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = Encoder(path)
+    assert ENCODER.by_word and not other.by_word
+    texts = [t for t in TEXTS if t is not None]
+    assert encoded(other, texts) == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 70), max_size=60), st.integers(1, 12))
-def test_packer_places_every_token_once(sizes, most):
-    packer = Packer(window=16, max_open=most)
+@given(st.lists(st.integers(1, 70), max_size=60))
+def test_packer_places_every_token_once(sizes):
+    packer = Packer(window=16)
     docs = {d: np.arange(1000 * d, 1000 * d + n, dtype="<u4") for d, n in enumerate(sizes)}
     for d, ids in docs.items():
         packer.add(d, ids.tobytes())
@@ -47,7 +79,7 @@ def test_packer_places_every_token_once(sizes, most):
 
 
 def test_level_choice_is_the_least_sum_of_squares():
-    packer = Packer(window=10, max_open=99)
+    packer = Packer(window=10)
     rng = np.random.default_rng(3)
     counts = np.zeros(11, int)
     for s in rng.integers(1, 10, 300):
