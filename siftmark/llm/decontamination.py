@@ -70,7 +70,7 @@ def seed_runs(texts: DataFrame, bitmap=None) -> DataFrame:
                     names=["doc_id", "run", "words", "seeds"],
                 )
 
-    return texts.mapInArrow(go, RUNS)
+    return texts.mapInArrow(tk.lean(go), RUNS)
 
 
 def overlap_starts(run: np.ndarray, item: np.ndarray, shift: int) -> np.ndarray:
@@ -128,7 +128,7 @@ def contaminated_passages(documents: DataFrame, benchmark: DataFrame) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc_id", "item_id", "pos"])
 
     return (
-        aligned.mapInArrow(verify, "doc_id long, item_id long, pos long")
+        aligned.mapInArrow(tk.lean(verify), "doc_id long, item_id long, pos long")
         .distinct()
         .groupBy("doc_id", "item_id")
         .agg(F.count(F.lit(1)).alias("n_windows"), F.min("pos").alias("doc_start"), (F.max("pos") + SPAN).alias("doc_end"))
@@ -146,7 +146,7 @@ def _short_items(benchmark: DataFrame) -> DataFrame:
                 seeds = [tk.gram_hashes(w, len(w)).view(np.int64)[0] for w in short]
                 yield pa.RecordBatch.from_arrays([pa.array([len(w) for w in short], pa.int64()), pa.array(seeds, pa.int64()), pa.array([w.view(np.int64) for w in short], pa.list_(pa.int64()))], names=["n", "seed", "words"])
 
-    return benchmark.select("text").mapInArrow(go, "n long, seed long, words array<long>").distinct()
+    return benchmark.select("text").mapInArrow(tk.lean(go), "n long, seed long, words array<long>").distinct()
 
 
 def _whole_items(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def _whole_items(documents: DataFrame, items: DataFrame) -> DataFrame:
                 runs = [np.frombuffer(w, np.int64) for _, w in found]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i + t] for t, _ in found], pa.int64()), pa.array(list(found.values()), pa.int64()), pa.array(runs, pa.list_(pa.int64()))], names=["doc_id", "seed", "words"])
 
-    held = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(go, "doc_id long, seed long, words array<long>")
+    held = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tk.lean(go), "doc_id long, seed long, words array<long>")
     return held.join(items.select("seed", "words"), ["seed", "words"]).select("doc_id")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .html_blocks import Block, blocks
 from .html_training import MARK, labelled_pages
+from . import textkit as tk
 from .textkit import read
 
 #: Labelled pages to train on, rounds over them, step and penalty.
@@ -144,7 +145,7 @@ def extract_text(pages: DataFrame, model: Crf | None = None) -> DataFrame:
             text = [main_text(html.as_py(), model) for html in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.selectExpr("CAST(page_id AS long) AS page_id", "CAST(url AS string) AS url", "html").mapInArrow(go, "page_id long, url string, text string, n_chars long")
+    return pages.selectExpr("CAST(page_id AS long) AS page_id", "CAST(url AS string) AS url", "html").mapInArrow(tk.lean(go), "page_id long, url string, text string, n_chars long")
 
 
 def op7_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,7 @@ def template_hits(documents: DataFrame) -> DataFrame:
                 row += j - i
 
     schema = "row long, doc_id long, n_words long, runs array<struct<start: long, words: array<long>, grams: array<struct<pos: long, gram: long>>>>"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, schema)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tk.lean(scan), schema)
 
 
 def template_places(spark: SparkSession) -> DataFrame:
@@ -157,7 +157,7 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row", "label", "exact", "at", "share"])
 
-    found = placed.mapInArrow(verify, "row long, label string, exact boolean, at long, share double")
+    found = placed.mapInArrow(tk.lean(verify), "row long, label string, exact boolean, at long, share double")
     base = lambda c: F.when(F.col("exact"), F.col(c))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     by_row = found.groupBy("row").agg(

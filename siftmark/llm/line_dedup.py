@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmaps import hash_bitmap, probe
+from . import textkit as tk
 from .textkit import durable, read
 
 #: Rolling hash of a line i: (value of line i + FACTOR * value of line i - 1) modulo PRIME.
@@ -65,7 +66,7 @@ def _chunk_hashes(texts: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["key", "doc_id", "no", "h1", "h2"])
 
-    return texts.mapInArrow(go, "key string, doc_id long, no long, h1 long, h2 long")
+    return texts.mapInArrow(tk.lean(go), "key string, doc_id long, no long, h1 long, h2 long")
 
 
 def _chunk_texts(texts: DataFrame, bitmap) -> DataFrame:
@@ -84,7 +85,7 @@ def _chunk_texts(texts: DataFrame, bitmap) -> DataFrame:
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "doc_id", "no", "h1", "chunk"])
 
-    return texts.mapInArrow(go, "key string, doc_id long, no long, h1 long, chunk binary")
+    return texts.mapInArrow(tk.lean(go), "key string, doc_id long, no long, h1 long, chunk binary")
 
 
 def repeated_chunks(documents: DataFrame) -> DataFrame:
@@ -167,7 +168,7 @@ def _window_hashes(texts: DataFrame) -> DataFrame:
             h1, n = np.unique(np.array([_head(digest) for text in batch.column(2) for _, digest in _windows(text.as_py())], np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(n.astype(np.int64))], names=["h1", "n"])
 
-    return texts.mapInArrow(go, "h1 long, n long")
+    return texts.mapInArrow(tk.lean(go), "h1 long, n long")
 
 
 def _window_digests(texts: DataFrame, bitmap) -> DataFrame:
@@ -185,7 +186,7 @@ def _window_digests(texts: DataFrame, bitmap) -> DataFrame:
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "doc_id", "no", "digest"])
 
-    return texts.mapInArrow(go, "key string, doc_id long, no long, digest binary")
+    return texts.mapInArrow(tk.lean(go), "key string, doc_id long, no long, digest binary")
 
 
 def repeated_windows(documents: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .textkit import durable, read
 
 
@@ -88,7 +89,7 @@ def scan_unseen(documents: DataFrame, ledger: DataFrame | None = None, rules: di
                     rows[2].append([dict(zip(("start", "kind_no", "end"), x, strict=True)) for x in scan_text(body, rules[version])])
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(rows[2], kind)], names=["blob", "rule_version", "findings"])
 
-    return todo.select("blob", "text", "todo").mapInArrow(scan, LEDGER)
+    return todo.select("blob", "text", "todo").mapInArrow(tk.lean(scan), LEDGER)
 
 
 def findings_by_path(index: DataFrame, ledger: DataFrame) -> DataFrame:

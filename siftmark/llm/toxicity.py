@@ -248,7 +248,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_each: int = MAX_EACH) -> Cn
                 packed = [ids[a : min(b, a + MAX_TRAIN_WORDS)].astype("<u4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "words"])
 
-    found = rows.mapInArrow(words, "doc_id long, toxic int, words binary").collect()
+    found = rows.mapInArrow(tk.lean(words), "doc_id long, toxic int, words binary").collect()
     found.sort(key=lambda r: (tk.mix(np.array([r.doc_id], np.int64).view(np.uint64))[0], bytes(r.words)))  # the same order whatever the partitions
     texts = [np.frombuffer(bytes(r.words), "<u4").astype(np.int64).reshape(-1, 2) for r in found]
     return train([t if len(t) else np.full((1, 2), BUCKETS) for t in texts], np.array([r.toxic for r in found], np.int64), count.get(1, 0) / max(1, sum(count.values())))
@@ -264,7 +264,7 @@ def score_documents(documents: DataFrame, model: Cnn) -> DataFrame:
                 kept = [batch.column(c).slice(i, j - i) for c in range(2)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(scores(shared.value, *word_ids(data, offsets)), pa.float64())], names=["doc_id", "lang", "score"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(go, "doc_id long, lang string, score double")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(tk.lean(go), "doc_id long, lang string, score double")
 
 
 def language_thresholds(scored: DataFrame, labels: DataFrame) -> DataFrame:
