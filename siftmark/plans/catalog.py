@@ -839,7 +839,9 @@ def _event_stream(spark, sf):
 @query("SELECT event_type AS assignment_id, event_id AS submission_id, ts < d AS accepted FROM events JOIN (SELECT event_type, max(ts) - INTERVAL 2 DAY AS d FROM events GROUP BY 1) USING (event_type)")
 def stream_deadline(spark, sf):
     deadlines = src.attempts(spark, sf).groupBy("assignment_id").agg((F.max("submitted_at") - F.expr("INTERVAL 2 DAYS")).alias("deadline"))
-    return st.stream_deadline(_event_stream(spark, sf), deadlines, st.work_folder(spark, "stream")).select("assignment_id", "submission_id", "accepted")
+    accepted, late = st.stream_deadline(_event_stream(spark, sf), deadlines, st.work_folder(spark, "stream"))
+    flagged = lambda rows, flag: rows.select("assignment_id", "submission_id", F.lit(flag).alias("accepted"))
+    return flagged(accepted, True).unionByName(flagged(late, False))
 
 
 @query("SELECT event_type AS assignment_id, 'S' || user_id AS student_id, max_by(event_id, ts) AS submission_id, max(ts) AS submitted_at, count(*) AS n FROM events GROUP BY 1, 2")

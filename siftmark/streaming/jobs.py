@@ -2,34 +2,53 @@
 
 Windows over one submission's tokens don't exist on streams, so those parts
 run inside foreachBatch with the batch functions. Each batch writes under its
-own number, so a batch that runs again replaces what it wrote.
+own number and reads nothing but what earlier numbers wrote, so a batch that
+runs again, in this process or after a restart, replaces what it wrote.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.fingerprint import fingerprints
 from ..operators.pairs import distinct_hashes
 from ..operators.tokens import tokenize_any
 from ..operators.versions import STUDENT
+from ..sources.durable import new_folder as work_folder  # noqa: F401  a stream's files are kept beside the checkpoints
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which all executors share."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+class Progress(StreamingQueryListener):
+    """Counts batches and rows of the streams that ran since it was added, by run id; failed holds the errors of those that ended with one."""
+
+    def __init__(self):
+        self.batches: dict[str, int] = {}
+        self.rows: dict[str, int] = {}
+        self.failed: dict[str, str] = {}
+
+    def onQueryStarted(self, event):
+        self.batches[str(event.runId)] = self.rows[str(event.runId)] = 0
+
+    def onQueryProgress(self, event):
+        run = str(event.progress.runId)
+        self.batches[run] = self.batches.get(run, 0) + 1
+        self.rows[run] = self.rows.get(run, 0) + event.progress.numInputRows
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        if event.exception:
+            self.failed[str(event.runId)] = event.exception
 
 
 def stream_table(spark: SparkSession, sf_dir: str, table: str, files_at_once: int = 1) -> DataFrame:
-    """A table's files as a stream."""
+    """A table's files as a stream; the table may be a folder or a single file, so it is named by a pattern, which a stream takes for either."""
     path = f"{sf_dir}/{table}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_at_once).parquet(f"{path[:-1]}[t]")
 
 
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], folder: str) -> None:
@@ -72,13 +91,23 @@ def stream_candidates(submissions: DataFrame, folder: str) -> DataFrame:
         found.write.mode("overwrite").parquet(f"{folder}/pairs/batch={number}")
 
     run_batches(submissions, each, folder)
-    return spark.read.schema(pairs_schema).parquet(f"{folder}/pairs")
+    return spark.read.schema(pairs_schema).parquet(f"{folder}/pairs").drop("batch")
 
 
-def stream_deadline(attempts: DataFrame, deadlines: DataFrame, folder: str) -> DataFrame:
-    """Arriving attempts with accepted: sent before the deadline of their assignment (a static table)."""
-    joined = attempts.join(F.broadcast(deadlines), "assignment_id") if _small(deadlines) else attempts.join(deadlines, "assignment_id")
-    return run_append(joined.withColumn("accepted", F.col("submitted_at") < F.col("deadline")), folder)
+def stream_deadline(attempts: DataFrame, deadlines: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Arriving attempts before the deadline of their assignment (a static table), and those that came later, which go to a table of their own."""
+    spark = attempts.sparkSession
+    few = _small(deadlines)
+
+    def each(batch: DataFrame, number: int) -> None:
+        joined = batch.join(F.broadcast(deadlines) if few else deadlines, "assignment_id")
+        late = F.col("submitted_at") >= F.col("deadline")
+        for name, rows in (("accepted", joined.where(~late)), ("late", joined.where(late))):
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+
+    run_batches(attempts, each, folder)
+    schema = attempts.limit(0).join(deadlines, "assignment_id").schema
+    return spark.read.schema(schema).parquet(f"{folder}/accepted").drop("batch"), spark.read.schema(schema).parquet(f"{folder}/late").drop("batch")
 
 
 def _small(table: DataFrame, most: int = 100_000) -> bool:
@@ -89,31 +118,32 @@ def _small(table: DataFrame, most: int = 100_000) -> bool:
 def stream_latest(attempts: DataFrame, folder: str) -> DataFrame:
     """assignment_id, student_id, submission_id, submitted_at, n: each student's last attempt, and how many there were.
 
-    Each batch joins what it aggregated with the table of the batch before.
+    Each batch writes its own students' last attempts and counts, whatever
+    came before; reading merges them, so there is no state to lose or to count
+    twice.
     """
     spark = attempts.sparkSession
-    schema = "assignment_id string, student_id string, submission_id long, submitted_at timestamp, n long"
-    done = [-1]
+    schema = f"assignment_id string, student_id string, submission_id long, submitted_at {attempts.schema['submitted_at'].dataType.simpleString()}, n long"
+
+    def merged(rows: DataFrame) -> DataFrame:
+        last = F.max_by(F.struct("submission_id", "submitted_at"), F.struct("submitted_at", "submission_id")).alias("last")
+        return rows.groupBy(*STUDENT).agg(last, F.sum("n").alias("n")).select(*STUDENT, "last.submission_id", "last.submitted_at", "n")
 
     def each(batch: DataFrame, number: int) -> None:
         rows = batch.select(*STUDENT, "submission_id", "submitted_at", F.lit(1).cast("long").alias("n"))
-        if done[0] >= 0:
-            rows = rows.unionByName(spark.read.schema(schema).parquet(f"{folder}/state/{done[0]}"))
-        last = F.max_by(F.struct("submission_id", "submitted_at"), F.struct("submitted_at", "submission_id")).alias("last")
-        merged = rows.groupBy(*STUDENT).agg(last, F.sum("n").alias("n"))
-        merged.select(*STUDENT, "last.submission_id", "last.submitted_at", "n").write.mode("overwrite").parquet(f"{folder}/state/{number}")
-        done[0] = number
+        merged(rows).write.mode("overwrite").parquet(f"{folder}/last/batch={number}")
 
     run_batches(attempts, each, folder)
-    return spark.read.schema(schema).parquet(f"{folder}/state/{done[0]}")
+    return merged(spark.read.schema(schema).parquet(f"{folder}/last"))
 
 
 def burst_counts(attempts: DataFrame, minutes: int = 60) -> DataFrame:
     """assignment_id, window_start, n: attempts in windows of event time, of a stream with a watermark of one window or of a table."""
-    late = f"{minutes} minutes"
-    rows = attempts.withWatermark("submitted_at", late) if attempts.isStreaming else attempts
+    late, kind = f"{minutes} minutes", attempts.schema["submitted_at"].dataType
+    # a watermark needs a timestamp with a time zone; the windows get the type of the column again
+    rows = attempts.withColumn("submitted_at", F.col("submitted_at").cast("timestamp")).withWatermark("submitted_at", late) if attempts.isStreaming else attempts
     counts = rows.groupBy("assignment_id", F.window("submitted_at", late).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("assignment_id", F.col("w.start").alias("window_start"), "n")
+    return counts.select("assignment_id", F.col("w.start").cast(kind).alias("window_start"), "n")
 
 
 def stream_bursts(attempts: DataFrame, folder: str, minutes: int = 60) -> DataFrame:

@@ -1,6 +1,8 @@
 """Literal cases of the domain, and properties that SQL can't state."""
 
+import datetime
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from siftmark.functions.hashing import token_value
 from siftmark.operators import boilerplate, clusters, diff, evidence, fingerprint, intake, language, pairs, reports, tokens, versions
 from siftmark.sources import ingest
+from siftmark.streaming import jobs as st
 
 CODE = "assignment_id string, submission_id long, code string, language string, file_name string"
 
@@ -225,3 +228,31 @@ def test_streams_of_several_files(spark, tmp_path):
     assert key(jobs.stream_fingerprints(stream(), str(tmp_path / "f")).select(columns)) == key(prints.select(columns))
     columns = ["assignment_id", "a", "b", "shared"]
     assert key(jobs.stream_candidates(stream(), str(tmp_path / "c")).select(columns)) == key(pairs.candidate_pairs(pairs.distinct_hashes(prints)).select(columns))
+
+
+def _attempt_files(spark, folder, rows):
+    for n, some in enumerate(rows):
+        spark.createDataFrame(some, "assignment_id string, submission_id long, student_id string, submitted_at timestamp").coalesce(1).write.mode("append").parquet(f"{folder}/in.parquet")
+    return st.stream_table(spark, str(folder), "in")
+
+
+def test_streams_go_on_where_they_stopped_and_count_no_batch_twice(spark, tmp_path):
+    at = lambda day: datetime.datetime(2024, 1, day)
+    progress = st.Progress()
+    spark.streams.addListener(progress)
+    first = [("a", 1, "S1", at(1)), ("a", 2, "S2", at(2))]
+    stream = _attempt_files(spark, tmp_path, [first])
+    got = {r.student_id: (r.submission_id, r.n) for r in st.stream_latest(stream, str(tmp_path / "work")).collect()}
+    assert got == {"S1": (1, 1), "S2": (2, 1)}
+    stream = _attempt_files(spark, tmp_path, [[("a", 3, "S1", at(3))], [("a", 4, "S1", at(2))]])
+    got = {r.student_id: (r.submission_id, r.n) for r in st.stream_latest(stream, str(tmp_path / "work")).collect()}
+    assert got == {"S1": (3, 3), "S2": (2, 1)}
+    deadlines = spark.createDataFrame([("a", at(2))], "assignment_id string, deadline timestamp")
+    accepted, late = st.stream_deadline(stream, deadlines, str(tmp_path / "due"))
+    assert [r.submission_id for r in accepted.collect()] == [1] and sorted(r.submission_id for r in late.collect()) == [2, 3, 4]
+    for _ in range(50):
+        if sum(progress.rows.values()) >= 8:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(progress)
+    assert sum(progress.rows.values()) == 8 and not progress.failed
