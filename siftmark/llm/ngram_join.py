@@ -1,19 +1,18 @@
 """Exact n-gram Jaccard self-join of whole texts, up to its connected components.
 
-Texts with equal shingle sets are one class. Classes are linked in two steps:
-
-1. Each class meets, for a few minhash values, one class of its own size band
-   with the same value. That is linear in the input and joins nearly
-   all near copies, however large their groups are.
-2. In each tile of (shingle, size band), as in step 3, each class meets one
+Texts with equal shingle sets are one class. By the prefix rule, two sets with
+a Jaccard similarity of t or more share one of their first
+n - ceil(t * n) + 1 shingles in any common order. So all candidates meet in
+tiles of (shingle, size band) over these prefixes, in three rounds:
+
+1. In the tiles of the first few shingles of each prefix, each class meets one
+   class of the tile. That is linear in the input and joins nearly all near
+   copies, however large their groups are.
+2. In all tiles that still hold several components, each class meets one
    other; a few likely pairs of any two components are tried.
-3. What may still be missing is a link between components. By the prefix
-   rule, two sets with a Jaccard similarity of t or more share one of their
-   first n - ceil(t * n) + 1 shingles in any common order. Shingles whose
-   holders all lie in one component are settled; the holders of the others
-   meet in tiles of (shingle, size band). Of the pairs across components with
-   fitting sizes, the join itself keeps those that the shingle's places in the
-   two orders and the bit counts of two short bitmaps leave room for a link.
+3. In the tiles that hold several components even now, all pairs of classes
+   across components meet whose sizes, places in the two orders and bit
+   counts leave room for a link. Large tiles are split over many tasks.
 
 A pair is compared by the parity bitmaps of the two sets first: each set bit
 of their exclusive or stands for at least one shingle in only one of them, so
@@ -35,19 +34,20 @@ from .bitmaps import bitmap_of, hash_bitmap, probe
 
 #: Words in a shingle, and the least similarity of a link in percent.
 WIDTH, PERCENT = 5, 80
-#: Minhash values by which step 1 looks for partners; they affect speed only.
-PERMUTATIONS = 6
-#: The most frequent shingles come last in the order of steps 2 and 3: so many at most, of those counted so often in one stretch of texts. They affect speed only.
+#: Shingles of each prefix whose tiles round 1 goes through, and pairs that it tries for a class at most; they affect speed only.
+LEAD, FIRST_TRIES = 8, 3
+#: The most frequent shingles come last in the order of the prefixes: so many at most, of those counted so often in one stretch of texts. They affect speed only.
 HEAVY, HEAVY_LOCAL, HEAVY_TOTAL = 1 << 17, 4, 16
 #: Shingles between two counts of a task.
-STRETCH = 1 << 21
-#: 64-bit words of the short bitmaps that go along with the shingles of steps 2 and 3.
+STRETCH = 1 << 20
+#: 64-bit words of the short bitmaps that go along with the shingles of the tiles.
 WORDS = 6
-#: Pairs of two components that step 2 tries at most; they affect speed only.
+#: Pairs of two components that round 2 tries at most; they affect speed only.
 TRIES = 8
+#: Holders of a shingle that one task of round 3 takes on one side.
+TILE = 1000
 _SHORT = tk.constants(WIDTH, 7)
-_CLASS = tk.constants(2, 8)
-_PERMUTE = tk.constants(PERMUTATIONS, 9)
+_CLASS = tk.constants(3, 8)
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -69,10 +69,12 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
                 yield i + k, np.empty(0, np.uint64)
 
 
-def class_of(shingles: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    total = np.array([tk.mix(shingles ^ _CLASS[0]).sum(dtype=np.uint64) + np.uint64(len(shingles))])
-    return int(tk.mix(total ^ _CLASS[1]).view(np.int64)[0])
+def class_of(shingles: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of a set, as two signed numbers."""
+    n = np.uint64(len(shingles))
+    total = np.array([tk.mix(shingles ^ _CLASS[0]).sum(dtype=np.uint64) + n, shingles.sum(dtype=np.uint64) * _CLASS[2] + n])
+    hi, lo = tk.mix(total ^ _CLASS[1]).view(np.int64).tolist()
+    return hi, lo
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -105,14 +107,14 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-_SET_ROW = "n long, class long, sig binary, bits array<long>, mins array<long>, token long, count long"
+_SET_ROW = "n long, hi long, lo long, sig binary, bits array<long>, token long, count long"
 
 
 def _scan_sets(documents: DataFrame, id_type: str = "long") -> DataFrame:
-    """A row (doc_id, n, class, sig, bits, mins) for each document, and rows (token, count) of shingles that recur within a stretch of a task's texts."""
+    """A row (doc_id, n, hi, lo, sig, bits) for each document, and rows (token, count) of shingles that recur within a stretch of a task's texts."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [{"long": pa.int64(), "string": pa.string()}[id_type], pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+        kinds = [{"long": pa.int64(), "string": pa.string()}[id_type], pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
         names = ["doc_id", *(x.split()[0] for x in _SET_ROW.split(", "))]
         pending: list[np.ndarray] = []
         size, seen = 0, set()
@@ -135,7 +137,7 @@ def _scan_sets(documents: DataFrame, id_type: str = "long") -> DataFrame:
                     rows.append((ids[row], 0, None, None, None, None))
                     continue
                 name = class_of(shingles)
-                rows.append((ids[row], len(shingles), name, signature(shingles), short_signature(shingles), [int((shingles * k).min().view(np.int64)) for k in _PERMUTE]))
+                rows.append((ids[row], len(shingles), *name, signature(shingles), short_signature(shingles)))
                 if name not in seen:
                     seen.add(name)
                     pending.append(shingles)
@@ -146,36 +148,44 @@ def _scan_sets(documents: DataFrame, id_type: str = "long") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds[:6], strict=True)), *(pa.nulls(len(rows), k) for k in kinds[6:])], names=names)
         yield from heavy()
 
-    return documents.select(F.col("doc_id").cast(id_type).alias("doc_id"), "text").mapInArrow(go, f"doc_id {id_type}, {_SET_ROW}")
+    return documents.select(F.col("doc_id").cast(id_type).alias("doc_id"), "text").mapInArrow(tk.lean(go), f"doc_id {id_type}, {_SET_ROW}")
+
 
+def _of_classes(documents: DataFrame, classes: DataFrame, id_type: str, emit: Callable, schema: str, kinds: list[pa.DataType]) -> DataFrame:
+    """class, schema: emit(shingles) of one text of each of the classes (class, hi, lo, doc_id).
 
-def _by_class(documents: DataFrame, emit: Callable, schema: str, kinds: list[pa.DataType]) -> DataFrame:
-    """emit(class, shingles) for the first text of each class in a task, and rows of what is not None."""
+    Two bitmaps, of the doc_ids and of the names, spare most other texts the
+    hashing and the way to the join by name.
+    """
+    context = documents.sparkSession.sparkContext
+    own = classes.select("class", "hi", "lo", F.xxhash64("doc_id").alias("place"))
+    places, heads = context.broadcast(hash_bitmap(own, "place")), context.broadcast(hash_bitmap(own, "hi"))
+    names = ["hi", "lo", *(x.split()[0] for x in schema.split(", "))]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        names = [x.split()[0] for x in schema.split(", ")]
+        near, head = np.frombuffer(places.value, np.uint8), np.frombuffer(heads.value, np.uint8)
         for batch in batches:
+            batch = batch.filter(pa.array(probe(near, batch.column(0).to_numpy(zero_copy_only=False))))
             rows = []
-            for _, shingles in shingle_sets(batch.column(0)):
-                if len(shingles) and (name := class_of(shingles)) not in seen:
-                    seen.add(name)
-                    if (row := emit(name, shingles)) is not None:
-                        rows.append(row)
-            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            for _, shingles in shingle_sets(batch.column(1)):
+                if len(shingles):
+                    hi, lo = class_of(shingles)
+                    if probe(head, np.array([hi]))[0]:
+                        rows.append((hi, lo, *emit(shingles)))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), *kinds], strict=True)], names=names)
 
-    return documents.select("text").mapInArrow(go, schema)
+    rows = documents.select(F.xxhash64(F.col("doc_id").cast(id_type)).alias("place"), "text").mapInArrow(tk.lean(go), f"hi long, lo long, {schema}")
+    return rows.dropDuplicates(["hi", "lo"]).join(own.drop("place"), ["hi", "lo"]).select("class", *names[2:])
 
 
-def _prefixes(documents: DataFrame, heavy: list) -> DataFrame:
+def _prefixes(documents: DataFrame, classes: DataFrame, heavy: list, id_type: str) -> DataFrame:
     """(class, n, tokens, bits): each class's first shingles, in order, and its short signature; frequent shingles come last, the rest in the order of their hashes."""
-    spark = documents.sparkSession
     token = np.array([t for t, _ in heavy], np.int64).view(np.uint64)
     order = np.argsort(token)
-    shared = spark.sparkContext.broadcast((token[order], np.array([c for _, c in heavy], np.int64)[order], bitmap_of(token, 20)))
+    shared = documents.sparkSession.sparkContext.broadcast((token[order], np.array([c for _, c in heavy], np.int64)[order], bitmap_of(token, 20)))
 
-    def emit(name: int, shingles: np.ndarray):
+    def emit(shingles: np.ndarray):
         token, count, bits = shared.value
         n = len(shingles)
         p = prefix_length(n)
@@ -186,14 +196,13 @@ def _prefixes(documents: DataFrame, heavy: list) -> DataFrame:
             if found.any():
                 weight = np.zeros(n, np.int64)
                 weight[at[found]] = count[place[found]]
-                return name, n, shingles[np.lexsort((shingles, weight))[:p]].view(np.int64), short_signature(shingles)
-        return name, n, shingles[:p].view(np.int64), short_signature(shingles)
+                return n, shingles[np.lexsort((shingles, weight))[:p]].view(np.int64), short_signature(shingles)
+        return n, shingles[:p].view(np.int64), short_signature(shingles)
 
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    return _by_class(documents, emit, "class long, n long, tokens array<long>, bits array<long>", kinds)
+    return _of_classes(documents, classes, id_type, emit, "n long, tokens array<long>, bits array<long>", [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())])
 
 
-def _verify(documents: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _verify(documents: DataFrame, pairs: DataFrame, classes: DataFrame, id_type: str) -> DataFrame:
     """The pairs (a, b) of classes that are links; pairs may have other columns."""
     pairs, sigs = pairs.select("a", "b"), classes.select("class", "n", "sig")
     both = (
@@ -208,15 +217,10 @@ def _verify(documents: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataF
             keep = [may_link(x, sx, y, sy) for x, y, sx, sy in zip(n_a, n_b, batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = tk.durable(both.mapInArrow(bound, "a long, b long"))
-    ends = near.select(F.explode(F.array("a", "b")).alias("class"))
-    bitmap = documents.sparkSession.sparkContext.broadcast(hash_bitmap(ends, "class"))
-
-    def wanted(name: int, shingles: np.ndarray):
-        return (name, shingles.tobytes()) if probe(np.frombuffer(bitmap.value, np.uint8), np.array([name], np.int64))[0] else None
-
-    sets = _by_class(documents, wanted, "class long, shingles binary", [pa.int64(), pa.binary()]).dropDuplicates(["class"])
-    sets = tk.durable(sets)
+    near = tk.durable(both.mapInArrow(tk.lean(bound), "a long, b long"))
+    wanted = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    ends = tk.durable(classes.select("class", "hi", "lo", "doc_id").join(wanted, "class"))
+    sets = tk.durable(_of_classes(documents, ends, id_type, lambda shingles: (shingles.tobytes(),), "shingles binary", [pa.binary()]))
     arrays = (
         near.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("of_a")), "a")
         .join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("of_b")), "b")
@@ -234,7 +238,7 @@ def _verify(documents: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataF
                 keep.append(links(common, len(x), len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return tk.durable(arrays.mapInArrow(exact, "a long, b long"))
+    return tk.durable(arrays.mapInArrow(tk.lean(exact), "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -255,21 +259,40 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _band(n: Column) -> Column:
+def _band(n: Column, shift: float = 0) -> Column:
     """Bands in which the largest set is at most 100 / PERCENT times the smallest; a link's sets lie in one band or in neighbours."""
-    return F.floor(F.log(n.cast("double")) / float(np.log(100 / PERCENT)) + 1e-9).cast("int")
+    return F.floor(F.log(n.cast("double")) / float(np.log(100 / PERCENT)) + (shift + 1e-9)).cast("int")
+
+
+def _tile(token: str) -> list[Column]:
+    """Keys (token, band, shifted) of tiles with one meeting: by the shingle, the bands lie as they are or shifted by half a band, so that groups on a bound between two bands meet as well."""
+    shifted = F.pmod(F.xxhash64(token, F.lit(1)), F.lit(2))
+    return [F.col(token).alias("token"), F.when(shifted == 0, _band(F.col("n"))).otherwise(_band(F.col("n"), 0.5)).alias("band")]
 
 
-def _star_pairs(classes: DataFrame) -> DataFrame:
-    """Each class with one of its band with an equal minhash value: the first in an order of classes that differs from value to value."""
-    values = classes.select("class", "n", "bits", _band(F.col("n")).alias("band"), F.posexplode("mins").alias("no", "token"))
-    key = ["no", "token", "band"]
-    order = F.struct(F.xxhash64("no", "class"), "class", "n", "bits")
-    first = values.groupBy(*key).agg(F.min(order).alias("p"), F.max("class").alias("last"), F.min("class").alias("first")).where("first <> last")
-    pivots = first.select(*key, F.col("p.class").alias("b"), F.col("p.n").alias("n_b"), *(F.col("p.bits")[i].alias(f"v{i}") for i in range(WORDS)))
+def _met_pivots(rows: DataFrame, orders: int, more: list[str]) -> DataFrame:
+    """Each row (token, class, n, bits, more) with one row of its tile, b, if the bit counts leave room for a link: a, b, n_a, n_b, apart, try, and more of both (_a, _b).
+
+    The one is the first in one of so many orders of the classes, which one
+    hangs on the shingle (try); so the classes of a group meet few others.
+    """
+    tried = F.pmod(F.xxhash64("token"), F.lit(orders)).cast("int")
+    own = ["class", "n", "bits", *more]
+    tiled = rows.select(*_tile("token"), *own)
+    first = F.min(F.struct(F.xxhash64(tried, "class").alias("order"), *own)).alias("p")
+    pivots = tiled.groupBy("token", "band").agg(first, F.count(F.lit(1)).alias("held")).where("held > 1")
+    pivots = pivots.select("token", "band", F.col("p.class").alias("b"), F.col("p.n").alias("n_b"), *(F.col(f"p.{c}").alias(f"{c}_b") for c in more), *(F.col("p.bits")[i].alias(f"v{i}") for i in range(WORDS)))
     words = [F.col("bits")[i].alias(f"w{i}") for i in range(WORDS)]
-    met = values.select(*key, F.col("class").alias("a"), F.col("n").alias("n_a"), *words).join(pivots, key)
-    return met.where((F.col("a") != F.col("b")) & _bits_leave_room()).select("a", "b").distinct()
+    met = tiled.select("token", "band", F.col("class").alias("a"), F.col("n").alias("n_a"), *(F.col(c).alias(f"{c}_a") for c in more), *words).join(pivots, ["token", "band"]).where((F.col("a") != F.col("b")) & _bits_leave_room())
+    return met.select("a", "b", "n_a", "n_b", *(f"{c}_{x}" for c in more for x in "ab"), (_bits_apart() / (F.col("n_a") + F.col("n_b"))).alias("apart"), tried.alias("try"))
+
+
+def _lead_pairs(held: DataFrame) -> DataFrame:
+    """Round 1: each class with one class of the tiles of its first shingles; of each order the likeliest pair."""
+    rows = held.select("class", "n", "bits", F.explode(F.slice("tokens", 1, LEAD)).alias("token"))
+    met = _met_pivots(rows, FIRST_TRIES, [])
+    best = met.groupBy("a", "try").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _bits_apart() -> Column:
@@ -282,37 +305,34 @@ def _bits_leave_room() -> Column:
 
 
 def _cross_pairs(holders: DataFrame) -> DataFrame:
-    """Pairs across components of classes that hold a common token and may be links; holders: token, place, class, n, component, bits.
+    """Round 3: pairs across components of classes that hold a common token and may be links; holders: token, held (by how many), place, class, n, component, bits.
 
     All common shingles come at or after the first common one in both orders,
     so for that one the smaller rest bounds the overlap; at other tokens the
-    pair may be passed over.
+    pair may be passed over. A token of many holders is split: its left side
+    over several salts, its right side to each of them.
     """
+    salts = F.ceil(F.col("held") / TILE).cast("int")
     words = [F.col("bits")[i].alias(f"w{i}") for i in range(WORDS)]
-    left = holders.select("token", _band(F.col("n")).alias("band"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("place").alias("p_a"), *words)
+    left = holders.select("token", F.pmod(F.xxhash64("class"), salts).cast("int").alias("salt"), _band(F.col("n")).alias("band"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("place").alias("p_a"), *words)
+    copies = holders.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     both_bands = F.explode(F.array(_band(F.col("n")), _band(F.col("n")) - 1)).alias("band")
-    right = holders.select("token", both_bands, F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("place").alias("p_b"), *(F.col("bits")[i].alias(f"v{i}") for i in range(WORDS)))
+    right = copies.select("token", "salt", both_bands, F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("place").alias("p_b"), *(F.col("bits")[i].alias(f"v{i}") for i in range(WORDS)))
     total = F.col("n_a") + F.col("n_b")
     sizes = (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
     places = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) * (100 + PERCENT) >= total * PERCENT
-    return left.join(right, ["token", "band"]).where((F.col("c_a") != F.col("c_b")) & sizes & places & _bits_leave_room()).select("a", "b", "c_a", "c_b").distinct()
+    return left.join(right, ["token", "salt", "band"]).where((F.col("c_a") != F.col("c_b")) & sizes & places & _bits_leave_room()).select("a", "b", "c_a", "c_b").distinct()
 
 
 def _pivot_pairs(holders: DataFrame) -> DataFrame:
-    """For each pair of components that meet so, a few pairs of classes whose bit counts leave most room for a link: each holder meets one holder of its (token, size band).
+    """Round 2: for each pair of components that meet so, a few pairs of classes whose bit counts leave most room for a link: each holder meets one holder of its tile.
 
-    That is linear in the holders. It merges most of what step 1 left apart in
-    large groups, so that few of their pairs meet in _cross_pairs().
+    That is linear in the holders. It merges most of what round 1 left apart
+    in large groups, so that few of their pairs meet in _cross_pairs().
     """
-    key = ["token", "band"]
-    rows = holders.withColumn("band", _band(F.col("n")))
-    order = F.struct(F.xxhash64("token", "class"), "class", "n", "component", "bits")
-    pivots = rows.groupBy(*key).agg(F.min(order).alias("p")).select(*key, F.col("p.class").alias("b"), F.col("p.n").alias("n_b"), F.col("p.component").alias("c_b"), *(F.col("p.bits")[i].alias(f"v{i}") for i in range(WORDS)))
-    words = [F.col("bits")[i].alias(f"w{i}") for i in range(WORDS)]
-    met = rows.select(*key, F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), *words).join(pivots, key).where((F.col("c_a") != F.col("c_b")) & _bits_leave_room())
-    room = F.struct((_bits_apart() / (F.col("n_a") + F.col("n_b"))).alias("apart"), "a", "b", "c_a", "c_b")
-    several = F.pmod(F.xxhash64("token"), F.lit(TRIES)).alias("try")
-    best = met.groupBy(F.least("c_a", "c_b").alias("low"), F.greatest("c_a", "c_b").alias("high"), several).agg(F.min(room).alias("best"))
+    met = _met_pivots(holders, TRIES, ["component"]).where("component_a <> component_b")
+    room = F.struct("apart", "a", "b", F.col("component_a").alias("c_a"), F.col("component_b").alias("c_b"))
+    best = met.groupBy(F.least("component_a", "component_b").alias("low"), F.greatest("component_a", "component_b").alias("high"), "try").agg(F.min(room).alias("best"))
     return best.select("best.a", "best.b", "best.c_a", "best.c_b").distinct()
 
 
@@ -327,8 +347,14 @@ def _renamed(rows: DataFrame, merged: DataFrame) -> DataFrame:
     return rows.join(names, "component", "left").withColumn("component", F.coalesce("_name", "component")).drop("_name")
 
 
+def _open_tokens(rows: DataFrame) -> DataFrame:
+    """token, held: the tokens of rows (token, component) that several components hold, and how many rows have them."""
+    shared = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("held"))
+    return shared.where("low <> high").select("token", "held")
+
+
 def linked_documents(documents: DataFrame, id_type: str = "long") -> DataFrame:
-    """doc_id, n_shingles, class (null without words), component_id of every row.
+    """doc_id, n_shingles, component_id of every row.
 
     Two documents link when 100 * common >= 80 * union over their distinct
     five-word shingles (words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased).
@@ -339,19 +365,16 @@ def linked_documents(documents: DataFrame, id_type: str = "long") -> DataFrame:
     or string, and also the order of the ids.
     """
     scanned = tk.durable(_scan_sets(documents, id_type))
-    docs = scanned.where("n is not null").select("doc_id", "n", "class")
-    classes = tk.durable(scanned.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"), F.first("mins").alias("mins")))
+    docs = scanned.where("n is not null").select("doc_id", "n", "hi", "lo")
+    by_name = scanned.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "sig", "bits")))
+    classes = tk.durable(by_name.withColumn("class", F.monotonically_increasing_id()))  # kept, so the numbers stay
     tokens = scanned.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= HEAVY_TOTAL)
     heavy = tokens.orderBy(F.desc("count"), "token").limit(HEAVY).collect()
+    prefixes = tk.durable(_prefixes(documents, classes, heavy, id_type))
 
-    stars = _verify(documents, _star_pairs(classes), classes)
-    first = components(stars)
-    mine = F.coalesce("component", "class").alias("component")
-    # a class may come from several tasks; its rows are equal
-    prefixes = _prefixes(documents, heavy).groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "bits", "tokens")))
-    held = tk.durable(prefixes.join(first.withColumnRenamed("node", "class"), "class", "left").select("class", "n", mine, "bits", "tokens"))
-    shared = held.select(F.explode("tokens").alias("token"), "component").groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_tokens = tk.durable(shared.where("low <> high").select("token"))
+    first = components(_verify(documents, _lead_pairs(prefixes), classes, id_type))
+    held = prefixes.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")).select("class", "n", "component", "bits", "tokens")
+    open_tokens = tk.durable(_open_tokens(held.select(F.explode("tokens").alias("token"), "component")).select("token"))
     bitmap = documents.sparkSession.sparkContext.broadcast(hash_bitmap(open_tokens, "token"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,22 +389,21 @@ def linked_documents(documents: DataFrame, id_type: str = "long") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(place[at]), *(batch.column(c).take(owner) for c in range(4))], names=["token", "place", "class", "n", "component", "bits"])
 
     # tokens that only the bitmap lets through are held within one component, so they make no pair
-    holders = tk.durable(held.mapInArrow(pick, "token long, place long, class long, n long, component long, bits array<long>"))
+    holders = tk.durable(held.mapInArrow(tk.lean(pick), "token long, place long, class long, n long, component long, bits array<long>"))
     best = tk.durable(_pivot_pairs(holders))
-    merged = components(_between(_verify(documents, best, classes), best))
+    merged = components(_between(_verify(documents, best, classes, id_type), best))
     still = _renamed(holders, merged)
-    shared = still.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    cross = tk.durable(_cross_pairs(still.join(shared, "token")))
-    last = components(_between(_verify(documents, cross, classes), cross))
-    named = classes.join(first.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", mine)
-    named = _renamed(_renamed(named, merged), last)
+    cross = tk.durable(_cross_pairs(still.join(_open_tokens(still), "token")))
+    last = components(_between(_verify(documents, cross, classes, id_type), cross))
+    named = classes.join(first.withColumnRenamed("node", "class"), "class", "left").select("class", "hi", "lo", "doc_id", F.coalesce("component", "class").alias("component"))
+    named = tk.durable(_renamed(_renamed(named, merged), last))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    answer = tk.durable(named.join(least, "component").select("class", "component_id"))
-    return docs.join(answer, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("component_id", "doc_id").alias("component_id"))
+    answer = named.join(least, "component").select("hi", "lo", "component_id")
+    return docs.join(answer, ["hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked_documents(tk.read(spark, sf_dir, "documents")).drop("class")
+    return linked_documents(tk.read(spark, sf_dir, "documents"))
 
 
 SQL = {

@@ -21,18 +21,17 @@ _UPPER[0x41:0x5B] = True
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 #: Values from here on share the last bin of a sketch, so a sketch has at most so many bins and one.
 TOP = 2048
-#: Metric: (numerator, denominator, scale, least distance of a fence from the median, whether low values are rejected too).
+#: Metric: (numerator, denominator, scale, middle and outer rank in percent, how many times their distance a fence lies beyond the outer one, whether low values are rejected too).
+#: Ranks, not values: where most texts have none of a thing (repeats of lines and words come in good texts too), the outer rank is further out.
 METRICS = {
-    "word_length": ("word_chars", "n_words", 100, 250, True),
-    "symbols": ("n_symbols", "word_chars", 1000, 60, False),
-    "upper": ("n_upper", "word_chars", 1000, 250, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 400, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 300, False),
+    "word_length": ("word_chars", "n_words", 100, 50, 90, 3, True),
+    "symbols": ("n_symbols", "word_chars", 1000, 50, 90, 3, False),
+    "upper": ("n_upper", "word_chars", 1000, 90, 99, 1, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 90, 99, 1, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, 90, 99, 1, False),
 }
-#: Fences lie so many interquartile ranges from the median at least.
-SPREAD = 6
-#: A sketch of fewer documents is merged up: source, then language, then all.
-LEAST = 50
+#: To a group's sketch its language's is added with the weight of so many documents, and to that of a language the one of all.
+PRIOR = 20
 
 
 def _per_text(where: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -100,45 +99,66 @@ def count_words(documents: DataFrame, id_type: str = "long") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x.astype(np.int64)) for x in count_texts(data, offsets))], names=list(names))
 
     rows = documents.select(F.col("doc_id").cast(id_type).alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
-    return rows.mapInArrow(count, f"doc_id {id_type}, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(tk.lean(count), f"doc_id {id_type}, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _value(metric: str) -> Column:
-    top, bottom, scale, _, _ = METRICS[metric]
+    top, bottom, scale = METRICS[metric][:3]
     return F.when(F.col(bottom) > 0, F.least(F.floor(F.col(top) * scale / F.col(bottom)), F.lit(TOP)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def sketch(counts: DataFrame) -> DataFrame:
     """Mergeable quantile sketches: how many documents of a language and source have a metric in a bin.
 
     Sketches merge by adding counts, in any order, with the same result; the
     error of a quantile is below one bin (1/1000, or 1/100 of a character).
-    Documents without words are left out.
+    Documents that fail the base rules are left out.
     """
     bins = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), _value(m).alias("bin")) for m in METRICS)))
-    return counts.where("n_words > 0").select("lang", "source", bins.alias("b")).groupBy("lang", "source", "b.metric", "b.bin").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(~_base_failed()).select("lang", "source", bins.alias("b")).groupBy("lang", "source", "b.metric", "b.bin").agg(F.count(F.lit(1)).alias("n"))
+
 
+def _with_prior(own: DataFrame, keys: list[str], prior: DataFrame, prior_keys: list[str]) -> DataFrame:
+    """own sketches (keys, metric, bin, weight), each with the one of prior (prior_keys, metric, bin, weight) added as PRIOR documents.
 
-def _quartiles(bins: DataFrame, keys: list[str]) -> DataFrame:
-    """Documents and quartiles of each merged sketch; the windows run over at most TOP + 1 rows."""
-    merged = bins.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
-    whole = Window.partitionBy(*keys, "metric")
-    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(whole))
-    return ranked.groupBy(*keys, "metric").agg(F.max("all").alias("n"), *(F.min(F.when(F.col("upto") * 4 >= F.col("all") * i, F.col("bin"))).alias(f"q{i}") for i in (1, 2, 3)))
+    Weights are whole numbers: a document of own counts as many times as prior
+    has weight, one of prior PRIOR times its weight; so nothing is rounded.
+    """
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"p.{k}")) for k in prior_keys] + [F.col("o.metric") == F.col("p.metric")]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    total = prior.groupBy(*prior_keys, "metric").agg(F.sum("weight").cast("decimal(38,0)").alias("total"))
+    mine = own.alias("o").join(total.alias("p"), on).select(*(F.col(f"o.{k}") for k in keys), "o.metric", "o.bin", (F.col("o.weight") * F.col("p.total")).cast("decimal(38,0)").alias("weight"))
+    groups = own.select(*keys, "metric").distinct()
+    theirs = groups.alias("o").join(prior.alias("p"), on).select(*(F.col(f"o.{k}") for k in keys), "o.metric", "p.bin", (F.col("p.weight") * PRIOR).cast("decimal(38,0)").alias("weight"))
+    return mine.unionByName(theirs).groupBy(*keys, "metric", "bin").agg(F.sum("weight").cast("decimal(38,0)").alias("weight"))
 
 
 def thresholds(bins: DataFrame) -> DataFrame:
-    """lang, source, metric, low, high: a source's own fences, or those of its language or of all where the sketch is small."""
-    own = _quartiles(bins, ["lang", "source"]).alias("own")
-    lang = _quartiles(bins, ["lang"]).alias("by_lang")
-    every = _quartiles(bins, []).alias("every")
-    joined = own.join(lang, F.col("own.lang").eqNullSafe(F.col("by_lang.lang")) & (F.col("own.metric") == F.col("by_lang.metric"))).join(every, F.col("own.metric") == F.col("every.metric"))
-    pick = lambda c: F.when(F.col("own.n") >= LEAST, F.col(f"own.{c}")).when(F.col("by_lang.n") >= LEAST, F.col(f"by_lang.{c}")).otherwise(F.col(f"every.{c}"))
-    chosen = joined.select("own.lang", "own.source", "own.metric", *(pick(c).alias(c) for c in ("q1", "q2", "q3")))
-    metric = lambda i: F.element_at(F.create_map(*(x for m, v in METRICS.items() for x in (F.lit(m), F.lit(v[i])))), F.col("metric"))
-    reach = F.greatest(F.lit(SPREAD) * (F.col("q3") - F.col("q1")), metric(3))
-    return chosen.select("lang", "source", "metric", F.when(metric(4), F.col("q2") - reach).alias("low"), (F.col("q2") + reach).alias("high"))
+    """lang, source, metric, low, high: fences at quantiles of each group's sketch, and a fitted tail beyond them.
+
+    A fence lies beyond the outer rank by so many times its distance from the
+    middle rank (an exponential tail loses an equal share over each such
+    distance), and by one bin, the error of the sketch. Groups with few
+    documents lean on their language, by weights that hold for all sizes.
+    """
+    weigh = lambda keys: bins.groupBy(*keys, "metric", "bin").agg(F.sum("n").cast("decimal(38,0)").alias("weight"))
+    every, lang, own = weigh([]), weigh(["lang"]), weigh(["lang", "source"])
+    merged = _with_prior(own, ["lang", "source"], tk.durable(_with_prior(lang, ["lang"], every, [])), ["lang"])
+    whole = Window.partitionBy("lang", "source", "metric")
+    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most TOP + 1 rows
+    ranked = merged.withColumn("upto", F.sum("weight").over(upto)).withColumn("all", F.sum("weight").over(whole))
+    of = lambda i: F.element_at(F.create_map(*(x for m, v in METRICS.items() for x in (F.lit(m), F.lit(v[i])))), F.col("metric"))
+    at = lambda share: F.min(F.when(F.col("upto") * 100 >= F.col("all") * share, F.col("bin")))
+    found = ranked.groupBy("lang", "source", "metric").agg(at(of(3)).alias("mid"), at(of(4)).alias("outer"), at(100 - of(3)).alias("low_mid"), at(100 - of(4)).alias("low_outer"))
+    high = F.col("outer") + of(5) * (F.col("outer") - F.col("mid")) + 1
+    low = F.col("low_outer") - of(5) * (F.col("low_mid") - F.col("low_outer")) - 1
+    return found.select("lang", "source", "metric", F.when(of(6), low).alias("low"), high.alias("high"))
 
 
 def judge(documents: DataFrame, id_type: str = "long") -> DataFrame:
@@ -147,7 +167,8 @@ def judge(documents: DataFrame, id_type: str = "long") -> DataFrame:
     base_failed: under 50 words, or over half of them in repeated three-word
     windows. kept: not base_failed, and no metric beyond its fences. Null and
     empty texts have no words and fail; null languages and sources are groups
-    of their own; repeated rows each get their row. Other columns are not read.
+    of their own; repeated rows each get their row; a group in which all fail
+    the base rules has no fences. Other columns are not read.
     """
     counts = tk.durable(count_words(documents, id_type))
     limits = thresholds(sketch(counts))
@@ -157,9 +178,9 @@ def judge(documents: DataFrame, id_type: str = "long") -> DataFrame:
         )
     )
     joined = counts.join(wide, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     outside = [F.when((_value(m) > F.col(f"high_{m}")) | (_value(m) < F.coalesce(f"low_{m}", F.lit(-1))), F.lit(m)) for m in METRICS]
     failed = F.array_join(F.array_compact(F.array(*outside)), ",")
+    base = _base_failed()
     return joined.select("doc_id", *COUNTS[:5], base.alias("base_failed"), (~base & (failed == "")).alias("kept"), failed.alias("failed"))
 
 
@@ -169,11 +190,9 @@ def op3_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     value = {m: f"CASE WHEN {v[1]} > 0 THEN least(({v[0]} * {v[2]}) // {v[1]}, {TOP}) ELSE 0 END" for m, v in METRICS.items()}
-    bins = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {value[m]} AS bin FROM c WHERE n_words > 0" for m in METRICS)
-    quart = lambda keys: f"""SELECT {keys} metric, max(total) AS n, min(bin) FILTER (upto * 4 >= total) AS q1, min(bin) FILTER (upto * 4 >= total * 2) AS q2, min(bin) FILTER (upto * 4 >= total * 3) AS q3
-  FROM (SELECT {keys} metric, bin, sum(count(*)) OVER (PARTITION BY {keys} metric ORDER BY bin) AS upto, sum(count(*)) OVER (PARTITION BY {keys} metric) AS total FROM bins GROUP BY {keys} metric, bin) GROUP BY {keys} metric"""
-    pick = lambda c: f"CASE WHEN o.n >= {LEAST} THEN o.{c} WHEN b.n >= {LEAST} THEN b.{c} ELSE e.{c} END AS {c}"
-    rules = ", ".join(f"('{m}', {v[3]}, {str(v[4]).lower()})" for m, v in METRICS.items())
+    bins = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {value[m]} AS bin FROM c WHERE NOT base_failed" for m in METRICS)
+    rules = ", ".join(f"('{m}', {v[3]}, {v[4]}, {v[5]}, {str(v[6]).lower()})" for m, v in METRICS.items())
+    at = lambda share: f"min(bin) FILTER (upto * 100 >= total * ({share}))"
     fails = ", ".join(
         f"CASE WHEN EXISTS (SELECT 1 FROM lim WHERE metric = '{m}' AND lim.lang IS NOT DISTINCT FROM c.lang AND lim.source IS NOT DISTINCT FROM c.source AND ({value[m]} > high OR {value[m]} < low)) THEN '{m}' END" for m in METRICS
     )
@@ -186,16 +205,23 @@ rep AS (SELECT r, count(DISTINCT x) AS n_repeat_words FROM (SELECT r, unnest([i,
 ln AS (SELECT r, line, count(*) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line),
 dup AS (SELECT r, sum(n)::BIGINT AS n_lines, sum(n - 1)::BIGINT AS n_dup_lines FROM ln GROUP BY r),
 wc AS (SELECT r, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars FROM w GROUP BY r),
-c AS (SELECT d.r, doc_id, lang, source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+c AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (SELECT d.r, doc_id, lang, source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
   coalesce(n_lines, 0) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper
-  FROM d LEFT JOIN wc USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r)),
+  FROM d LEFT JOIN wc USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r))),
 bins AS ({bins}),
-lim AS (SELECT lang, source, metric, CASE WHEN lowtoo THEN q2 - greatest({SPREAD} * (q3 - q1), margin) END AS low, q2 + greatest({SPREAD} * (q3 - q1), margin) AS high FROM (
-  SELECT o.lang, o.source, o.metric, {pick('q1')}, {pick('q2')}, {pick('q3')} FROM ({quart('lang, source,')}) o
-  JOIN ({quart('lang,')}) b ON b.lang IS NOT DISTINCT FROM o.lang AND b.metric = o.metric JOIN ({quart('')}) e ON e.metric = o.metric)
-  JOIN (VALUES {rules}) rules(metric, margin, lowtoo) USING (metric)),
-j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, array_to_string(list_filter([{fails}], lambda x: x IS NOT NULL), ',') AS failed FROM c)
+own AS (SELECT lang, source, metric, bin, count(*)::HUGEINT AS w FROM bins GROUP BY ALL),
+by_lang AS (SELECT lang, metric, bin, sum(w)::HUGEINT AS w FROM own GROUP BY ALL),
+every AS (SELECT metric, bin, sum(w)::HUGEINT AS w FROM by_lang GROUP BY ALL),
+lang2 AS (SELECT lang, metric, bin, sum(w)::HUGEINT AS w FROM (SELECT lang, metric, bin, w * (SELECT sum(e.w) FROM every e WHERE e.metric = l.metric) AS w FROM by_lang l
+  UNION ALL SELECT g.lang, metric, e.bin, e.w * {PRIOR} FROM (SELECT DISTINCT lang, metric FROM by_lang) g JOIN every e USING (metric)) GROUP BY ALL),
+own2 AS (SELECT lang, source, metric, bin, sum(w)::HUGEINT AS w FROM (SELECT lang, source, metric, bin, w * (SELECT sum(p.w) FROM lang2 p WHERE p.metric = o.metric AND p.lang IS NOT DISTINCT FROM o.lang) AS w FROM own o
+  UNION ALL SELECT g.lang, g.source, g.metric, p.bin, p.w * {PRIOR} FROM (SELECT DISTINCT lang, source, metric FROM own) g JOIN lang2 p ON p.metric = g.metric AND p.lang IS NOT DISTINCT FROM g.lang) GROUP BY ALL),
+ranked AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, metric ORDER BY bin) AS upto, sum(w) OVER (PARTITION BY lang, source, metric) AS total FROM own2),
+lim AS (SELECT lang, source, metric, outermost + reach * (outermost - mid) + 1 AS high, CASE WHEN lowtoo THEN low_outer - reach * (low_mid - low_outer) - 1 END AS low FROM (
+  SELECT lang, source, metric, {at('any_mid')} AS mid, {at('any_outer')} AS outermost, {at('100 - any_mid')} AS low_mid, {at('100 - any_outer')} AS low_outer, any_value(any_reach) AS reach, any_value(any_low) AS lowtoo
+  FROM ranked JOIN (VALUES {rules}) rules(metric, any_mid, any_outer, any_reach, any_low) USING (metric) GROUP BY lang, source, metric)),
+j AS (SELECT *, array_to_string(list_filter([{fails}], lambda x: x IS NOT NULL), ',') AS failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM j
 """
 
