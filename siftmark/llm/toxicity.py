@@ -20,15 +20,13 @@ STEM = 4
 _SALT = tk.constants(1, 11)[0]
 #: Buckets in fewer training documents keep an embedding of zero, as do those that training never saw.
 MIN_SEEN = 8
-#: Standard errors from even odds beyond which a bucket begins with its log-odds.
-SURE = 5
-#: Labelled documents to learn from: so many of each label at most, those with the smallest hashes of their doc_id.
-MAX_EACH = 3000
-#: Words of one training document that are learned from; scores take whole texts.
-MAX_TRAIN_WORDS = 20_000
-EPOCHS, BATCH, RATE = 5, 32, 0.03
-#: Bins of the scores from which thresholds are chosen.
-BINS = 1000
+#: The bounded sample of labelled documents to learn from: so many of each label at most, those with the smallest hashes of their doc_id, of at most LONGEST words each and TRAIN_WORDS of either label in all. Their texts are learned from whole, as scores take whole texts.
+MAX_EACH, LONGEST, TRAIN_WORDS = 3000, 50_000, 2_000_000
+EPOCHS, BATCH, RATE = 6, 32, 0.1
+#: Spread of the embeddings that training begins with.
+START = 0.02
+#: Bins of the scores from which thresholds are chosen, and the weight, in documents, that all languages have in the choice for one.
+BINS, PRIOR = 1000, 40
 
 
 @dataclass
@@ -108,78 +106,46 @@ def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def train(texts: list[np.ndarray], labels: np.ndarray, rate_of_ones: float | None = None, seed: int = 7) -> Cnn:
-    """A network fitted to texts (arrays of word_ids) and labels (0 or 1), with one text in five kept for calibration.
+    """A network fitted by gradient steps to texts (arrays of word_ids) and labels (0 or 1), with one text in five kept for calibration.
 
-    Words that occur in toxic texts clearly more or less often than in others
-    begin with their smoothed log-odds as the first part of their embedding,
-    which the first filters read. rate_of_ones: the share of label 1 where the
-    scores are used, if it is not that of the labels given. Without both
-    labels the score is the share of label 1.
+    rate_of_ones: the share of label 1 where the scores are used, if it is not
+    that of the labels given. Without both labels the score is the share of
+    label 1.
     """
     rng = np.random.default_rng(seed)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
-    embedding = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
-    filters = [rng.normal(0, 0.3, (k, DIM, FILTERS)).astype(np.float32) for k in WIDTHS]
-    shifts = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
-    model = Cnn(embedding, filters, shifts, rng.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32), 0.0)
+    n_filters = FILTERS * len(WIDTHS)
+    embedding = rng.normal(0, START, (BUCKETS, DIM)).astype(np.float32)
+    filters = [rng.normal(0, (k * DIM) ** -0.5, (k, DIM, FILTERS)).astype(np.float32) for k in WIDTHS]
+    model = Cnn(embedding, filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.abs(rng.normal(0, 0.3, n_filters)).astype(np.float32), float(np.log(share / (1 - share))))
     if len(set(labels.tolist())) < 2:
         model.out[:] = 0
-        model.bias = float(np.log(share / (1 - share)))
         return model
     held = np.arange(len(texts)) % 5 == 4
     learn = np.flatnonzero(~held)
-    seen = np.zeros((2, BUCKETS))
+    seen = np.zeros(BUCKETS, np.int64)
     for i in learn:
         words = np.unique(texts[i])
-        seen[int(labels[i]), words[words < BUCKETS]] += 1
-    size = np.array([(labels[learn] == y).sum() for y in (0, 1)])
-    odds = np.log((seen[1] + 0.5) / (size[1] + 1)) - np.log((seen[0] + 0.5) / (size[0] + 1))
-    sure = np.abs(odds) > SURE * np.sqrt(1 / (seen[0] + 0.5) + 1 / (seen[1] + 0.5))
-    known = seen.sum(0) >= MIN_SEEN
-    embedding[:, 0] = np.where(sure, np.clip(odds, -4, 4) / 2, 0)
+        seen[words[words < BUCKETS]] += 1
+    known = seen >= MIN_SEEN
     embedding[~known] = 0
-    for w in filters:
-        w[:, 0, 0] = 1
-        w[:, 0, 1] = -1
-    model.out[::FILTERS] = 0.5
-    params = [*filters, *shifts, model.out]
+    params = [*filters, *model.shifts, model.out]
     squares = [np.full_like(p, 1e-4) for p in params]
     square_e, square_b = np.full_like(embedding, 1e-3), 1e-4
-    weight = np.array([1.0, 1.0])
     for epoch in range(EPOCHS):
         order, rate = rng.permutation(learn), RATE / (1 + epoch)
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]
             first = np.concatenate([[0], np.cumsum([len(texts[i]) for i in batch])])
             ids, begin = padded(np.concatenate([texts[i] for i in batch]), first)
-            pooled, where = _forward(model, ids, begin)
-            active = np.maximum(pooled, 0)
-            y = labels[batch]
-            p = 1 / (1 + np.exp(-np.clip(active @ model.out + model.bias, -30, 30)))
-            error = ((p - y) * weight[y] / len(batch)).astype(np.float32)
-            back = error[:, None] * model.out[None, :] * (pooled > 0)
-            grads = [np.zeros_like(w) for w in filters] + [np.zeros_like(s) for s in shifts] + [active.T @ error]
-            touched, flows = [], []
-            for no, k in enumerate(WIDTHS):
-                part = back[:, no * FILTERS : (no + 1) * FILTERS]
-                grads[len(WIDTHS) + no] += part.sum(0)
-                for j, half in np.ndindex(k, 2):
-                    word = ids[where[no] + j, half]  # texts x filters
-                    real = (word < BUCKETS) & known[np.minimum(word, BUCKETS - 1)]
-                    e = embedding[np.minimum(word, BUCKETS - 1)] * real[..., None]
-                    grads[no][j] += np.einsum("tf,tfd->df", part, e)
-                    touched.append(word[real])
-                    flows.append((part[..., None] * filters[no][j].T[None])[real])
-            for p_, g, s in zip(params, grads, squares, strict=True):
+            grads, grad_b, rows, grad_e = gradients(model, ids, begin, labels[batch], known)
+            for p, g, s in zip(params, grads, squares, strict=True):
                 s += g * g
-                p_ -= rate * g / np.sqrt(s)
-            square_b += float(error.sum()) ** 2
-            model.bias -= rate * float(error.sum()) / square_b**0.5
-            rows, back_to = np.unique(np.concatenate(touched), return_inverse=True)
-            g = np.zeros((len(rows), DIM), np.float32)
-            np.add.at(g, back_to, np.concatenate(flows))
-            square_e[rows] += g * g
-            embedding[rows] -= rate * g / np.sqrt(square_e[rows])
+                p -= rate * g / np.sqrt(s)
+            square_b += grad_b**2
+            model.bias -= rate * grad_b / square_b**0.5
+            square_e[rows] += grad_e * grad_e
+            embedding[rows] -= rate * grad_e / np.sqrt(square_e[rows])
             model._tables = []
     _calibrate(model, [texts[i] for i in np.flatnonzero(held)], labels[held])
     if rate_of_ones is not None:
@@ -188,6 +154,31 @@ def train(texts: list[np.ndarray], labels: np.ndarray, rate_of_ones: float | Non
     return model
 
 
+def gradients(model: Cnn, ids: np.ndarray, begin: np.ndarray, labels: np.ndarray, known: np.ndarray) -> tuple[list[np.ndarray], float, np.ndarray, np.ndarray]:
+    """Of the mean logistic loss of padded texts: by the filters, shifts and output weights, by the bias, and by rows of the embedding (which rows, and their gradients); only rows that are known have one."""
+    pooled, where = _forward(model, ids, begin)
+    active = np.maximum(pooled, 0)
+    p = 1 / (1 + np.exp(-np.clip(active @ model.out + model.bias, -30, 30)))
+    error = ((p - labels) / len(labels)).astype(pooled.dtype)
+    back = error[:, None] * model.out[None, :] * (pooled > 0)
+    grads = [np.zeros_like(w) for w in model.filters] + [np.zeros_like(s) for s in model.shifts] + [active.T @ error]
+    touched, flows = [], []
+    for no, k in enumerate(WIDTHS):
+        part = back[:, no * FILTERS : (no + 1) * FILTERS]
+        grads[len(WIDTHS) + no] += part.sum(0)
+        for j, half in np.ndindex(k, 2):
+            word = ids[where[no] + j, half]  # texts x filters
+            within = np.minimum(word, BUCKETS - 1)
+            real = (word < BUCKETS) & known[within]
+            grads[no][j] += np.einsum("tf,tfd->df", part, model.embedding[within] * real[..., None])
+            touched.append(word[real])
+            flows.append((part[..., None] * model.filters[no][j].T[None])[real])
+    rows, back_to = np.unique(np.concatenate(touched), return_inverse=True)
+    grad_e = np.zeros((len(rows), DIM), pooled.dtype)
+    np.add.at(grad_e, back_to, np.concatenate(flows))
+    return grads, float(error.sum()), rows, grad_e
+
+
 def _forward(model: Cnn, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Maxima, and the windows they come from (texts x filters of each width), from the words' embeddings at hand."""
     pad, pooled, where = max(WIDTHS) - 1, [], []
@@ -226,32 +217,39 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(True))
 
 
+def _fifth(no: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == no
+
+
 def learnable(labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic): one label a document (the largest of repeated rows), without nulls and held-out documents."""
+    """(doc_id, toxic, chooses): one label a document (the largest of repeated rows), without nulls and held-out documents; one in four of them is kept from training and chooses thresholds."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
-    return rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    return rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).withColumn("chooses", _fifth(1))
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_each: int = MAX_EACH) -> Cnn:
-    """A network from at most max_each documents of either label, with at most MAX_TRAIN_WORDS words each."""
-    known = tk.durable(learnable(labels))
-    order = F.xxhash64("doc_id")
+    """A network from a bounded sample of the documents with a label: see MAX_EACH, LONGEST and TRAIN_WORDS."""
+    known = tk.durable(learnable(labels).where("NOT chooses"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     count = dict(known.groupBy("toxic").count().collect())
-    # at most 2 * max_each ids: small enough to broadcast and to bring their words to the driver
-    chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(max_each).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(max_each))
+    # twice as many as are taken, as some may be too long; at most 4 * max_each ids, small enough to broadcast
+    chosen = known.where("toxic = 1").orderBy(*order).limit(2 * max_each).union(known.where("toxic = 0").orderBy(*order).limit(2 * max_each)).drop("chooses")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in tk.text_chunks(batch.column(2)):
                 ids, first = word_ids(data, offsets)
-                packed = [ids[a : min(b, a + MAX_TRAIN_WORDS)].astype("<u4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                packed = [ids[a:b].astype("<u4").tobytes() if b - a <= LONGEST else None for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "words"])
 
-    found = rows.mapInArrow(tk.lean(words), "doc_id long, toxic int, words binary").collect()
-    found.sort(key=lambda r: (tk.mix(np.array([r.doc_id], np.int64).view(np.uint64))[0], bytes(r.words)))  # the same order whatever the partitions
-    texts = [np.frombuffer(bytes(r.words), "<u4").astype(np.int64).reshape(-1, 2) for r in found]
-    return train([t if len(t) else np.full((1, 2), BUCKETS) for t in texts], np.array([r.toxic for r in found], np.int64), count.get(1, 0) / max(1, sum(count.values())))
+    found = rows.mapInArrow(tk.lean(words), "doc_id long, toxic int, words binary").where("words IS NOT NULL")
+    upto = Window.partitionBy("toxic").orderBy(*order, "words").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over 2 * max_each documents at most
+    ranked = found.withColumns({"nth": F.count(F.lit(1)).over(upto), "upto": F.sum(F.octet_length("words") / 8).over(upto)})
+    taken = ranked.where((F.col("nth") <= max_each) & (F.col("upto") <= TRAIN_WORDS)).select("doc_id", "toxic", "words").collect()
+    taken.sort(key=lambda r: (tk.mix(np.array([r.doc_id], np.int64).view(np.uint64))[0], bytes(r.words)))  # the same order whatever the partitions
+    texts = [np.frombuffer(bytes(r.words), "<u4").astype(np.int64).reshape(-1, 2) for r in taken]
+    return train([t if len(t) else np.full((1, 2), BUCKETS) for t in texts], np.array([r.toxic for r in taken], np.int64), count.get(1, 0) / max(1, sum(count.values())))
 
 
 def score_documents(documents: DataFrame, model: Cnn) -> DataFrame:
@@ -268,12 +266,24 @@ def score_documents(documents: DataFrame, model: Cnn) -> DataFrame:
 
 
 def language_thresholds(scored: DataFrame, labels: DataFrame) -> DataFrame:
-    """(lang, threshold): the score bin from which F1 over the labelled, not held-out documents of a language is largest (the highest of equal ones)."""
-    bins = scored.join(learnable(labels), "doc_id").groupBy("lang", F.floor(F.col("score") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("hits"))
-    whole = Window.partitionBy("lang")
-    above = whole.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most BINS + 1 rows a language
-    f1 = 2 * F.sum("hits").over(above) / (F.sum("n").over(above) + F.sum("hits").over(whole))
-    return bins.select("lang", "bin", f1.alias("f1")).groupBy("lang").agg(F.max_by(F.col("bin") / BINS, F.struct("f1", "bin")).alias("threshold"))
+    """(lang, threshold): from which score F1 is largest over the labelled documents of a language that chose nothing else.
+
+    Neither the training nor held_out() knows these documents. All languages
+    together count as PRIOR documents in each one's choice, so that few labels
+    don't make a threshold of their own. The threshold lies midway between the
+    least score above it and the next below; of equal choices the highest.
+    """
+    known = tk.durable(scored.join(learnable(labels).where("chooses"), "doc_id").select("lang", F.floor(F.col("score") * BINS).alias("bin"), "toxic"))
+    bins = known.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("hits"))
+    down = lambda *keys: Window.partitionBy(*keys).orderBy(F.desc("bin"))  # noqa: E731  over at most BINS + 1 rows of a language, or of all
+    upto = lambda *keys: down(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = lambda df, prefix, *keys: df.withColumns({f"{prefix}{c}": F.sum(c).over(upto(*keys)) for c in ("n", "hits")} | {f"{prefix}all_{c}": F.sum(c).over(Window.partitionBy(*keys)) for c in ("n", "hits")})
+    every = sums(bins.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")), "p_").drop("n", "hits")
+    own = sums(bins, "o_", "lang").withColumn("below", F.coalesce(F.lead("bin").over(down("lang")), F.lit(-1)))
+    both = own.join(every, "bin").withColumn("w", F.lit(float(PRIOR)) / F.col("p_all_n"))
+    of = lambda c: F.col(f"o_{c}") + F.col("w") * F.col(f"p_{c}")
+    best = both.select("lang", "bin", F.round(2 * of("hits") / (of("n") + of("all_hits")), 9).alias("f1"), ((F.col("bin") + F.col("below") + 1) / 2 / BINS).alias("cut"))
+    return best.groupBy("lang").agg(F.max_by("cut", F.struct("f1", "bin")).alias("threshold"))
 
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -91,3 +91,80 @@ def test_toxicity_without_both_labels(spark, where):
     docs, labels = documents(spark, 30)
     assert len({r.score for r in toxicity.classify(docs, labels.where(where)).collect()}) == 1
     assert toxicity.classify(docs.limit(0), labels).count() == 0
+
+
+def small_network(seed=3):
+    """A network with a few known buckets, and two short padded texts."""
+    rng = np.random.default_rng(seed)
+    model = toxicity.Cnn(
+        np.zeros((toxicity.BUCKETS, toxicity.DIM)), [rng.normal(0, 0.5, (k, toxicity.DIM, toxicity.FILTERS)) for k in toxicity.WIDTHS],
+        [rng.normal(0, 0.1, toxicity.FILTERS) for _ in toxicity.WIDTHS], rng.normal(0, 0.5, toxicity.FILTERS * len(toxicity.WIDTHS)), 0.1,
+    )
+    model.embedding[:40] = rng.normal(0, 1, (40, toxicity.DIM))
+    texts = [rng.integers(0, 40, (n, 2)) for n in (7, 1, 12)]
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    return model, texts, np.concatenate(texts), first
+
+
+def naive_score(model, text):
+    """Every window, word by word; a window may reach into the padding behind the text, which adds nothing."""
+    z = model.bias
+    for no, k in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            best = -np.inf
+            for i in range(len(text)):
+                value = model.shifts[no][f]
+                for j in range(k):
+                    if i + j < len(text):
+                        value += sum(model.embedding[part] for part in text[i + j]) @ model.filters[no][j][:, f]
+                best = max(best, value)
+            z += max(best, 0) * model.out[no * toxicity.FILTERS + f]
+    return z
+
+
+def test_network_equals_a_naive_forward_pass():
+    model, texts, ids, first = small_network()
+    got = toxicity.raw_scores(model, ids, first)
+    assert got == pytest.approx([naive_score(model, t) for t in texts], rel=1e-4)
+
+
+def test_gradients_equal_numerical_ones():
+    model, _, ids, first = small_network(5)
+    labels, known = np.array([1, 0, 1]), np.arange(toxicity.BUCKETS) < 40
+    padded, begin = toxicity.padded(ids, first)
+
+    def loss():
+        pooled, _ = toxicity._forward(model, padded, begin)
+        z = np.maximum(pooled, 0) @ model.out + model.bias
+        return float(np.mean(np.logaddexp(0, z) - labels * z))
+
+    grads, grad_b, rows, grad_e = toxicity.gradients(model, padded, begin, labels, known)
+
+    def numeric(array, at, step=1e-6):
+        array[at] += step
+        up = loss()
+        array[at] -= 2 * step
+        down = loss()
+        array[at] += step
+        return (up - down) / (2 * step)
+
+    rng = np.random.default_rng(1)
+    for array, grad in zip([*model.filters, *model.shifts, model.out], grads, strict=True):
+        for _ in range(12):
+            at = tuple(rng.integers(0, n) for n in array.shape)
+            assert grad[at] == pytest.approx(numeric(array, at), abs=1e-6)
+    by_row = dict(zip(rows.tolist(), grad_e, strict=True))
+    for row in range(40):
+        for d in (0, 3, 7):
+            assert by_row.get(row, np.zeros(toxicity.DIM))[d] == pytest.approx(numeric(model.embedding, (row, d)), abs=1e-6)
+    held, model.bias = model.bias, model.bias + 1e-6
+    up, model.bias = loss(), held
+    assert grad_b == pytest.approx((up - loss()) / 1e-6, abs=1e-4)
+
+
+def test_very_long_texts_are_scored_whole(spark):
+    docs, labels = documents(spark)
+    long = "one two three " * 60_000 + "so vile"
+    more = docs.unionByName(spark.createDataFrame([(20_000, long, "en", 0.5), (20_001, "one two three " * 60_000, "en", 0.5)], docs.schema))
+    got = {r.doc_id: r.score for r in toxicity.classify(more, labels).where("doc_id >= 20000").collect()}
+    assert got[20_000] > 0.5 > got[20_001]
