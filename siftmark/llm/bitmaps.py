@@ -11,16 +11,20 @@ BITS = 24
 _BUCKET = 1 << 15
 
 
-def hash_bitmap(hashes: DataFrame, column: str, bits: int = BITS) -> bytes:
-    """A bit for each of two slices of every hash; at most 2**bits / 8 bytes reach the driver."""
+def hash_bitmaps(hashes: DataFrame, columns: list[str], bits: int = BITS) -> list[bytes]:
+    """For each column a bit for each of two slices of every hash; at most 2**bits / 8 bytes a column reach the driver."""
     ones = (1 << bits) - 1
-    places = F.array(F.col(column).bitwiseAND(ones) + 1, F.shiftrightunsigned(F.col(column), 32).bitwiseAND(ones) + 1)
-    parts = hashes.select(F.explode(places).alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("part"))
-    out = bytearray((1 << bits) // 8)
-    for bucket, part in parts.collect():
+    places = [F.struct(F.lit(no).alias("no"), (part.bitwiseAND(ones) + 1).alias("place")) for no, c in enumerate(columns) for part in (F.col(c), F.shiftrightunsigned(c, 32))]
+    parts = hashes.select(F.explode(F.array(*places)).alias("x")).groupBy("x.no", F.bitmap_bucket_number("x.place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x.place")).alias("part"))
+    out = [bytearray((1 << bits) // 8) for _ in columns]
+    for no, bucket, part in parts.collect():
         at = (bucket - 1) * _BUCKET // 8
-        out[at : at + len(part)] = part
-    return bytes(out)
+        out[no][at : at + len(part)] = part
+    return [bytes(x) for x in out]
+
+
+def hash_bitmap(hashes: DataFrame, column: str, bits: int = BITS) -> bytes:
+    return hash_bitmaps(hashes, [column], bits)[0]
 
 
 def bitmap_of(hashes: np.ndarray, bits: int = BITS) -> bytes:

@@ -100,7 +100,7 @@ def contaminated_passages(documents: DataFrame, benchmark: DataFrame) -> DataFra
     items = tk.durable(items.groupBy("words").agg(F.min("doc_id").alias("item_id"), F.first("seeds").alias("seeds")))
     item_seeds = items.select("item_id", F.explode("seeds").alias("s")).select("item_id", F.col("s.seed").alias("seed"), F.col("s.pos").alias("item_pos"))
     bitmap = spark.sparkContext.broadcast(hash_bitmap(item_seeds, "seed"))
-    runs = tk.durable(seed_runs(documents.select(F.col("doc_id").cast("long"), "text"), bitmap))
+    runs = tk.scanned(seed_runs(documents.select(F.col("doc_id").cast("long"), "text"), bitmap))
     hits = (
         runs.select("doc_id", "run", F.explode("seeds").alias("s"))
         .select("doc_id", "run", F.col("s.seed").alias("seed"), F.col("s.pos").alias("pos"))

@@ -59,12 +59,9 @@ def template_hits(documents: DataFrame) -> DataFrame:
     bits = bitmap_of(grams, 18)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 36
         table = np.frombuffer(bits, np.uint8)
         for batch in batches:
-            for i, j, data, offsets in tk.text_chunks(batch.column(1)):
+            for i, j, data, offsets in tk.text_chunks(batch.column(2)):
                 words, _, _, first = tk.words_of(data, offsets, tk.ALNUM, tk.FOLDED)
                 found = tk.gram_hashes(words, K)
                 at = np.flatnonzero(probe(table, found))
@@ -80,13 +77,12 @@ def template_hits(documents: DataFrame) -> DataFrame:
                     votes = [{"pos": int(p) - begin, "gram": g} for p, g in zip(at[a:b], found[at[a:b]].view(np.int64).tolist(), strict=True)]
                     runs[text[a]].append({"start": low - begin, "words": words[low:high].view(np.int64), "grams": votes})
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + j - i)), batch.column(0).slice(i, j - i), pa.array(np.diff(first).astype(np.int64)), pa.array(runs, pa.list_(_RUN))],
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(first).astype(np.int64)), pa.array(runs, pa.list_(_RUN))],
                     names=["row", "doc_id", "n_words", "runs"],
                 )
-                row += j - i
 
     schema = "row long, doc_id long, n_words long, runs array<struct<start: long, words: array<long>, grams: array<struct<pos: long, gram: long>>>>"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tk.lean(scan), schema)
+    return documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tk.lean(scan), schema)
 
 
 def template_places(spark: SparkSession) -> DataFrame:
@@ -132,7 +128,7 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
     Null texts are empty; repeated rows each get theirs; a null doc_id is kept.
     Columns other than doc_id and text are not read.
     """
-    hits = tk.durable(template_hits(documents))
+    hits = tk.scanned(template_hits(documents))
     runs = hits.select("row", F.explode("runs").alias("run"))
     votes = (
         runs.select("row", F.col("run.start").alias("start"), F.explode("run.grams").alias("g"))

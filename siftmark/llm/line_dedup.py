@@ -98,7 +98,7 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
     texts = _texts(documents)
     again = _chunk_hashes(texts).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
     bitmap = documents.sparkSession.sparkContext.broadcast(hash_bitmap(again, "h1"))
-    chunks = durable(_chunk_texts(texts, bitmap))
+    chunks = tk.scanned(_chunk_texts(texts, bitmap))
     place = F.struct(F.coalesce("doc_id", F.lit(_LIMIT)).alias("doc_id"), "key", "no")
     first = durable(chunks.groupBy("h1", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last"))
     return chunks.join(first, ["h1", "chunk"]).where((F.col("key") != F.col("first.key")) | (F.col("no") != F.col("first.no"))).select("key", "no").distinct()
@@ -199,7 +199,7 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
     texts = _texts(documents)
     again = _window_hashes(texts).groupBy("h1").agg(F.sum("n").alias("n")).where("n > 1").select("h1")
     bitmap = documents.sparkSession.sparkContext.broadcast(hash_bitmap(again, "h1"))
-    windows = durable(_window_digests(texts, bitmap))
+    windows = tk.scanned(_window_digests(texts, bitmap))
     place = F.struct(F.coalesce("doc_id", F.lit(_LIMIT)).alias("doc_id"), "key", "no")
     first = durable(windows.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last"))
     return windows.join(first, "digest").where((F.col("key") != F.col("first.key")) | (F.col("no") > F.col("first.no") + 1)).select("key", "no")

@@ -30,14 +30,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .bitmaps import bitmap_of, hash_bitmap, probe
+from .bitmaps import bitmap_of, hash_bitmap, hash_bitmaps, probe
 
 #: Words in a shingle, and the least similarity of a link in percent.
 WIDTH, PERCENT = 5, 80
 #: Shingles of each prefix whose tiles round 1 goes through, and pairs that it tries for a class at most; they affect speed only.
 LEAD, FIRST_TRIES = 8, 3
 #: The most frequent shingles come last in the order of the prefixes: so many at most, of those counted so often in one stretch of texts. They affect speed only.
-HEAVY, HEAVY_LOCAL, HEAVY_TOTAL = 1 << 17, 4, 16
+HEAVY, HEAVY_LOCAL, HEAVY_TOTAL = 1 << 15, 4, 16
 #: Shingles between two counts of a task.
 STRETCH = 1 << 20
 #: 64-bit words of the short bitmaps that go along with the shingles of the tiles.
@@ -77,28 +77,12 @@ def class_of(shingles: np.ndarray) -> tuple[int, int]:
     return hi, lo
 
 
-def signature(shingles: np.ndarray) -> bytes:
-    """Parities of a hashed bitmap; its size is a power of two, at least 64 bits and at least one a shingle."""
-    n_bits = max(64, 1 << (len(shingles) - 1).bit_length())
-    return np.packbits((np.bincount((shingles >> np.uint64(8) & np.uint64(n_bits - 1)).astype(np.int64), minlength=n_bits) & 1).astype(bool)).tobytes()
-
-
-def short_signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray) -> np.ndarray:
     """Parities of a hashed bitmap of WORDS 64-bit words."""
     n_bits = 64 * WORDS
     return np.packbits((np.bincount((shingles >> np.uint64(24) & np.uint64(n_bits - 1)).astype(np.int64), minlength=n_bits) & 1).astype(bool)).view(np.int64)
 
 
-def may_link(n_a: int, sig_a: bytes, n_b: int, sig_b: bytes) -> bool:
-    """Whether the bit counts leave room for a link. The larger bitmap is folded onto the smaller one."""
-    a, b = np.frombuffer(sig_a, np.uint8), np.frombuffer(sig_b, np.uint8)
-    if len(a) > len(b):
-        a, b = b, a
-    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
-    apart = int(np.bitwise_count(a ^ b).sum())
-    return links((n_a + n_b - apart) // 2, n_a, n_b)
-
-
 def links(common: int, n_a: int, n_b: int) -> bool:
     return 100 * common >= PERCENT * (n_a + n_b - common)
 
@@ -107,14 +91,14 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-_SET_ROW = "n long, hi long, lo long, sig binary, bits array<long>, token long, count long"
+_SET_ROW = "n long, hi long, lo long, token long, count long"
 
 
 def _scan_sets(documents: DataFrame, id_type: str = "long") -> DataFrame:
-    """A row (doc_id, n, hi, lo, sig, bits) for each document, and rows (token, count) of shingles that recur within a stretch of a task's texts."""
+    """A row (doc_id, n, hi, lo) for each document, and rows (token, count) of shingles that recur within a stretch of a task's texts."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [{"long": pa.int64(), "string": pa.string()}[id_type], pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+        kinds = [{"long": pa.int64(), "string": pa.string()}[id_type], pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         names = ["doc_id", *(x.split()[0] for x in _SET_ROW.split(", "))]
         pending: list[np.ndarray] = []
         size, seen = 0, set()
@@ -125,7 +109,7 @@ def _scan_sets(documents: DataFrame, id_type: str = "long") -> DataFrame:
                 token, count = np.unique(np.concatenate(pending), return_counts=True)
                 often = count >= HEAVY_LOCAL
                 token, count = token[often].view(np.int64), count[often]
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(token), k) for k in kinds[:6]), pa.array(token), pa.array(count)], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(token), k) for k in kinds[:4]), pa.array(token), pa.array(count)], names=names)
             pending.clear()
             seen.clear()
             size = 0
@@ -134,18 +118,18 @@ def _scan_sets(documents: DataFrame, id_type: str = "long") -> DataFrame:
             ids, rows = batch.column(0).to_pylist(), []
             for row, shingles in shingle_sets(batch.column(1)):
                 if not len(shingles):
-                    rows.append((ids[row], 0, None, None, None, None))
+                    rows.append((ids[row], 0, None, None))
                     continue
                 name = class_of(shingles)
-                rows.append((ids[row], len(shingles), *name, signature(shingles), short_signature(shingles)))
+                rows.append((ids[row], len(shingles), *name))
                 if name not in seen:
                     seen.add(name)
                     pending.append(shingles)
                     size += len(shingles)
                 if size >= STRETCH:
                     yield from heavy()
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds[:6], strict=True)), *(pa.nulls(len(rows), k) for k in kinds[6:])], names=names)
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds[:4], strict=True)), *(pa.nulls(len(rows), k) for k in kinds[4:])], names=names)
         yield from heavy()
 
     return documents.select(F.col("doc_id").cast(id_type).alias("doc_id"), "text").mapInArrow(tk.lean(go), f"doc_id {id_type}, {_SET_ROW}")
@@ -159,7 +143,7 @@ def _of_classes(documents: DataFrame, classes: DataFrame, id_type: str, emit: Ca
     """
     context = documents.sparkSession.sparkContext
     own = classes.select("class", "hi", "lo", F.xxhash64("doc_id").alias("place"))
-    places, heads = context.broadcast(hash_bitmap(own, "place")), context.broadcast(hash_bitmap(own, "hi"))
+    places, heads = map(context.broadcast, hash_bitmaps(own, ["place", "hi"]))
     names = ["hi", "lo", *(x.split()[0] for x in schema.split(", "))]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +164,7 @@ def _of_classes(documents: DataFrame, classes: DataFrame, id_type: str, emit: Ca
 
 
 def _prefixes(documents: DataFrame, classes: DataFrame, heavy: list, id_type: str) -> DataFrame:
-    """(class, n, tokens, bits): each class's first shingles, in order, and its short signature; frequent shingles come last, the rest in the order of their hashes."""
+    """(class, n, tokens, bits): each class's first shingles, in order, and its signature; frequent shingles come last, the rest in the order of their hashes."""
     token = np.array([t for t, _ in heavy], np.int64).view(np.uint64)
     order = np.argsort(token)
     shared = documents.sparkSession.sparkContext.broadcast((token[order], np.array([c for _, c in heavy], np.int64)[order], bitmap_of(token, 20)))
@@ -196,28 +180,18 @@ def _prefixes(documents: DataFrame, classes: DataFrame, heavy: list, id_type: st
             if found.any():
                 weight = np.zeros(n, np.int64)
                 weight[at[found]] = count[place[found]]
-                return n, shingles[np.lexsort((shingles, weight))[:p]].view(np.int64), short_signature(shingles)
-        return n, shingles[:p].view(np.int64), short_signature(shingles)
+                return n, shingles[np.lexsort((shingles, weight))[:p]].view(np.int64), signature(shingles)
+        return n, shingles[:p].view(np.int64), signature(shingles)
 
     return _of_classes(documents, classes, id_type, emit, "n long, tokens array<long>, bits array<long>", [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())])
 
 
 def _verify(documents: DataFrame, pairs: DataFrame, classes: DataFrame, id_type: str) -> DataFrame:
-    """The pairs (a, b) of classes that are links; pairs may have other columns."""
-    pairs, sigs = pairs.select("a", "b"), classes.select("class", "n", "sig")
-    both = (
-        pairs.join(sigs.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a")
-        .join(sigs.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
-        .select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
-    )
+    """The pairs (a, b) of classes that are links, by intersecting their sorted arrays; pairs (kept) may have other columns.
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_a, n_b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = [may_link(x, sx, y, sy) for x, y, sx, sy in zip(n_a, n_b, batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    near = tk.durable(both.mapInArrow(tk.lean(bound), "a long, b long"))
+    Only texts of these classes are hashed again, each class's once.
+    """
+    near = pairs.select("a", "b")
     wanted = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     ends = tk.durable(classes.select("class", "hi", "lo", "doc_id").join(wanted, "class"))
     sets = tk.durable(_of_classes(documents, ends, id_type, lambda shingles: (shingles.tobytes(),), "shingles binary", [pa.binary()]))
@@ -364,15 +338,15 @@ def linked_documents(documents: DataFrame, id_type: str = "long") -> DataFrame:
     other. Columns other than doc_id and text are not read. id_type is long
     or string, and also the order of the ids.
     """
-    scanned = tk.durable(_scan_sets(documents, id_type))
+    scanned = tk.scanned(_scan_sets(documents, id_type))
     docs = scanned.where("n is not null").select("doc_id", "n", "hi", "lo")
-    by_name = scanned.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "sig", "bits")))
+    by_name = scanned.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"))
     classes = tk.durable(by_name.withColumn("class", F.monotonically_increasing_id()))  # kept, so the numbers stay
     tokens = scanned.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= HEAVY_TOTAL)
     heavy = tokens.orderBy(F.desc("count"), "token").limit(HEAVY).collect()
-    prefixes = tk.durable(_prefixes(documents, classes, heavy, id_type))
+    prefixes = tk.scanned(_prefixes(documents, classes, heavy, id_type))
 
-    first = components(_verify(documents, _lead_pairs(prefixes), classes, id_type))
+    first = components(_verify(documents, tk.durable(_lead_pairs(prefixes)), classes, id_type))
     held = prefixes.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")).select("class", "n", "component", "bits", "tokens")
     open_tokens = tk.durable(_open_tokens(held.select(F.explode("tokens").alias("token"), "component")).select("token"))
     bitmap = documents.sparkSession.sparkContext.broadcast(hash_bitmap(open_tokens, "token"))

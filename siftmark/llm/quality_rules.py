@@ -170,7 +170,7 @@ def judge(documents: DataFrame, id_type: str = "long") -> DataFrame:
     of their own; repeated rows each get their row; a group in which all fail
     the base rules has no fences. Other columns are not read.
     """
-    counts = tk.durable(count_words(documents, id_type))
+    counts = tk.scanned(count_words(documents, id_type))
     limits = thresholds(sketch(counts))
     wide = tk.durable(
         limits.groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(

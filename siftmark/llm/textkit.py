@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.durable import kept as durable  # noqa: F401  the operators take it from here
+from ..sources.durable import kept as durable
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -168,6 +168,11 @@ def lean(go: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return run
 
 
+def scanned(df: DataFrame) -> DataFrame:
+    """durable() for what comes from a pass over the texts: more tasks a core, as each has much to read."""
+    return durable(df, 16)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -293,7 +293,7 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     each get theirs; null languages are a language. Without labels of both
     kinds the score is one number for all.
     """
-    scored = tk.durable(score_documents(documents, fit(documents, labels)))
+    scored = tk.scanned(score_documents(documents, fit(documents, labels)))
     limits = tk.durable(language_thresholds(scored, labels)).withColumnRenamed("lang", "of")
     joined = scored.join(limits, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
     return joined.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "lang", "threshold", (F.col("score") >= F.col("threshold")).alias("toxic"))

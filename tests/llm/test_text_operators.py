@@ -238,13 +238,15 @@ def test_ngram_join_against_brute_force(spark, seed, monkeypatch):
 
 def test_bit_counts_bound_the_overlap():
     rng = np.random.default_rng(2)
-    for _ in range(200):
+    for _ in range(300):
         n, m, common = (int(x) for x in rng.integers(1, 400, 3))
         common = min(common, n, m)
         pool = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64))
         a, b = pool[:n], pool[n - common : n - common + m]
-        if ngram_join.links(len(np.intersect1d(a, b)), len(a), len(b)):
-            assert ngram_join.may_link(len(a), ngram_join.signature(a), len(b), ngram_join.signature(b))
+        apart = int(np.bitwise_count((ngram_join.signature(a) ^ ngram_join.signature(b)).view(np.uint64)).sum())
+        assert apart <= n + m - 2 * len(np.intersect1d(a, b))
+        if ngram_join.links(len(np.intersect1d(a, b)), n, m):
+            assert apart * (100 + ngram_join.PERCENT) <= (n + m) * (100 - ngram_join.PERCENT)
 
 
 def test_components_of_a_long_chain(spark):
