@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pairs import set_sizes, shared_hashes, with_sizes
+from ..sources.durable import kept
+from .pairs import pair_counts, set_sizes, with_sizes
 
 # Share of submissions from which a hash is boilerplate, and the least number of submissions for that.
 THRESHOLD, LEAST = 0.7, 3
@@ -46,10 +47,9 @@ def adjusted_pairs(sets: DataFrame, stats: DataFrame) -> DataFrame:
     overlap is the share of common boilerplate in the union.
     """
     flags = stats.select("assignment_id", "hash", "is_boilerplate")
-    flagged = sets.join(flags, ["assignment_id", "hash"])
+    flagged = kept(sets.join(flags, ["assignment_id", "hash"]))
     own = flagged.groupBy("assignment_id", "submission_id").agg(F.count_if(~F.col("is_boilerplate")).alias("size"))
-    shared = shared_hashes(sets).join(flags, ["assignment_id", "hash"])
-    counts = shared.groupBy("assignment_id", "a", "b").agg(F.count(F.lit(1)).alias("shared"), F.count_if("is_boilerplate").alias("n_boilerplate"))
+    counts = pair_counts(flagged, flags=["is_boilerplate"]).withColumnRenamed("n_is_boilerplate", "n_boilerplate")
     clean = own.withColumnRenamed("size", "clean")
     of = lambda side: clean.select("assignment_id", F.col("submission_id").alias(side), F.col("clean").alias(f"clean_{side}"))
     joined = with_sizes(counts, set_sizes(sets)).join(of("a"), ["assignment_id", "a"]).join(of("b"), ["assignment_id", "b"])

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,54 +14,93 @@ from .intake import LARGE_CHARS, LARGE_LINES
 
 # Fixed value: lines of a changed block on either side up to which its tokens are compared.
 TOKEN_LINES = 100
+#: Pairs of elements that one table of bits may have; larger ones are halved first, so memory stays linear in the texts.
+CELLS = 1 << 26
+
+
+def _rows(a: Sequence[int], b: Sequence[int]) -> Iterator[int]:
+    """For each prefix of a, a number with a 0 bit at each j where a common subsequence with b[: j + 1] is longer than with b[:j]."""
+    places: dict[int, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        hit = row & places.get(x, 0)
+        row = (row + hit | row - hit) & full
+        yield row
+
+
+def _lengths(row: int, m: int) -> np.ndarray:
+    """Lengths of the longest common subsequence with the first 0, 1, ... m elements, of one of _rows()."""
+    zeros = 1 - np.unpackbits(np.frombuffer(row.to_bytes((m + 7) // 8, "little"), np.uint8), bitorder="little")[:m].astype(np.int64)
+    return np.concatenate([[0], np.cumsum(zeros)])
+
+
+def _matches(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, found from the end: equal ends match, else a's end is left out where that costs nothing, else b's."""
+    rows = [(1 << len(b)) - 1, *_rows(a, b)]
+    out, i, j = [], len(a), len(b)
+    longest = (rows[i] & (1 << j) - 1).bit_count() if j else 0
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+            longest = (rows[i] & (1 << j) - 1).bit_count()
+        elif (above := (rows[i - 1] & (1 << j) - 1).bit_count()) <= longest:
+            i, longest = i - 1, above
+        else:
+            j -= 1
+            longest = (rows[i] & (1 << j) - 1).bit_count()
+    return out[::-1]
 
 
-def edit_script(a: Sequence, b: Sequence, equal: Callable = lambda x, y: x == y) -> list[tuple[str, int, int]]:
-    """A shortest script from a to b: (equal, i, j), (delete, i, -1) and (insert, -1, j).
+def common_places(a: Sequence[Hashable], b: Sequence[Hashable]) -> list[tuple[int, int]]:
+    """(i, j) of a longest common subsequence of a and b, in order.
 
-    Myers' greedy search: the farthest reach of each diagonal for 0, 1, ...
-    edits; each round is kept, only as wide as it is, to walk back along.
+    Tables of bits, 64 elements a step. A pair with more than CELLS pairs of
+    elements is cut where the best ways through both halves of a meet, and so
+    on, so no table grows with the product of the lengths.
+    """
+    names: dict[Hashable, int] = {}
+    x, y = ([names.setdefault(v, len(names)) for v in side] for side in (a, b))
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < n and j < m and x[n - 1] == y[m - 1]:
+            n, m = n - 1, m - 1
+            out.append((n, m))
+        if i == n or j == m:
+            continue
+        if (n - i) * (m - j) <= CELLS or n - i == 1:
+            out += [(i + p, j + q) for p, q in _matches(x[i:n], y[j:m])]
+            continue
+        half = (i + n) // 2
+        for up in _rows(x[i:half], y[j:m]):
+            pass
+        for down in _rows(x[half:n][::-1], y[j:m][::-1]):
+            pass
+        best = j + int((_lengths(up, m - j) + _lengths(down, m - j)[::-1]).argmax())
+        todo += [(i, half, j, best), (half, n, best, m)]
+    return sorted(out)
+
+
+def edit_script(a: Sequence, b: Sequence, key: Callable[..., Hashable] = lambda x: x) -> list[tuple[str, int, int]]:
+    """A shortest script from a to b: (equal, i, j), (delete, i, -1) and (insert, -1, j); between equal elements deletions come before insertions.
+
+    Elements are equal if their keys are.
     """
-    low = 0
-    while low < min(len(a), len(b)) and equal(a[low], b[low]):
-        low += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - low and equal(a[-1 - tail], b[-1 - tail]):
-        tail += 1
-    n, m = len(a) - low - tail, len(b) - low - tail
-    reach, rounds, d = {1: 0}, [], 0
-    while True:
-        rounds.append(reach)
-        now = {}
-        for k in range(-d, d + 1, 2):
-            x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
-            while x < n and 0 <= x - k < m and equal(a[low + x], b[low + x - k]):
-                x += 1
-            now[k] = x
-            if x >= n and x - k >= m:
-                break
-        if now.get(n - m, -1) >= n:
-            break
-        reach, d = now | {k: now.get(k, -1) for k in range(-d - 1, d + 2)}, d + 1
-    out: list[tuple[str, int, int]] = [("equal", len(a) - 1 - t, len(b) - 1 - t) for t in range(tail)]
-    x, y = n, m
-    for d in range(len(rounds) - 1, -1, -1):
-        k, reach = x - y, rounds[d]
-        down = k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1))
-        before_k = k + 1 if down else k - 1
-        before_x = reach.get(before_k, 0)
-        before_y = before_x - before_k
-        while x > max(before_x, 0) and y > max(before_y, 0) and (d == 0 or (x, y) != ((before_x, before_y + 1) if down else (before_x + 1, before_y))):
-            x, y = x - 1, y - 1
-            out.append(("equal", low + x, low + y))
-        if d:
-            if down:
-                y -= 1
-                out.append(("insert", -1, low + y))
-            else:
-                x -= 1
-                out.append(("delete", low + x, -1))
-    return [("equal", i, i) for i in range(low)] + out[::-1]
+    out: list[tuple[str, int, int]] = []
+    i = j = 0
+    for p, q in [*common_places([key(x) for x in a], [key(y) for y in b]), (len(a), len(b))]:
+        out += [("delete", k, -1) for k in range(i, p)] + [("insert", -1, k) for k in range(j, q)]
+        if p < len(a):
+            out.append(("equal", p, q))
+        i, j = p + 1, q + 1
+    return out
 
 
 def blocks(script: list[tuple[str, int, int]]) -> list[tuple[str, list[int], list[int]]]:
@@ -82,7 +122,7 @@ def blocks(script: list[tuple[str, int, int]]) -> list[tuple[str, list[int], lis
     return merged
 
 
-OPS = "assignment_id string, a long, b long, op_no int, type string, a_start int, a_end int, b_start int, b_end int, token_equal int, token_delete int, token_insert int"
+OPS = "assignment_id string, a long, b long, op_no int, type string, a_start int, a_end int, b_start int, b_end int, token_equal int, token_delete int, token_insert int, truncated boolean"
 
 
 def _tokens(text: str, language: str) -> list[tuple[str, str]]:
@@ -97,35 +137,40 @@ def _tokens(text: str, language: str) -> list[tuple[str, str]]:
     return out
 
 
-def pair_diff(pairs: DataFrame) -> DataFrame:
-    """OPS of pairs (assignment_id, a, b, code_a, code_b, language): blocks of lines that are equal (but for space at their ends), deleted, inserted or modified.
+def token_key(token: tuple[str, str]) -> Hashable:
+    """Names are equal by their text, all other tokens by their type."""
+    return token if token[0] == "VAR" else token[0]
 
-    Modified blocks carry the counts of their token script; a long pair, or a
-    block of over TOKEN_LINES lines, has none. Pairs are spread over tasks;
-    one pair's script is found in one.
-    """
 
-    def same_token(x, y):
-        return x[1] == y[1] or (x[0] == y[0] and x[0] != "VAR")
+def pair_diff(pairs: DataFrame, line_key: Callable[[str], Hashable] = str.strip, token_lines: int | None = TOKEN_LINES, large: tuple[int, int] | None = (LARGE_LINES, LARGE_CHARS)) -> DataFrame:
+    """OPS of pairs (assignment_id, a, b, code_a, code_b, language): blocks of lines that are equal by line_key, deleted, inserted or modified.
+
+    Modified blocks carry the counts of their token script. A pair of more
+    lines or characters than large, or a block of over token_lines lines, has
+    none and is marked truncated; None for either sets no such limit. Pairs
+    are spread over tasks; one pair's script is found in one. Null code is
+    empty.
+    """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in OPS.split(", ")]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), *[pa.int32()] * 7]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), *[pa.int32()] * 7, pa.bool_()]
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 left, right = (r["code_a"] or "").split("\n"), (r["code_b"] or "").split("\n")
-                large = len(left) + len(right) > LARGE_LINES or len(r["code_a"] or "") + len(r["code_b"] or "") > LARGE_CHARS
-                script = edit_script([x.strip() for x in left], [x.strip() for x in right])
+                long = large is not None and (len(left) + len(right) > large[0] or len(r["code_a"] or "") + len(r["code_b"] or "") > large[1])
+                script = edit_script(left, right, line_key)
                 for no, (kind, i, j) in enumerate(blocks(script)):
                     counts = {"equal": None, "delete": None, "insert": None}
-                    if kind == "modify" and not large and max(len(i), len(j)) <= TOKEN_LINES:
+                    cut = kind == "modify" and (long or (token_lines is not None and max(len(i), len(j)) > token_lines))
+                    if kind == "modify" and not cut:
                         sides = [_tokens("\n".join(text[p] for p in at), r["language"]) for text, at in ((left, i), (right, j))]
                         if all(sides):
-                            edits = [t for t, _, _ in edit_script(*sides, same_token)]
+                            edits = [t for t, _, _ in edit_script(*sides, token_key)]
                             counts = {t: edits.count(t) for t in counts}
                     lines = [x for at in (i, j) for x in ((at[0] + 1, at[-1] + 1) if at else (None, None))]
-                    rows.append((r["assignment_id"], r["a"], r["b"], no, kind, *lines, *counts.values()))
+                    rows.append((r["assignment_id"], r["a"], r["b"], no, kind, *lines, *counts.values(), cut))
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 

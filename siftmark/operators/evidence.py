@@ -35,19 +35,23 @@ def matched_regions(raw: DataFrame) -> DataFrame:
     """assignment_id, a, b, regions (sa, sb, ea, eb, n): raw regions by start, folded while both sides begin at most GAP lines after the last end.
 
     A pair's regions are at most as many as its hashes, so the sorted fold
-    runs over one array.
+    runs over one array. The region at hand is kept beside the closed ones,
+    which are copied only when one more is closed.
     """
-    kind = "array<struct<sa: int, sb: int, ea: int, eb: int, n: int>>"
+    region = "struct<sa: int, sb: int, ea: int, eb: int, n: int>"
     collected = F.array_sort(F.collect_list(F.struct(*(F.col(c).cast("int").alias(c) for c in ("sa", "sb", "ea", "eb")), F.lit(1).alias("n"))))
+    start = F.struct(F.array().cast(f"array<{region}>").alias("done"), F.lit(None).cast(region).alias("last"))
 
-    def fold(done: Column, c: Column) -> Column:
-        last = F.element_at(done, -1)
-        near = (F.size(done) > 0) & (c["sa"] <= F.try_element_at(done, F.lit(-1))["ea"] + GAP) & (c["sb"] <= F.try_element_at(done, F.lit(-1))["eb"] + GAP)
+    def fold(state: Column, c: Column) -> Column:
+        last = state["last"]
+        near = (c["sa"] <= last["ea"] + GAP) & (c["sb"] <= last["eb"] + GAP)
         merged = F.struct(last["sa"].alias("sa"), last["sb"].alias("sb"), F.greatest(last["ea"], c["ea"]).alias("ea"), F.greatest(last["eb"], c["eb"]).alias("eb"), (last["n"] + c["n"]).alias("n"))
-        return F.when(near, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(merged))).otherwise(F.concat(done, F.array(c)))
+        next_one = F.struct(F.concat(state["done"], F.array(last)).alias("done"), c.alias("last"))
+        first = F.struct(state["done"].alias("done"), c.alias("last"))
+        return F.when(last.isNull(), first).when(near, F.struct(state["done"].alias("done"), merged.alias("last"))).otherwise(next_one)
 
     grouped = raw.groupBy("assignment_id", "a", "b").agg(collected.alias("raw"))
-    return grouped.select("assignment_id", "a", "b", F.aggregate("raw", F.array().cast(kind), fold).alias("regions"))
+    return grouped.select("assignment_id", "a", "b", F.aggregate("raw", start, fold, lambda s: F.concat(s["done"], F.array(s["last"]))).alias("regions"))
 
 
 def line_coverage(regions: Column, side: str) -> Column:

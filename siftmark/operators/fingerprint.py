@@ -1,13 +1,13 @@
-"""K-grams, their hashes, and winnowing, as windows over tokens."""
+"""K-grams, their hashes, and winnowing: as windows over token rows, and inside one row for texts whose tokens need no lines."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.hashing import horner, token_value
-from .tokens import KEYS
+from ..functions.hashing import BASE, MODULUS, horner, token_value
+from .tokens import KEYS, prose_words
 
 # Tokens in a k-gram, and k-grams in a window.
 K, W = 5, 4
@@ -60,3 +60,56 @@ def fingerprint_counts(submissions: DataFrame, tokens: DataFrame, k: int = K, w:
     for df, name in ((tokens, "n_tokens"), (hashes, "n_kgrams"), (winnow(hashes, w), "n_fingerprints")):
         out = out.join(count(df, name), list(KEYS), "left")
     return out.select(*KEYS, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_tokens", "n_kgrams", "n_fingerprints")))
+
+
+_PLACES = (1 << 32) - 1
+
+
+def _kgram_array(values: Column, k: int) -> Column:
+    """Hashes of all k-grams of an array of token values; horner() along k arrays, each shifted by one."""
+    n = F.greatest(F.size(values) - (k - 1), F.lit(0))
+    total = F.transform(F.slice(values, F.lit(1), n), lambda v: v % MODULUS)
+    for j in range(1, k):
+        total = F.zip_with(total, F.slice(values, F.lit(j + 1), n), lambda h, v: (h * BASE + v) % MODULUS)
+    return total
+
+
+def _winnow_array(places: Column, w: int) -> Column:
+    """Distinct least values of every w consecutive ones, or of all if there are w or fewer."""
+    n = F.size(places) - (w - 1)
+    some = F.greatest(n, F.lit(0))
+    least = F.slice(places, F.lit(1), some)
+    for j in range(1, w):
+        least = F.zip_with(least, F.slice(places, F.lit(j + 1), some), lambda a, b: F.least(a, b))
+    return F.when(n > 1, F.array_distinct(least)).when(F.size(places) > 0, F.array(F.array_min(places))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _placed(texts: DataFrame, k: int) -> DataFrame:
+    """KEYS, n_tokens, places: every k-gram as one number, its hash above the reversed position, so that the least of some is the rightmost of the least hashes."""
+    if k <= 0:
+        raise ValueError(f"k must be positive, got {k}")
+    valued = texts.select(*KEYS, F.transform(prose_words(F.col("text")), token_value).alias("values"))
+    hashed = valued.select(*KEYS, F.size("values").cast("long").alias("n_tokens"), _kgram_array(F.col("values"), k).alias("hashes"))
+    return hashed.select(*KEYS, "n_tokens", F.transform("hashes", lambda h, i: h * (_PLACES + 1) + (_PLACES - i)).alias("places"))
+
+
+def prose_fingerprints(texts: DataFrame, k: int = K, w: int = W) -> DataFrame:
+    """fingerprints(prose_tokens(texts)) of texts (KEYS, text; one row each), by array functions in each row: nothing is shuffled, and only fingerprints become rows."""
+    if w <= 0:
+        raise ValueError(f"w must be positive, got {w}")
+    picked = _placed(texts, k).select(*KEYS, F.explode(_winnow_array(F.col("places"), w)).alias("p"))
+    place = F.lit(_PLACES) - F.col("p").bitwiseAND(F.lit(_PLACES))
+    return picked.select(*KEYS, F.shiftright("p", 32).alias("hash"), place.cast("int").alias("pos"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
+
+
+def prose_counts(texts: DataFrame, k: int = K, w: int = W) -> DataFrame:
+    """fingerprint_counts() of texts (KEYS, text), in each row."""
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    counts = _placed(texts, k).select(*KEYS, "n_tokens", n(F.col("places")).alias("n_kgrams"), n(_winnow_array(F.col("places"), w)).alias("n_fingerprints"))
+    return counts.withColumn("n_tokens", F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("long")).withColumn("n_kgrams", F.greatest("n_kgrams", F.lit(0))).withColumn("n_fingerprints", F.greatest("n_fingerprints", F.lit(0)))
+
+
+def prose_sets(texts: DataFrame, k: int = K, w: int = W) -> DataFrame:
+    """KEYS, hash: distinct_hashes(prose_fingerprints(texts)), in each row."""
+    hashes = F.array_distinct(F.transform(_winnow_array(F.col("places"), w), lambda p: F.shiftright(p, 32)))
+    return _placed(texts, k).select(*KEYS, F.explode(hashes).alias("hash"))

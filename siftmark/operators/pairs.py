@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.durable import kept
 from .tokens import KEYS
 
 
@@ -24,15 +27,47 @@ def shared_hashes(sets: DataFrame, within: str | None = "assignment_id") -> Data
     return a.join(b, [within, "hash"] if within else ["hash"]).where("a < b")
 
 
+def set_classes(sets: DataFrame) -> DataFrame:
+    """KEYS, class, size: submissions with equal sets have one class, named by the SHA-256 of their sorted hashes."""
+    hashes = F.sort_array(F.collect_set("hash"))
+    named = sets.groupBy(*KEYS).agg(hashes.alias("hashes"))
+    return named.select(*KEYS, F.sha2(F.array_join(F.transform("hashes", lambda h: h.cast("string")), ","), 256).alias("class"), F.size("hashes").cast("long").alias("size"))
+
+
+def pair_counts(sets: DataFrame, within: str | None = "assignment_id", flags: Sequence[str] = ()) -> DataFrame:
+    """(within,) a, b, shared and n_<flag> of all pairs with a common hash, a < b: how many hashes they share, and how many of these bear each boolean flag of sets.
+
+    Copies are joined once: hashes meet between one submission of each class
+    of equal sets, and the counts of two classes hold for all their members.
+    So a hash that many copies hold makes as many rows as it has pairs of
+    different sets, and what is left grows with the result alone.
+    """
+    keys = [within] if within else []
+    named = kept(set_classes(sets))
+    reps = named.groupBy(*keys, "class").agg(F.min(F.struct("submission_id", "assignment_id")).alias("rep"), F.count(F.lit(1)).alias("members"), F.first("size").alias("size"))
+    reps = reps.select(*keys, "class", F.col("rep.submission_id").alias("submission_id"), F.col("rep.assignment_id").alias("rep_assignment"), "members")
+    own = sets.join(reps.select("class", "members", "submission_id", F.col("rep_assignment").alias("assignment_id")), list(KEYS)).select(*keys, "class", "members", "hash", *flags)
+    own = kept(own)
+    sums = [F.count(F.lit(1)).alias("shared"), *(F.count_if(f).alias(f"n_{f}") for f in flags)]
+    counts = ["shared", *(f"n_{f}" for f in flags)]
+    side = lambda s: own.select(*keys, "hash", F.col("class").alias(f"class_{s}"), *(flags if s == "a" else ()))
+    met = side("a").join(side("b"), [*keys, "hash"]).where("class_a < class_b").groupBy(*keys, "class_a", "class_b").agg(*sums)
+    alike = own.where("members > 1").groupBy(*keys, F.col("class").alias("class_a")).agg(*sums)
+    alike = alike.select(*keys, "class_a", F.col("class_a").alias("class_b"), *counts)
+    member = lambda s: named.select(*keys, F.col("class").alias(f"class_{s}"), F.col("submission_id").alias(s))
+    across = met.join(member("a"), [*keys, "class_a"]).join(member("b"), [*keys, "class_b"]).select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *counts)
+    inside = alike.join(member("a"), [*keys, "class_a"]).join(member("b"), [*keys, "class_b"]).where("a < b").select(*keys, "a", "b", *counts)
+    return across.unionByName(inside)
+
+
 def candidate_pairs(sets: DataFrame, within: str | None = "assignment_id") -> DataFrame:
     """Pairs with a common hash and how many they share: (assignment_id,) a, b, shared."""
-    keys = [within] if within else []
-    return shared_hashes(sets, within).groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    return pair_counts(sets, within)
 
 
-def inverted_index(sets: DataFrame) -> DataFrame:
-    """assignment_id, hash, submission_ids (sorted), n."""
-    grouped = sets.groupBy("assignment_id", "hash").agg(F.array_sort(F.collect_set("submission_id")).alias("submission_ids"))
+def inverted_index(sets: DataFrame, block: int = 1000) -> DataFrame:
+    """assignment_id, hash, block, submission_ids (sorted), n: a hash's holders, in blocks by their number, so that no list is longer than a block."""
+    grouped = sets.groupBy("assignment_id", "hash", F.floor(F.col("submission_id") / block).alias("block")).agg(F.array_sort(F.collect_set("submission_id")).alias("submission_ids"))
     return grouped.withColumn("n", F.size("submission_ids").cast("long"))
 
 

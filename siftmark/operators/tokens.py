@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,9 +15,19 @@ from .language import lookup, resolve_language
 KEYS = ("assignment_id", "submission_id")
 
 
-def lexemes(code: DataFrame, language: Language) -> DataFrame:
-    """KEYS, i, lexeme, start, line, column: every lexeme with the place where it begins (offsets from 0, lines from 1)."""
-    found = code.select(*KEYS, F.posexplode(F.regexp_extract_all("code", F.lit(lexeme_pattern(language)), F.lit(0))).alias("i", "lexeme"))
+def _by_language(languages: Mapping[str, Language], value: Callable[[Language], Column]) -> Column:
+    """value of the row's language; null for others. Only the branch of a row's language is evaluated."""
+    return reduce(lambda chain, name: chain.when(F.col("language") == name, value(languages[name])), languages, F.when(F.lit(False), F.lit(None)))
+
+
+def lexemes(code: DataFrame, languages: Mapping[str, Language] = LANGUAGES) -> DataFrame:
+    """KEYS, language, i, lexeme, start, line, column: every lexeme of code (KEYS, code, language) with the place where it begins (offsets from 0, lines from 1).
+
+    The texts are dealt by their keys before they fall into rows, so the
+    windows over their lexemes move nothing.
+    """
+    pieces = _by_language(languages, lambda spec: F.regexp_extract_all("code", F.lit(lexeme_pattern(spec)), F.lit(0)))
+    found = code.select(*KEYS, "language", "code").repartition(*KEYS).select(*KEYS, "language", F.posexplode(pieces).alias("i", "lexeme"))
     before = Window.partitionBy(*KEYS).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     breaks = F.length("lexeme") - F.length(F.replace("lexeme", F.lit("\n"), F.lit("")))
     placed = found.withColumn("start", F.coalesce(F.sum(F.length("lexeme")).over(before), F.lit(0))).withColumn("line", F.coalesce(F.sum(breaks).over(before), F.lit(0)) + 1)
@@ -24,36 +35,55 @@ def lexemes(code: DataFrame, language: Language) -> DataFrame:
     return placed.withColumn("column", F.col("start") - F.coalesce(F.max(after_break).over(before), F.lit(0)))
 
 
-def tokenize(code: DataFrame, language: str) -> DataFrame:
-    """KEYS, pos, type, original, line, column, start, end of code (KEYS, code) in one language.
-
-    Comments, space and characters the language doesn't know make no token.
-    Names become VAR, numbers NUM, literals STR; keywords and operators keep
-    their types.
-    """
-    spec = LANGUAGES[language]
+def _kind(spec: Language) -> Column:
     x, first = F.col("lexeme"), F.substring("lexeme", 1, 1)
     string = reduce(lambda a, b: a | b, [x.rlike(f"\\A(?:{p})\\z") for p, _ in spec.strings])
     kind = F.coalesce(lookup(spec.operators | spec.keywords, x), F.when(string, "STR").when(first.rlike("[0-9]"), "NUM").when(first.rlike("[A-Za-z_$]"), "VAR"))
-    original = x
+    return F.when(first == "#", "INCLUDE").otherwise(kind) if spec.directives else kind
+
+
+def _original(spec: Language) -> Column:
+    original = F.col("lexeme")
     for pattern, instead in reversed(spec.strings):
         if instead:
-            original = F.when(x.rlike(f"\\A(?:{pattern})\\z"), instead).otherwise(original)
-    if spec.directives:
-        kind = F.when(first == "#", "INCLUDE").otherwise(kind)
-        original = F.when(first == "#", F.regexp_extract("lexeme", "^(#[A-Za-z0-9_]*)", 1)).otherwise(original)
-    kept = lexemes(code.where(F.trim("code") != ""), spec).withColumn("type", kind).where("type is not null")
+            original = F.when(F.col("lexeme").rlike(f"\\A(?:{pattern})\\z"), instead).otherwise(original)
+    return F.when(F.substring("lexeme", 1, 1) == "#", F.regexp_extract("lexeme", "^(#[A-Za-z0-9_]*)", 1)).otherwise(original) if spec.directives else original
+
+
+def _tokens(code: DataFrame, languages: Mapping[str, Language]) -> DataFrame:
+    kept = lexemes(code.where(F.trim("code") != ""), languages).withColumn("type", _by_language(languages, _kind)).where("type is not null")
     pos = F.row_number().over(Window.partitionBy(*KEYS).orderBy("i")) - 1
-    return kept.select(*KEYS, pos.alias("pos"), "type", original.alias("original"), F.col("line").cast("int").alias("line"), F.col("column").cast("int").alias("column"), "start", (F.col("start") + F.length("lexeme")).alias("end"))
+    return kept.select(
+        *KEYS, pos.alias("pos"), "type", _by_language(languages, _original).alias("original"), F.col("line").cast("int").alias("line"), F.col("column").cast("int").alias("column"), "start", (F.col("start") + F.length("lexeme")).alias("end")
+    )
+
+
+def tokenize(code: DataFrame, language: str | Language) -> DataFrame:
+    """KEYS, pos, type, original, line, column, start, end of code (KEYS, code) in one language, by its name or by a Language of one's own.
+
+    Comments, space and characters the language doesn't know make no token.
+    Names become VAR, numbers NUM, literals STR; keywords and operators keep
+    their types.
+    """
+    own = {language: LANGUAGES[language]} if isinstance(language, str) else {"own": language}
+    return _tokens(code.select(*KEYS, "code", F.lit(next(iter(own))).alias("language")), own)
+
+
+def tokenize_any(submissions: DataFrame, languages: Mapping[str, Language] = LANGUAGES) -> DataFrame:
+    """tokenize() of submissions (KEYS, code, language, file_name), each in its own language, in one pass.
+
+    languages: LANGUAGES, with whatever a user adds under a name of its own;
+    names that are not there are resolved by file name and text.
+    """
+    given = F.when(F.col("language").isin(*languages), F.col("language")).otherwise(resolve_language(F.col("language"), F.col("code"), F.col("file_name")))
+    return _tokens(submissions.select(*KEYS, "code", given.alias("language")), languages)
 
 
-def tokenize_any(submissions: DataFrame) -> DataFrame:
-    """tokenize() of submissions (KEYS, code, language, file_name), each in its own language."""
-    resolved = submissions.withColumn("language", resolve_language(F.col("language"), F.col("code"), F.col("file_name")))
-    return reduce(DataFrame.unionByName, [tokenize(resolved.where(F.col("language") == name).select(*KEYS, "code"), name) for name in LANGUAGES])
+def prose_words(text: Column) -> Column:
+    """Words in lower case and runs of digits, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(PROSE_PATTERN), F.lit(0))
 
 
 def prose_tokens(texts: DataFrame) -> DataFrame:
     """KEYS, pos, type, line (always 1) of texts (KEYS, text): words in lower case and runs of digits."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(PROSE_PATTERN), F.lit(0))
-    return texts.select(*KEYS, F.posexplode(words).alias("pos", "type")).withColumn("line", F.lit(1))
+    return texts.select(*KEYS, F.posexplode(prose_words(F.col("text"))).alias("pos", "type")).withColumn("line", F.lit(1))

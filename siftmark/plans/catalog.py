@@ -63,45 +63,58 @@ NOW = "TIMESTAMP '1998-06-01 05:00:00'"
 
 
 def _programs(spark, sf):
-    return kept(src.programs(spark, sf))
+    return src.programs(spark, sf)
+
+
+def _tokens_of(programs):
+    return kept(tk.tokenize_any(programs))
 
 
 def _code_tokens(spark, sf):
-    return kept(tk.tokenize_any(_programs(spark, sf)))
+    return _tokens_of(_programs(spark, sf))
+
+
+def _sets_of(programs):
+    return kept(pr.distinct_hashes(fp.fingerprints(tk.tokenize_any(programs))))
 
 
 def _code_sets(spark, sf):
-    return kept(pr.distinct_hashes(fp.fingerprints(_code_tokens(spark, sf))))
+    return _sets_of(_programs(spark, sf))
 
 
 def _prose_prints(spark, sf):
-    return fp.fingerprints(tk.prose_tokens(src.prose(spark, sf)))
+    return fp.prose_fingerprints(src.prose(spark, sf))
 
 
 def _prose_sets(spark, sf):
-    return kept(pr.distinct_hashes(_prose_prints(spark, sf)))
+    return kept(fp.prose_sets(src.prose(spark, sf)))
 
 
 def _latest(spark, sf):
+    """The latest programs; a query computes them once, and all that comes of them from this one table."""
     return kept(vs.latest_version(_programs(spark, sf)))
 
 
+def _prints_of(programs):
+    return kept(fp.fingerprints(tk.tokenize_any(programs)))
+
+
 def _latest_prints(spark, sf):
-    return kept(fp.fingerprints(kept(tk.tokenize_any(_latest(spark, sf)))))
+    return _prints_of(_latest(spark, sf))
 
 
-def _latest_sets(spark, sf):
-    return pr.distinct_hashes(_latest_prints(spark, sf))
+def _stats_of(sets, programs):
+    return kept(bp.boilerplate_stats(bp.hash_frequency(sets, programs)))
 
 
-def _latest_stats(spark, sf):
-    return bp.boilerplate_stats(bp.hash_frequency(_latest_sets(spark, sf), _latest(spark, sf)))
+def _results_of(latest, sets=None):
+    """Scored pairs of the latest programs, the results that reports go over."""
+    sets = _sets_of(latest) if sets is None else sets
+    return kept(bp.adjusted_pairs(sets, _stats_of(sets, latest)))
 
 
 def _results(spark, sf):
-    """Scored pairs of the latest programs, the results that reports go over."""
-    sets = _latest_sets(spark, sf)
-    return bp.adjusted_pairs(sets, bp.boilerplate_stats(bp.hash_frequency(sets, _latest(spark, sf))))
+    return _results_of(_latest(spark, sf))
 
 
 # The flagship: pairs of documents of one source that share much of their text.
@@ -344,7 +357,7 @@ def kgram_hash(spark, sf):
 
 @query(f"{CODE} SELECT submission_id, pos, hash FROM fps")
 def winnow(spark, sf):
-    return fp.winnow(fp.kgram_hashes(_code_tokens(spark, sf))).select("submission_id", "pos", "hash")
+    return fp.winnow(fp.kgram_hashes(tk.tokenize_any(_programs(spark, sf)))).select("submission_id", "pos", "hash")
 
 
 @query(f"{PROSE} SELECT assignment_id, submission_id, hash, pos, start_line, end_line FROM fps")
@@ -354,7 +367,7 @@ def fingerprints(spark, sf):
 
 @query(f"{CODE} SELECT assignment_id, submission_id, hash, pos, start_line, end_line FROM fps")
 def code_fingerprints(spark, sf):
-    return fp.fingerprints(_code_tokens(spark, sf))
+    return fp.fingerprints(tk.tokenize_any(_programs(spark, sf)))
 
 
 _COUNTS = """p.assignment_id, p.submission_id, coalesce(t.n, 0) AS n_tokens, coalesce(g.n, 0) AS n_kgrams, coalesce(f.n, 0) AS n_fingerprints FROM {source} p LEFT JOIN (SELECT submission_id, count(*) AS n FROM tok GROUP BY 1) t USING (submission_id)
@@ -364,7 +377,7 @@ LEFT JOIN (SELECT submission_id, count(*) AS n FROM grams GROUP BY 1) g USING (s
 @query(f"{PROSE} SELECT {_COUNTS.format(source='prose')}")
 def fingerprint_counts(spark, sf):
     texts = src.prose(spark, sf)
-    return fp.fingerprint_counts(texts, tk.prose_tokens(texts))
+    return fp.prose_counts(texts)
 
 
 @query(f"{CODE}, c AS (SELECT {_COUNTS.format(source='programs')}) SELECT submission_id, CASE WHEN n_tokens = 0 THEN 'failed' ELSE 'fingerprinted' END AS status, CASE WHEN n_tokens = 0 THEN 'no tokens' END AS error, n_fingerprints FROM c")
@@ -378,15 +391,16 @@ def fingerprint_status(spark, sf):
 @query(f"{PROSE}, c AS (SELECT {_COUNTS.format(source='prose')}) SELECT assignment_id, sum(n_kgrams)::BIGINT AS n_kgrams, sum(n_fingerprints)::BIGINT AS n_fingerprints, round(sum(n_fingerprints)::DOUBLE / nullif(sum(n_kgrams), 0), 6) AS density FROM c GROUP BY 1")
 def winnow_density(spark, sf):
     texts = src.prose(spark, sf)
-    counts = fp.fingerprint_counts(texts, tk.prose_tokens(texts)).groupBy("assignment_id").agg(F.sum("n_kgrams").alias("n_kgrams"), F.sum("n_fingerprints").alias("n_fingerprints"))
+    counts = fp.prose_counts(texts).groupBy("assignment_id").agg(F.sum("n_kgrams").alias("n_kgrams"), F.sum("n_fingerprints").alias("n_fingerprints"))
     return counts.withColumn("density", F.round(F.try_divide("n_fingerprints", "n_kgrams"), 6))
 
 
-@query(f"""WITH RECURSIVE {S.PROGRAMS}, duo AS (SELECT * REPLACE ((submission_id // 36)::VARCHAR AS assignment_id) FROM programs WHERE submission_id % 36 IN (0, 18)), {S.tokens('duo')}, {S.prints(3, 2)}, {S.SHARED}
+@query(f"""WITH RECURSIVE {S.PROGRAMS}, duo AS (SELECT * REPLACE ((submission_id // 36)::VARCHAR || '/' || (submission_id % 18)::VARCHAR AS assignment_id) FROM programs), {S.tokens('duo')}, {S.prints(3, 2)}, {S.SHARED}
 SELECT c.assignment_id, a, b, shared AS intersection, x.size + y.size - shared AS "union", x.size AS size_a, y.size AS size_b, shared::DOUBLE / (x.size + y.size - shared) AS score FROM cand c JOIN sizes x ON x.submission_id = a JOIN sizes y ON y.submission_id = b""")
 def demo_pipeline(spark, sf):
     """The pipeline on couples of texts with k = 3 and w = 2: each program of one template with the next of it."""
-    duo = _programs(spark, sf).where("submission_id % 36 IN (0, 18)").withColumn("assignment_id", F.floor(F.col("submission_id") / 36).cast("string"))
+    couple = F.concat(F.floor(F.col("submission_id") / 36).cast("string"), F.lit("/"), (F.col("submission_id") % 18).cast("string"))
+    duo = _programs(spark, sf).withColumn("assignment_id", couple)
     sets = pr.distinct_hashes(fp.fingerprints(tk.tokenize_any(duo), 3, 2))
     return pr.jaccard(pr.candidate_pairs(sets), pr.set_sizes(sets))
 
@@ -394,7 +408,7 @@ def demo_pipeline(spark, sf):
 # Pairs and sets
 
 
-@query(f"{CODE} SELECT assignment_id, hash, list_sort(list(submission_id)) AS submission_ids, count(*) AS n FROM sets GROUP BY 1, 2")
+@query(f"{CODE} SELECT assignment_id, hash, submission_id // 1000 AS block, list_sort(list(submission_id)) AS submission_ids, count(*) AS n FROM sets GROUP BY 1, 2, 3")
 def inverted_index(spark, sf):
     return pr.inverted_index(_code_sets(spark, sf))
 
@@ -437,22 +451,26 @@ def corpus_pairs(spark, sf):
     return pr.candidate_pairs(_prose_sets(spark, sf), None)
 
 
-@query(f"{CODE} SELECT DISTINCT hash FROM sets WHERE assignment_id LIKE '%/py' INTERSECT SELECT hash FROM sets WHERE assignment_id LIKE '%/js'")
+# Of each assignment's programs, those with an even number against those with an odd one.
+_EVEN, _ODD = "submission_id % 2 = 0", "submission_id % 2 = 1"
+
+
+@query(f"{CODE} SELECT DISTINCT hash FROM sets WHERE {_EVEN} INTERSECT SELECT hash FROM sets WHERE {_ODD}")
 def set_intersect(spark, sf):
     sets = _code_sets(spark, sf)
-    return pr.intersect_hashes(sets.where("assignment_id LIKE '%/py'"), sets.where("assignment_id LIKE '%/js'"))
+    return pr.intersect_hashes(sets.where(_EVEN), sets.where(_ODD))
 
 
-@query(f"{CODE} SELECT hash FROM sets WHERE assignment_id LIKE '%/py' UNION SELECT hash FROM sets WHERE assignment_id LIKE '%/js'")
+@query(f"{CODE} SELECT hash FROM sets WHERE {_EVEN} UNION SELECT hash FROM sets WHERE {_ODD}")
 def set_union(spark, sf):
     sets = _code_sets(spark, sf)
-    return pr.union_hashes(sets.where("assignment_id LIKE '%/py'"), sets.where("assignment_id LIKE '%/js'"))
+    return pr.union_hashes(sets.where(_EVEN), sets.where(_ODD))
 
 
-@query(f"{CODE} SELECT hash FROM sets WHERE assignment_id LIKE '%/java' EXCEPT SELECT hash FROM sets WHERE assignment_id LIKE '%/cs'")
+@query(f"{CODE} SELECT hash FROM sets WHERE {_EVEN} EXCEPT SELECT hash FROM sets WHERE {_ODD}")
 def set_except(spark, sf):
     sets = _code_sets(spark, sf)
-    return pr.except_hashes(sets.where("assignment_id LIKE '%/java'"), sets.where("assignment_id LIKE '%/cs'"))
+    return pr.except_hashes(sets.where(_EVEN), sets.where(_ODD))
 
 
 # Boilerplate
@@ -460,17 +478,19 @@ def set_except(spark, sf):
 
 @query(f"{LATEST} SELECT assignment_id, hash, occurrences, total, frequency FROM stats")
 def hash_frequency(spark, sf):
-    return bp.hash_frequency(_latest_sets(spark, sf), _latest(spark, sf))
+    latest = _latest(spark, sf)
+    return bp.hash_frequency(_sets_of(latest), latest)
 
 
 @query(f"{LATEST} SELECT * FROM stats")
 def boilerplate_stats(spark, sf):
-    return _latest_stats(spark, sf)
+    latest = _latest(spark, sf)
+    return _stats_of(_sets_of(latest), latest)
 
 
 def _starter(spark, sf):
     items = src.read_table(spark, sf, "benchmark").select(F.lit("starter").alias("assignment_id"), F.col("item_id").alias("submission_id"), "text")
-    return fp.fingerprints(tk.prose_tokens(items)).select("hash").distinct()
+    return fp.prose_sets(items).select("hash").distinct()
 
 
 _STARTER_SQL = f"""WITH RECURSIVE starter AS MATERIALIZED (WITH tok AS (SELECT 'starter' AS assignment_id, item_id AS submission_id, unnest(l) AS type, unnest(range(len(l))) AS pos, 1 AS line FROM (SELECT *, regexp_extract_all(lower(text), '\\p{{L}}+|[0-9]+') AS l FROM benchmark)),
@@ -493,7 +513,9 @@ def boilerplate_summary(spark, sf):
 
 @query(f"{LATEST} SELECT assignment_id, submission_id, hash FROM flagged WHERE NOT is_boilerplate")
 def boilerplate_anti(spark, sf):
-    return bp.without_boilerplate(_latest_sets(spark, sf), _latest_stats(spark, sf)).select("assignment_id", "submission_id", "hash")
+    latest = _latest(spark, sf)
+    sets = _sets_of(latest)
+    return bp.without_boilerplate(sets, _stats_of(sets, latest)).select("assignment_id", "submission_id", "hash")
 
 
 @query(f"{LATEST} SELECT * FROM adj")
@@ -542,14 +564,16 @@ ANALYSED = f"{LATEST}, {_FACTS}"
 
 @query(f"{ANALYSED} SELECT assignment_id, a, b, renamed FROM flags")
 def renaming_flag(spark, sf):
-    tokens = kept(tk.tokenize_any(_latest(spark, sf)))
-    return ev.renaming_flag(_results(spark, sf).select("assignment_id", "a", "b"), ev.beginnings(tokens))
+    latest = _latest(spark, sf)
+    tokens = _tokens_of(latest)
+    return ev.renaming_flag(_results_of(latest, pr.distinct_hashes(fp.fingerprints(tokens))).select("assignment_id", "a", "b"), ev.beginnings(tokens))
 
 
 @query(f"{ANALYSED} SELECT assignment_id, a, b, same_loops, same_conditions, same_functions FROM flags")
 def structure_flags(spark, sf):
-    tokens = kept(tk.tokenize_any(_latest(spark, sf)))
-    return ev.structure_flags(_results(spark, sf).select("assignment_id", "a", "b"), ev.structure_counts(tokens))
+    latest = _latest(spark, sf)
+    tokens = _tokens_of(latest)
+    return ev.structure_flags(_results_of(latest, pr.distinct_hashes(fp.fingerprints(tokens))).select("assignment_id", "a", "b"), ev.structure_counts(tokens))
 
 
 @query(f"{ANALYSED} SELECT assignment_id, a, b, risk FROM analysed")
@@ -576,14 +600,15 @@ def explanations(spark, sf):
 def pair_details(spark, sf):
     names = _latest(spark, sf)
     side = lambda s: names.select("assignment_id", F.col("submission_id").alias(s), F.col("student_id").alias(f"student_{s}"), F.col("file_name").alias(f"file_{s}"))
-    return _results(spark, sf).join(side("a"), ["assignment_id", "a"]).join(side("b"), ["assignment_id", "b"]).select("assignment_id", "a", "b", "student_a", "student_b", "file_a", "file_b", "raw")
+    return _results_of(names).join(side("a"), ["assignment_id", "a"]).join(side("b"), ["assignment_id", "b"]).select("assignment_id", "a", "b", "student_a", "student_b", "file_a", "file_b", "raw")
 
 
 @query(f"{LATEST} SELECT assignment_id, a, b, raw, adjusted, coalesce(x.lang, 'python') AS language, length(x.code) AS chars_a, length(y.code) AS chars_b FROM adj JOIN resolved x USING (assignment_id) JOIN resolved y USING (assignment_id) WHERE x.submission_id = a AND y.submission_id = b")
 def result_detail(spark, sf):
-    code = _latest(spark, sf).withColumn("lang", lg.resolve_language(F.col("language"), F.col("code"), F.col("file_name")))
+    latest = _latest(spark, sf)
+    code = latest.withColumn("lang", lg.resolve_language(F.col("language"), F.col("code"), F.col("file_name")))
     side = lambda s: code.select("assignment_id", F.col("submission_id").alias(s), F.col("lang").alias(f"lang_{s}"), F.length("code").cast("long").alias(f"chars_{s}"))
-    return _results(spark, sf).join(side("a"), ["assignment_id", "a"]).join(side("b"), ["assignment_id", "b"]).select("assignment_id", "a", "b", "raw", "adjusted", F.coalesce("lang_a", F.lit("python")).alias("language"), "chars_a", "chars_b")
+    return _results_of(latest).join(side("a"), ["assignment_id", "a"]).join(side("b"), ["assignment_id", "b"]).select("assignment_id", "a", "b", "raw", "adjusted", F.coalesce("lang_a", F.lit("python")).alias("language"), "chars_a", "chars_b")
 
 
 # Clusters
@@ -605,32 +630,35 @@ def clusters(spark, sf):
 m AS (SELECT assignment_id, cluster_id, count(*) AS size, list_sort(list(submission_id)) AS members, list_sort(list_distinct(list(student_id))) AS students, CASE WHEN count(submitted_at) >= 2 THEN round((epoch_us(max(submitted_at)) - epoch_us(min(submitted_at))) / 60000000)::BIGINT END AS within_minutes FROM members JOIN latest USING (assignment_id, submission_id) GROUP BY 1, 2)
 SELECT assignment_id, cluster_id, size, average, highest, best.a AS best_a, best.b AS best_b, members, students, within_minutes FROM m JOIN s USING (assignment_id, cluster_id)""")
 def cluster_stats(spark, sf):
-    edges = cl.cluster_edges(_results(spark, sf)).persist()
-    return cl.cluster_stats(cl.clusters(edges), edges, _latest(spark, sf))
+    latest = _latest(spark, sf)
+    edges = cl.cluster_edges(_results_of(latest))
+    return cl.cluster_stats(cl.clusters(edges), edges, latest)
 
 
 # Differences
 
 
 def _code_pairs(spark, sf):
-    """Pairs of one template and brand with their code: the pairs worth a script are those whose fingerprints agree."""
-    code = _latest(spark, sf).withColumn("lang", lg.resolve_language(F.col("language"), F.col("code"), F.col("file_name")))
-    side = lambda s: code.select("assignment_id", F.col("submission_id").alias(s), F.col("code").alias(f"code_{s}"), F.col("lang").alias(f"lang_{s}"))
-    near = _results(spark, sf).where("raw >= 0.5").select("assignment_id", "a", "b")
-    return near.join(side("a"), ["assignment_id", "a"]).join(side("b"), ["assignment_id", "b"]).withColumn("language", F.col("lang_a"))
+    """All scored pairs with their code."""
+    code = _latest(spark, sf)
+    named = code.withColumn("lang", lg.resolve_language(F.col("language"), F.col("code"), F.col("file_name")))
+    side = lambda s: named.select("assignment_id", F.col("submission_id").alias(s), F.col("code").alias(f"code_{s}"), F.col("lang").alias(f"lang_{s}"))
+    pairs = _results_of(code).select("assignment_id", "a", "b")
+    return pairs.join(side("a"), ["assignment_id", "a"]).join(side("b"), ["assignment_id", "b"]).withColumn("language", F.col("lang_a"))
 
 
-@query()
+@query(f"{LATEST}, {S.DIFF} SELECT * FROM ops")
 def pair_diff(spark, sf):
-    return df_.pair_diff(_code_pairs(spark, sf))
+    return df_.pair_diff(_code_pairs(spark, sf)).drop("token_equal", "token_delete", "token_insert", "truncated")
 
 
 @query()
 def pair_token_diff(spark, sf):
-    return df_.pair_diff(_code_pairs(spark, sf)).where("token_equal IS NOT NULL").select("assignment_id", "a", "b", "op_no", "token_equal", "token_delete", "token_insert")
+    return df_.pair_diff(_code_pairs(spark, sf)).where("type = 'modify'").select("assignment_id", "a", "b", "op_no", "token_equal", "token_delete", "token_insert", "truncated")
 
 
-@query()
+@query(f"""{LATEST}, {S.DIFF} SELECT assignment_id, a, b, count(*) FILTER (type = 'equal') AS regions, coalesce(sum(a_end - a_start + 1) FILTER (type = 'equal'), 0)::BIGINT AS equal_lines, coalesce(sum(b_end - b_start + 1) FILTER (type = 'insert'), 0)::BIGINT AS insertions,
+  coalesce(sum(a_end - a_start + 1) FILTER (type = 'delete'), 0)::BIGINT AS deletions, coalesce(sum(greatest(a_end - a_start, b_end - b_start) + 1) FILTER (type = 'modify'), 0)::BIGINT AS modifications FROM ops GROUP BY 1, 2, 3""")
 def diff_stats(spark, sf):
     return df_.diff_stats(df_.pair_diff(_code_pairs(spark, sf)))
 
@@ -639,7 +667,8 @@ def diff_stats(spark, sf):
 c AS (SELECT adj.assignment_id, a, b, sum(least(x.n, y.n))::BIGINT AS common FROM adj JOIN n x ON x.assignment_id = adj.assignment_id AND x.submission_id = a JOIN n y ON y.assignment_id = adj.assignment_id AND y.submission_id = b AND y.line = x.line GROUP BY ALL)
 SELECT adj.assignment_id, a, b, coalesce(common, 0) AS common, p.n - coalesce(common, 0) AS only_a, q.n - coalesce(common, 0) AS only_b FROM adj LEFT JOIN c USING (assignment_id, a, b) JOIN t p ON p.submission_id = a JOIN t q ON q.submission_id = b""")
 def line_overlap(spark, sf):
-    return df_.line_overlap(_results(spark, sf), _latest(spark, sf))
+    latest = _latest(spark, sf)
+    return df_.line_overlap(_results_of(latest), latest)
 
 
 # Scores from elsewhere
@@ -648,8 +677,9 @@ def line_overlap(spark, sf):
 @query(f"""{LATEST} SELECT a.assignment_id, a, b, adjusted, length(CASE WHEN length(p.code || repeat('x', ((a * 13) % 4000)::INT)) > 3000 THEN (p.code || repeat('x', ((a * 13) % 4000)::INT))[1:3000] || chr(10) || '[cut]' ELSE p.code || repeat('x', ((a * 13) % 4000)::INT) END) AS prompt_chars
 FROM adj a JOIN latest p ON p.submission_id = a WHERE adjusted >= 0.7::DOUBLE * ((a % 10)::DOUBLE / 10)""")
 def semantic_candidates(spark, sf):
-    chosen = it.semantic_candidates(_results(spark, sf), (F.col("a") % 10) / 10)
-    code = _latest(spark, sf).select(F.col("submission_id").alias("a"), F.concat("code", F.repeat(F.lit("x"), ((F.col("submission_id") * 13) % 4000).cast("int"))).alias("code"))
+    latest = _latest(spark, sf)
+    chosen = it.semantic_candidates(_results_of(latest), (F.col("a") % 10) / 10)
+    code = latest.select(F.col("submission_id").alias("a"), F.concat("code", F.repeat(F.lit("x"), ((F.col("submission_id") * 13) % 4000).cast("int"))).alias("code"))
     return chosen.join(code, "a").select("assignment_id", "a", "b", "adjusted", F.length(it.prompt_text(F.col("code"))).cast("long").alias("prompt_chars"))
 
 
@@ -791,8 +821,10 @@ def student_stats(spark, sf):
 
 @query(f"{LATEST} SELECT x.assignment_id, n AS found, naive AS possible_pairs, coalesce(c, 0) AS candidate_pairs, coalesce(c, 0) AS results_saved, reduction FROM ({_STATS.format(naive='naive', candidates='c', more='', source='latest')}) x")
 def run_stats(spark, sf):
-    sets = _latest_sets(spark, sf)
-    return rp.run_stats(_latest(spark, sf), pr.candidate_pairs(sets), _results(spark, sf))
+    latest = _latest(spark, sf)
+    sets = _sets_of(latest)
+    results = _results_of(latest, sets)
+    return rp.run_stats(latest, results.select("assignment_id", "a", "b", "shared"), results)
 
 
 # Sinks and streams
@@ -809,7 +841,7 @@ def result_sink(spark, sf):
 @query(f"{CODE} SELECT assignment_id, submission_id, hash FROM sets")
 def index_sink(spark, sf):
     path = st.work_folder(spark, "index")
-    sets = _code_sets(spark, sf).persist()
+    sets = _code_sets(spark, sf)
     ig.add_to_index(sets.where("submission_id % 2 = 0"), path)
     ig.add_to_index(sets, path)
     return spark.read.parquet(path)

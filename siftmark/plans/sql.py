@@ -135,3 +135,27 @@ fold AS (SELECT assignment_id, a, b, i, sa, sb, ea, eb, 1 AS n, 1 AS region FROM
 regions AS (SELECT assignment_id, a, b, region, last(sa ORDER BY i) AS sa, last(sb ORDER BY i) AS sb, last(ea ORDER BY i) AS ea, last(eb ORDER BY i) AS eb, last(n ORDER BY i) AS n FROM fold GROUP BY assignment_id, a, b, region),
 folded AS (SELECT assignment_id, a, b, list({'sa': sa, 'sb': sb, 'ea': ea, 'eb': eb, 'n': n} ORDER BY region) AS regions, count(*) AS n_regions,
   len(list_distinct(flatten(list(range(sa, ea + 1)))))::BIGINT AS lines_a, len(list_distinct(flatten(list(range(sb, eb + 1)))))::BIGINT AS lines_b FROM regions GROUP BY assignment_id, a, b)"""
+
+
+#: CTEs from adj and latest to ops(assignment_id, a, b, op_no, type, a_start, a_end, b_start, b_end): a longest common subsequence by its table, row by row, and back from the end.
+DIFF = """
+sides AS (SELECT adj.assignment_id, a, b, list_transform(string_split(p.code, chr(10)), lambda s: trim(s)) AS x0, list_transform(string_split(q.code, chr(10)), lambda s: trim(s)) AS y0 FROM adj JOIN latest p ON p.submission_id = a JOIN latest q ON q.submission_id = b),
+rest AS (SELECT assignment_id, a, b, p, x0[p + 1:] AS x, y0[p + 1:] AS y, len(x0) AS n, len(y0) AS m FROM (
+  SELECT *, coalesce(list_min(list_filter(range(1, least(len(x0), len(y0)) + 1), lambda k: x0[k] <> y0[k])) - 1, least(len(x0), len(y0))) AS p FROM sides)),
+dp(a, b, i, t) AS (SELECT a, b, 0, [list_transform(range(len(y) + 1), lambda k: 0::BIGINT)] FROM rest
+  UNION ALL SELECT a, b, i + 1, list_append(t, list_reduce(list_prepend([0::BIGINT], list_transform(range(1, len(y) + 1), lambda j: [j])),
+    lambda done, j: list_append(done, CASE WHEN x[i + 1] = y[j[1]] THEN t[i + 1][j[1]] + 1 ELSE greatest(t[i + 1][j[1] + 1], done[len(done)]) END)))
+  FROM dp JOIN rest USING (a, b) WHERE i < len(x)),
+tables AS (SELECT a, b, x, y, t FROM dp JOIN rest USING (a, b) WHERE i = len(x)),
+back(a, b, i, j, hit) AS (SELECT a, b, len(x), len(y), false FROM rest
+  UNION ALL SELECT a, b, CASE WHEN x[i] = y[j] OR t[i][j + 1] = t[i + 1][j + 1] THEN i - 1 ELSE i END, CASE WHEN x[i] = y[j] OR t[i][j + 1] <> t[i + 1][j + 1] THEN j - 1 ELSE j END, x[i] = y[j]
+  FROM back JOIN tables USING (a, b) WHERE i > 0 AND j > 0),
+hits AS (SELECT a, b, i + p AS i, j + p AS j FROM back JOIN rest USING (a, b) WHERE hit UNION ALL SELECT a, b, k, k FROM (SELECT a, b, unnest(range(p)) AS k FROM rest)),
+runs AS (SELECT *, sum(CASE WHEN i = last_i + 1 AND j = last_j + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY a, b ORDER BY i) AS run FROM (
+  SELECT *, lag(i) OVER w AS last_i, lag(j) OVER w AS last_j FROM hits WINDOW w AS (PARTITION BY a, b ORDER BY i))),
+spans AS (SELECT *, lag(ei, 1, -1) OVER w AS pi, lag(ej, 1, -1) OVER w AS pj FROM (
+  SELECT a, b, min(i) AS si, max(i) AS ei, min(j) AS sj, max(j) AS ej FROM runs GROUP BY a, b, run UNION ALL SELECT a, b, n, NULL, m, NULL FROM rest) WINDOW w AS (PARTITION BY a, b ORDER BY si, sj)),
+pieces AS (SELECT a, b, si, sj, 1 AS part, 'equal' AS type, si + 1 AS a_start, ei + 1 AS a_end, sj + 1 AS b_start, ej + 1 AS b_end FROM spans WHERE ei IS NOT NULL
+  UNION ALL SELECT a, b, si, sj, 0, CASE WHEN si > pi + 1 AND sj > pj + 1 THEN 'modify' WHEN si > pi + 1 THEN 'delete' ELSE 'insert' END,
+    CASE WHEN si > pi + 1 THEN pi + 2 END, CASE WHEN si > pi + 1 THEN si END, CASE WHEN sj > pj + 1 THEN pj + 2 END, CASE WHEN sj > pj + 1 THEN sj END FROM spans WHERE si > pi + 1 OR sj > pj + 1),
+ops AS (SELECT assignment_id, a, b, (row_number() OVER (PARTITION BY a, b ORDER BY si, sj, part) - 1)::INT AS op_no, type, a_start::INT AS a_start, a_end::INT AS a_end, b_start::INT AS b_start, b_end::INT AS b_end FROM pieces JOIN rest USING (a, b))"""

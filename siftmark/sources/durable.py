@@ -32,7 +32,20 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so a lost executor takes nothing with it."""
+#: Tasks a core that write an intermediate: enough to even out, and few enough not to fill the store with small files.
+PER_CORE = 4
+
+
+def few_files(df: DataFrame, per_core: int = PER_CORE) -> DataFrame:
+    """df in at most so many partitions a core of the session, by merging whole partitions without a shuffle; where rows are numbered by partition, they must be before."""
+    return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def kept(df: DataFrame, per_core: int = PER_CORE) -> DataFrame:
+    """df, computed once and kept in the shared folder, so a lost executor takes nothing with it.
+
+    A local store starts a process for each file it writes, and a cluster's
+    store suffers from small files too, so there are few_files().
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return few_files(df, per_core).checkpoint(eager=True)

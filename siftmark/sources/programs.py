@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Programs written for this purpose; ~K~ and ~S~ stand for a part's key and size. Three to a language, in the order of LANGUAGE_NAMES.
 TEMPLATES = (
     "import math\n\n# area ~K~\ndef area_~K~(width, height):\n    total = width * height + ~S~\n    if total > 100:\n        return total ** 2\n    elif total == 0:\n        return None\n    return math.sqrt(total)\n",
-    "def find_~K~(items, wanted):\n    '''Finds it\n    in ~S~ steps.'''\n    low, high = 0, len(items) - 1\n    while low <= high:\n        mid = (low + high) // 2\n        if items[mid] == wanted:\n            return mid\n        elif items[mid] < wanted:\n            low = mid + 1\n        else:\n            high = mid - 1\n    return -~S~\n",
+    "def tally_~K~(lines, most):\n    '''Counts words\n    up to ~S~.'''\n    seen, longest = {}, 0\n    for line in lines:\n        for word in line.split():\n            seen[word] = seen.get(word, 0) + 1\n            longest = max(longest, len(word))\n    if longest // 2 >= most or not seen:\n        return -~S~\n    return [w for w in seen if seen[w] != 1]\n",
     "class Box~K~:\n    def __init__(self, size=~S~, name=\"b\\\"~K~\"):\n        self.size = size\n        self.name = name\n\n    def grow(self, by):\n        for step in range(by):\n            self.size += step * 0.5e1\n        return self.size\n",
     "// sum ~K~\nconst total~K~ = (list) => {\n  let sum = 0;\n  for (const item of list) {\n    if (item !== null && item >= ~S~) {\n      sum += item ** 2;\n    }\n  }\n  return `sum ${sum}\nend`;\n};\n",
     "function pick_~K~(rows, at) {\n  /* picks\n     one */\n  var row = rows[at] ?? ~S~;\n  if (row?.name === 'x') { return 0xFFn; }\n  while (at > 0) {\n    at -= 1;\n  }\n  return row;\n}\nconsole.log(pick_~K~([1, 2.5e3], 0));\n",

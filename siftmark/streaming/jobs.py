@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.types import IntegerType
 
 from ..operators.fingerprint import fingerprints
 from ..operators.pairs import distinct_hashes
@@ -101,13 +102,14 @@ def stream_deadline(attempts: DataFrame, deadlines: DataFrame, folder: str) -> t
 
     def each(batch: DataFrame, number: int) -> None:
         joined = batch.join(F.broadcast(deadlines) if few else deadlines, "assignment_id")
-        late = F.col("submitted_at") >= F.col("deadline")
-        for name, rows in (("accepted", joined.where(~late)), ("late", joined.where(late))):
-            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        late = (F.col("submitted_at") >= F.col("deadline")).cast("int").alias("late")
+        joined.select("*", late).write.mode("overwrite").partitionBy("late").parquet(f"{folder}/out/batch={number}")
 
     run_batches(attempts, each, folder)
-    schema = attempts.limit(0).join(deadlines, "assignment_id").schema
-    return spark.read.schema(schema).parquet(f"{folder}/accepted").drop("batch"), spark.read.schema(schema).parquet(f"{folder}/late").drop("batch")
+    # columns of no stream: a reader of the folder needs their types even before a row has come
+    columns = attempts.sparkSession.createDataFrame([], attempts.schema).join(deadlines.limit(0), "assignment_id").schema.add("batch", IntegerType()).add("late", IntegerType())
+    found = spark.read.schema(columns).parquet(f"{folder}/out").drop("batch")
+    return found.where("late = 0").drop("late"), found.where("late = 1").drop("late")
 
 
 def _small(table: DataFrame, most: int = 100_000) -> bool:
