@@ -83,18 +83,24 @@ def overlap_starts(run: np.ndarray, item: np.ndarray, shift: int) -> np.ndarray:
 
 
 def contaminated_passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows, doc_start, doc_end: documents with a window of 12 words of which 10 or more equal those of a benchmark item in their places.
+    """doc_id, item_id, n_windows, doc_start, doc_end: documents with a window of 12 words of which 10 or more equal those of a benchmark item in their places, or with all words of an item of fewer than 12 in a row.
 
     Words are `[0-9a-z]` and all beyond ASCII, of texts with A-Z lower-cased.
     Every document's windows are hashed under all masks; those that a bitmap
     of the benchmark's hashes lets through are joined with them in Spark, and
     the aligned words around each hit are compared. The masks lose no such
     window. Items with equal words count as the one with the smallest item_id;
-    items and documents of fewer than 12 words have no window. doc_start and
-    doc_end are word numbers, n_windows the number of distinct windows. Null
-    texts are empty, rows without doc_id are one document, repeated rows
+    items without words find nothing. doc_start and doc_end are word numbers,
+    n_windows the number of distinct windows, or of places of a short item.
+    Null texts are empty, rows without doc_id are one document, repeated rows
     count once; other columns are not read.
     """
+    short = tk.durable(_short_items(benchmark))
+    long = _long_passages(documents, benchmark)
+    return long if short.isEmpty() else long.unionByName(_whole_items(documents, short))
+
+
+def _long_passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     items = seed_runs(benchmark.select(F.col("item_id").cast("long"), "text"))
     items = tk.durable(items.groupBy("words").agg(F.min("doc_id").alias("item_id"), F.first("seeds").alias("seeds")))
@@ -136,22 +142,25 @@ def contaminated_passages(documents: DataFrame, benchmark: DataFrame) -> DataFra
 
 
 def _short_items(benchmark: DataFrame) -> DataFrame:
-    """n, seed, words of the items of fewer than SPAN words, each once."""
+    """words, item_id, n, seed of the items of fewer than SPAN words; the seed is one gram hash of all of them."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in tk.text_chunks(batch.column(0)):
+            ids = batch.column(0).to_pylist()
+            for i, _, data, offsets in tk.text_chunks(batch.column(1)):
                 words, _, _, first = tk.words_of(data, offsets, tk.ALNUM, tk.FOLDED)
-                short = [words[a:b] for a, b in zip(first, first[1:], strict=False) if 0 < b - a < SPAN]
-                seeds = [tk.gram_hashes(w, len(w)).view(np.int64)[0] for w in short]
-                yield pa.RecordBatch.from_arrays([pa.array([len(w) for w in short], pa.int64()), pa.array(seeds, pa.int64()), pa.array([w.view(np.int64) for w in short], pa.list_(pa.int64()))], names=["n", "seed", "words"])
+                short = [(ids[i + k], words[a:b]) for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)) if 0 < b - a < SPAN]
+                seeds = [int(tk.gram_hashes(w, len(w)).view(np.int64)[0]) for _, w in short]
+                columns = [pa.array([x for x, _ in short], pa.int64()), pa.array([len(w) for _, w in short], pa.int64()), pa.array(seeds, pa.int64()), pa.array([w.view(np.int64) for _, w in short], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["item_id", "n", "seed", "words"])
 
-    return benchmark.select("text").mapInArrow(tk.lean(go), "n long, seed long, words array<long>").distinct()
+    rows = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(tk.lean(go), "item_id long, n long, seed long, words array<long>")
+    return rows.groupBy("words").agg(F.min("item_id").alias("item_id"), F.first("n").alias("n"), F.first("seed").alias("seed"))
 
 
 def _whole_items(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id of the documents that hold all words of one of the short items, in a row."""
-    lengths = sorted(r.n for r in items.select("n").distinct().collect())
+    """contaminated_passages() of short items (kept): texts go through the same bitmap and the same join on hash, and the words decide."""
+    lengths = sorted(r.n for r in items.select("n").distinct().collect())  # fewer than SPAN
     bitmap = documents.sparkSession.sparkContext.broadcast(hash_bitmap(items, "seed"))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,27 +169,26 @@ def _whole_items(documents: DataFrame, items: DataFrame) -> DataFrame:
             ids = batch.column(0).to_pylist()
             for i, _, data, offsets in tk.text_chunks(batch.column(1)):
                 words, _, _, first = tk.words_of(data, offsets, tk.ALNUM, tk.FOLDED)
-                found = {}
+                found: dict[tuple[int, bytes], tuple[int, list[int]]] = {}
                 for n in lengths:
                     hashes = tk.gram_hashes(words, n)
                     at = np.flatnonzero(probe(bits, hashes))
                     text = np.searchsorted(first, at, "right") - 1
                     inside = at + n <= first[text + 1]
                     for a, t in zip(at[inside].tolist(), text[inside].tolist(), strict=True):
-                        found.setdefault((t, words[a : a + n].tobytes()), int(hashes[a : a + 1].view(np.int64)[0]))
-                runs = [np.frombuffer(w, np.int64) for _, w in found]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i + t] for t, _ in found], pa.int64()), pa.array(list(found.values()), pa.int64()), pa.array(runs, pa.list_(pa.int64()))], names=["doc_id", "seed", "words"])
+                        found.setdefault((t, words[a : a + n].tobytes()), (int(hashes[a : a + 1].view(np.int64)[0]), []))[1].append(a - int(first[t]))
+                columns = [pa.array([ids[i + t] for t, _ in found], pa.int64()), pa.array([s for s, _ in found.values()], pa.int64()), pa.array([np.frombuffer(w, np.int64) for _, w in found], pa.list_(pa.int64())), pa.array([at for _, at in found.values()], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "seed", "words", "at"])
 
-    held = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tk.lean(go), "doc_id long, seed long, words array<long>")
-    return held.join(items.select("seed", "words"), ["seed", "words"]).select("doc_id")
+    held = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tk.lean(go), "doc_id long, seed long, words array<long>, at array<long>")
+    places = held.join(items, ["seed", "words"]).select("doc_id", "item_id", "n", F.explode("at").alias("pos")).distinct()
+    return places.groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("n_windows"), F.min("pos").alias("doc_start"), (F.max("pos") + F.first("n")).alias("doc_end")).drop("n")
 
 
 def contaminated_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id of the documents with a passage of any item, whatever its item_id: a window as in contaminated_passages(), or all words of an item of fewer than 12."""
+    """doc_id of the documents with a passage of any item, whatever its item_id."""
     items = benchmark.select(F.xxhash64("text").alias("item_id"), "text")
-    found = contaminated_passages(documents, items).select("doc_id")
-    short = tk.durable(_short_items(benchmark))
-    return (found if short.isEmpty() else found.unionByName(_whole_items(documents, short))).distinct()
+    return contaminated_passages(documents, items).select("doc_id").distinct()
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,14 +203,16 @@ def _words_sql(table: str, key: str) -> str:
 
 SQL = {
     "op1_benchmark_decontamination": f"""
-WITH b AS (SELECT min(item_id) OVER (PARTITION BY ws) AS item_id, item_id AS own, w, p, n FROM ({_words_sql('benchmark', 'item_id')})),
+WITH b AS (SELECT min(item_id) OVER (PARTITION BY ws) AS item_id, item_id AS own, ws, w, p, n FROM ({_words_sql('benchmark', 'item_id')})),
 d AS ({_words_sql('documents', 'doc_id')}),
 m AS (SELECT doc_id, item_id, d.p AS p, d.p - b.p AS diagonal, least(d.n, b.n + d.p - b.p) AS stop FROM d JOIN b USING (w) WHERE own = item_id),
 dense AS (SELECT doc_id, item_id, diagonal FROM m GROUP BY ALL HAVING count(*) >= {LEAST}),
 s AS (SELECT doc_id, item_id, diagonal, stop, unnest(range(p - {SPAN - 1}, p + 1)) AS start FROM m SEMI JOIN dense USING (doc_id, item_id, diagonal)),
 win AS (SELECT DISTINCT doc_id, item_id, start FROM (SELECT doc_id, item_id, diagonal, start, count(*) AS n FROM s
-  WHERE start >= greatest(0, diagonal) AND start + {SPAN} <= stop GROUP BY ALL HAVING count(*) >= {LEAST}))
+  WHERE start >= greatest(0, diagonal) AND start + {SPAN} <= stop GROUP BY ALL HAVING count(*) >= {LEAST})),
+short AS (SELECT DISTINCT doc_id, item_id, d.p AS start, b.n FROM d JOIN b ON b.own = b.item_id AND b.p = 0 AND b.n < {SPAN} AND d.w = b.w AND d.ws[d.p + 1:d.p + b.n] = b.ws)
 SELECT doc_id, item_id, count(*) AS n_windows, min(start) AS doc_start, max(start) + {SPAN} AS doc_end FROM win GROUP BY doc_id, item_id
+UNION ALL SELECT doc_id, item_id, count(*), min(start), max(start) + n FROM short GROUP BY doc_id, item_id, n
 """
 }
 QUERIES = {"op1_benchmark_decontamination": op1_benchmark_decontamination}

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.durable import few_files, new_folder
 from . import textkit as tk
 from .textkit import durable, read
 
@@ -92,6 +93,20 @@ def scan_unseen(documents: DataFrame, ledger: DataFrame | None = None, rules: di
     return todo.select("blob", "text", "todo").mapInArrow(tk.lean(scan), LEDGER)
 
 
+def update_ledger(documents: DataFrame, path: str, rules: dict | None = None) -> DataFrame:
+    """The ledger stored in the folder path, after what it lacked for these documents has been scanned and added.
+
+    A run that breaks off adds nothing, and one that is repeated finds its
+    pairs there and scans nothing; pairs that two runs at once added hold the
+    same findings, which findings_by_path() merges.
+    """
+    spark = documents.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    stored = spark.read.schema(LEDGER).parquet(path) if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place) else None
+    few_files(scan_unseen(documents, stored, rules), 16).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
 def findings_by_path(index: DataFrame, ledger: DataFrame) -> DataFrame:
     """doc_id, blob, findings of all rule versions sorted by start, then kind; one row per row of the index."""
     merged = durable(ledger.where(F.size("findings") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings")))
@@ -107,15 +122,17 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(F.element_at(kinds, s["kind_no"] + 1), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(documents: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+def scan_secrets(documents: DataFrame, ledger_path: str | None = None) -> DataFrame:
     """Findings of every document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, blob.
 
-    ledger: rows of earlier runs (LEDGER); what it holds is not scanned again.
-    Null texts are empty; repeated rows each keep theirs; a null doc_id is
-    kept; columns other than doc_id and text are not read.
+    ledger_path: folder of the ledger of earlier runs; what it holds is not
+    scanned again, and what is scanned now is added to it. Without one, a new
+    ledger is made beside the checkpoints. Null texts are empty; repeated rows
+    each keep theirs; a null doc_id is kept; columns other than doc_id and
+    text are not read.
     """
-    new = scan_unseen(documents, ledger)
-    found = findings_by_path(path_index(documents), new if ledger is None else ledger.unionByName(new))
+    ledger = update_ledger(documents, ledger_path or new_folder(documents.sparkSession, "ledger"))
+    found = findings_by_path(path_index(documents), ledger.where(F.col("rule_version").isin(*RULES)))
     base = F.filter("findings", lambda s: s["kind_no"] < len(BASE))
     return found.select(
         "doc_id",
