@@ -14,7 +14,8 @@ tiles of (shingle, size band) over these prefixes, in three rounds:
    across components meet whose sizes, places in the two orders and bit
    counts leave room for a link. Large tiles are split over many tasks.
 
-A pair is compared by the parity bitmaps of the two sets first: each set bit
+A pair is compared by parity bitmaps of the two sets first, short ones within
+the tiles and full ones after them: each set bit
 of their exclusive or stands for at least one shingle in only one of them, so
 the bit count bounds the overlap from above. Pairs within the bound are
 decided by intersecting the sorted shingle arrays.
@@ -77,8 +78,24 @@ def class_of(shingles: np.ndarray) -> tuple[int, int]:
     return hi, lo
 
 
+def full_signature(shingles: np.ndarray) -> bytes:
+    """Parities of a hashed bitmap; its size is a power of two, at least 64 bits and at least one a shingle."""
+    n_bits = max(64, 1 << (len(shingles) - 1).bit_length())
+    return np.packbits((np.bincount((shingles >> np.uint64(8) & np.uint64(n_bits - 1)).astype(np.int64), minlength=n_bits) & 1).astype(bool)).tobytes()
+
+
+def may_link(n_a: int, sig_a: bytes, n_b: int, sig_b: bytes) -> bool:
+    """Whether the bit counts of full signatures leave room for a link. The larger bitmap is folded onto the smaller one."""
+    a, b = np.frombuffer(sig_a, np.uint8), np.frombuffer(sig_b, np.uint8)
+    if len(a) > len(b):
+        a, b = b, a
+    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    apart = int(np.bitwise_count(a ^ b).sum())
+    return links((n_a + n_b - apart) // 2, n_a, n_b)
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Parities of a hashed bitmap of WORDS 64-bit words."""
+    """Parities of a hashed bitmap of WORDS 64-bit words, short enough to go along with each shingle of a tile."""
     n_bits = 64 * WORDS
     return np.packbits((np.bincount((shingles >> np.uint64(24) & np.uint64(n_bits - 1)).astype(np.int64), minlength=n_bits) & 1).astype(bool)).view(np.int64)
 
@@ -91,14 +108,14 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-_SET_ROW = "n long, hi long, lo long, token long, count long"
+_SET_ROW = "n long, hi long, lo long, sig binary, token long, count long"
 
 
 def _scan_sets(documents: DataFrame, id_type: str = "long") -> DataFrame:
-    """A row (doc_id, n, hi, lo) for each document, and rows (token, count) of shingles that recur within a stretch of a task's texts."""
+    """A row (doc_id, n, hi, lo, sig) for each document, and rows (token, count) of shingles that recur within a stretch of a task's texts."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [{"long": pa.int64(), "string": pa.string()}[id_type], pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        kinds = [{"long": pa.int64(), "string": pa.string()}[id_type], pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         names = ["doc_id", *(x.split()[0] for x in _SET_ROW.split(", "))]
         pending: list[np.ndarray] = []
         size, seen = 0, set()
@@ -109,7 +126,7 @@ def _scan_sets(documents: DataFrame, id_type: str = "long") -> DataFrame:
                 token, count = np.unique(np.concatenate(pending), return_counts=True)
                 often = count >= HEAVY_LOCAL
                 token, count = token[often].view(np.int64), count[often]
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(token), k) for k in kinds[:4]), pa.array(token), pa.array(count)], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(token), k) for k in kinds[:5]), pa.array(token), pa.array(count)], names=names)
             pending.clear()
             seen.clear()
             size = 0
@@ -118,18 +135,18 @@ def _scan_sets(documents: DataFrame, id_type: str = "long") -> DataFrame:
             ids, rows = batch.column(0).to_pylist(), []
             for row, shingles in shingle_sets(batch.column(1)):
                 if not len(shingles):
-                    rows.append((ids[row], 0, None, None))
+                    rows.append((ids[row], 0, None, None, None))
                     continue
                 name = class_of(shingles)
-                rows.append((ids[row], len(shingles), *name))
+                rows.append((ids[row], len(shingles), *name, full_signature(shingles)))
                 if name not in seen:
                     seen.add(name)
                     pending.append(shingles)
                     size += len(shingles)
                 if size >= STRETCH:
                     yield from heavy()
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds[:4], strict=True)), *(pa.nulls(len(rows), k) for k in kinds[4:])], names=names)
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds[:5], strict=True)), *(pa.nulls(len(rows), k) for k in kinds[5:])], names=names)
         yield from heavy()
 
     return documents.select(F.col("doc_id").cast(id_type).alias("doc_id"), "text").mapInArrow(tk.lean(go), f"doc_id {id_type}, {_SET_ROW}")
@@ -187,11 +204,25 @@ def _prefixes(documents: DataFrame, classes: DataFrame, heavy: list, id_type: st
 
 
 def _verify(documents: DataFrame, pairs: DataFrame, classes: DataFrame, id_type: str) -> DataFrame:
-    """The pairs (a, b) of classes that are links, by intersecting their sorted arrays; pairs (kept) may have other columns.
+    """The pairs (a, b) of classes that are links: full bitmaps bound the overlap, then sorted arrays are intersected. pairs may have other columns.
 
-    Only texts of these classes are hashed again, each class's once.
+    Only texts of classes within the bound are hashed again, each class's once.
     """
-    near = pairs.select("a", "b")
+    sigs = classes.select("class", "n", "sig")
+    both = (
+        pairs.select("a", "b")
+        .join(sigs.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a")
+        .join(sigs.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
+        .select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
+    )
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep = [may_link(x, sx, y, sy) for x, y, sx, sy in zip(n_a, n_b, batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    near = tk.durable(both.mapInArrow(tk.lean(bound), "a long, b long"))
     wanted = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     ends = tk.durable(classes.select("class", "hi", "lo", "doc_id").join(wanted, "class"))
     sets = tk.durable(_of_classes(documents, ends, id_type, lambda shingles: (shingles.tobytes(),), "shingles binary", [pa.binary()]))
@@ -340,13 +371,13 @@ def linked_documents(documents: DataFrame, id_type: str = "long") -> DataFrame:
     """
     scanned = tk.scanned(_scan_sets(documents, id_type))
     docs = scanned.where("n is not null").select("doc_id", "n", "hi", "lo")
-    by_name = scanned.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"))
+    by_name = scanned.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = tk.durable(by_name.withColumn("class", F.monotonically_increasing_id()))  # kept, so the numbers stay
     tokens = scanned.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= HEAVY_TOTAL)
     heavy = tokens.orderBy(F.desc("count"), "token").limit(HEAVY).collect()
     prefixes = tk.scanned(_prefixes(documents, classes, heavy, id_type))
 
-    first = components(_verify(documents, tk.durable(_lead_pairs(prefixes)), classes, id_type))
+    first = components(_verify(documents, _lead_pairs(prefixes), classes, id_type))
     held = prefixes.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")).select("class", "n", "component", "bits", "tokens")
     open_tokens = tk.durable(_open_tokens(held.select(F.explode("tokens").alias("token"), "component")).select("token"))
     bitmap = documents.sparkSession.sparkContext.broadcast(hash_bitmap(open_tokens, "token"))

@@ -263,6 +263,7 @@ def test_bit_counts_bound_the_overlap():
         assert apart <= n + m - 2 * len(np.intersect1d(a, b))
         if ngram_join.links(len(np.intersect1d(a, b)), n, m):
             assert apart * (100 + ngram_join.PERCENT) <= (n + m) * (100 - ngram_join.PERCENT)
+            assert ngram_join.may_link(n, ngram_join.full_signature(a), m, ngram_join.full_signature(b))
 
 
 def test_components_of_a_long_chain(spark):
