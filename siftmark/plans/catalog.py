@@ -145,7 +145,8 @@ def synthetic_cohort(spark, sf):
 
 
 def _files(spark, sf):
-    return _programs(spark, sf).select(F.concat("assignment_id", F.lit("/"), "file_name").alias("path"), F.encode("code", "UTF-8").alias("content"), F.col("assignment_id").alias("archive"))
+    some = F.concat("assignment_id", F.lit("#"), F.floor(F.col("submission_id") / 100).cast("string"))
+    return _programs(spark, sf).select(F.concat("assignment_id", F.lit("/"), "file_name").alias("path"), F.encode("code", "UTF-8").alias("content"), some.alias("archive"))
 
 
 _UPLOAD = f"lower(regexp_extract(string_split(path, '/')[-1], '^.+\\.([^.]*)$', 1))"
@@ -157,7 +158,7 @@ def ingest_files(spark, sf):
     return ig.ingest_files(_files(spark, sf))
 
 
-@query(f"WITH {S.PROGRAMS}, files AS (SELECT assignment_id || '!' || assignment_id || '/' || file_name AS path, code FROM programs) {_INGESTED}")
+@query(f"WITH {S.PROGRAMS}, files AS (SELECT assignment_id || '#' || (submission_id // 100) || '!' || assignment_id || '/' || file_name AS path, code FROM programs) {_INGESTED}")
 def ingest_zip(spark, sf):
     return ig.ingest_archives(ig.zip_files(_files(spark, sf)))
 
@@ -792,6 +793,17 @@ def owner_dashboard(spark, sf):
     return _dashboard(spark, sf)
 
 
+@query(f"WITH {_OWNED} SELECT owner_id, assignment_id, display_status, row_number() OVER (PARTITION BY owner_id ORDER BY created_at DESC, assignment_id) AS place FROM o")
+def own_assignments(spark, sf):
+    """What each owner sees: only assignments of their own, the newest first."""
+    from pyspark.sql.window import Window
+
+    owners = src.read_table(spark, sf, "customer").select(F.col("c_custkey").alias("asking"))
+    own = _dashboard(spark, sf).join(owners, F.col("owner_id") == F.col("asking"))
+    place = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("created_at"), "assignment_id"))
+    return own.select("owner_id", "assignment_id", "display_status", place.alias("place"))
+
+
 @query(f"WITH {_OWNED} SELECT owner_id, count(*) AS assignments, sum(students)::BIGINT AS students, count(*) FILTER (display_status = 'completed') AS completed, count(*) FILTER (display_status = 'queued') AS running FROM o GROUP BY 1")
 def owner_summary(spark, sf):
     return rp.owner_summary(_dashboard(spark, sf))
@@ -838,6 +850,17 @@ def result_sink(spark, sf):
     return spark.read.schema("a long, b long, raw double, adjusted double, assignment_id string").parquet(path).select("assignment_id", "a", "b", "raw", "adjusted")
 
 
+@query(f"{LATEST} SELECT assignment_id, hash, occurrences, total, is_boilerplate FROM stats")
+def boilerplate_sink(spark, sf):
+    """All assignments are written twice; each holds its last statistics alone."""
+    path = st.work_folder(spark, "boilerplate")
+    latest = _latest(spark, sf)
+    stats = _stats_of(_sets_of(latest), latest).select("assignment_id", "hash", "occurrences", "total", "is_boilerplate")
+    ig.replace_boilerplate(stats.withColumn("occurrences", F.lit(0).cast("long")), path)
+    ig.replace_boilerplate(stats, path)
+    return spark.read.schema("hash long, occurrences long, total long, is_boilerplate boolean, assignment_id string").parquet(path).select(*stats.columns)
+
+
 @query(f"{CODE} SELECT assignment_id, submission_id, hash FROM sets")
 def index_sink(spark, sf):
     path = st.work_folder(spark, "index")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,33 +26,64 @@ def ingest_files(files: DataFrame) -> DataFrame:
     return kept.select("path", "file_name", "ext", "language", "code")
 
 
-def ingest_archives(archives: DataFrame) -> DataFrame:
-    """ingest_files() of the entries of ZIP archives (path, content); path is archive!entry.
+#: Bytes of an entry, unpacked, that are read; larger ones are reported.
+MAX_ENTRY = 50 << 20
+
 
-    One archive is opened by one task, entry by entry. Folders and unsafe
-    names are passed over, and so is an archive that can't be read.
+def archive_entries(archives: DataFrame, max_entry: int = MAX_ENTRY) -> DataFrame:
+    """path (archive!entry), entry, content, error of every file in ZIP archives (path, content), entry by entry.
+
+    What can't be read has a row without content that says why: an archive
+    that is broken or null (without entry), an entry that is encrypted,
+    damaged, or larger than max_entry bytes.
     """
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(path, entry, content, error):
+            kinds = (pa.string(), pa.string(), pa.binary(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((path, entry, content, error), kinds, strict=True)], names=["path", "entry", "content", "error"])
+
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows: tuple[list, list, list] = ([], [], [])
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content.as_py() or b"")) as archive:
-                        for entry in archive.infolist():
-                            if not entry.is_dir():
-                                for column, value in zip(rows, (f"{path}!{entry.filename}", entry.filename, archive.read(entry)), strict=True):
-                                    column.append(value)
-                except zipfile.BadZipFile:
-                    pass
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.binary())], names=["path", "entry", "content"])
-
-    entries = archives.select("path", "content").mapInArrow(expand, "path string, entry string, content binary")
+                    archive = zipfile.ZipFile(io.BytesIO(content.as_py() or b""))
+                except (zipfile.BadZipFile, OSError, ValueError) as e:
+                    yield row(path, None, None, f"archive: {e}")
+                    continue
+                with archive:
+                    for info in archive.infolist():
+                        if info.is_dir():
+                            continue
+                        name = f"{path}!{info.filename}"
+                        if info.file_size > max_entry:
+                            yield row(name, info.filename, None, f"entry: {info.file_size} bytes")
+                            continue
+                        try:
+                            yield row(name, info.filename, archive.read(info), None)
+                        except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError, zlib.error) as e:
+                            yield row(name, info.filename, None, f"entry: {e}")
+
+    return archives.select("path", "content").mapInArrow(expand, "path string, entry string, content binary, error string")
+
+
+def ingest_archives(archives: DataFrame) -> DataFrame:
+    """ingest_files() of the entries of ZIP archives (path, content) that can be read; path is archive!entry. Unsafe names are passed over; archive_errors() has the rest."""
+    entries = archive_entries(archives).where("error IS NULL")
     return ingest_files(entries.where(safe_path(F.col("entry"))).select("path", "content"))
 
 
+def archive_errors(archives: DataFrame) -> DataFrame:
+    """path, error of the archives and entries that can't be read."""
+    return archive_entries(archives).where("error IS NOT NULL").select("path", "error")
+
+
+def inline_files(texts: DataFrame) -> DataFrame:
+    """(path, content) of texts given as such (path, text), to be united with read_files()."""
+    return texts.select("path", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+
+
 def zip_files(files: DataFrame) -> DataFrame:
-    """(path, content) of one archive for each value of archive, with its files (archive, path, content)."""
+    """(path, content) of one archive for each value of archive, with its files (archive, path, content); a group is built in one task, so its files must be few."""
 
     def pack(pdf):
         import pandas as pd
@@ -93,15 +125,16 @@ def replace_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("assignment_id").parquet(path)
 
 
+def replace_boilerplate(stats: DataFrame, path: str) -> None:
+    """Write boilerplate statistics by assignment; only the assignments that stats has are replaced."""
+    replace_results(stats, path)
+
+
 def add_to_index(sets: DataFrame, path: str) -> None:
     """Add (assignment_id, submission_id, hash) rows that the index doesn't hold yet."""
     spark = sets.sparkSession
     new = sets.select("assignment_id", "submission_id", "hash").distinct()
-    try:
-        held = spark.read.parquet(path)
-    except Exception as e:  # the first rows make the index
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    else:
-        new = new.join(held, ["assignment_id", "submission_id", "hash"], "left_anti")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        new = new.join(spark.read.schema("assignment_id string, submission_id long, hash long").parquet(path), ["assignment_id", "submission_id", "hash"], "left_anti")
     new.write.mode("append").parquet(path)

@@ -178,6 +178,16 @@ def test_files_and_archives(spark, tmp_path):
     zipped = ingest.zip_files(files.select(F.lit("z").alias("archive"), F.concat(F.lit("d/"), F.element_at(F.split("path", "/"), -1)).alias("path"), "content"))
     bad = spark.createDataFrame([("broken", bytearray(b"no zip"))], "path string, content binary")
     assert [r.path for r in ingest.ingest_archives(zipped.union(bad)).collect()] == ["z!d/a.py"]
+    good = bytearray(zipped.first().content)
+    at = good.index(b"PK\x03\x04")
+    good[at + 6] |= 1  # both places that say that the entry is encrypted
+    good[good.index(b"PK\x01\x02") + 8] |= 1
+    locked = spark.createDataFrame([("locked", good), ("none", None)], "path string, content binary")
+    errors = {r.path: r.error for r in ingest.archive_errors(zipped.union(bad).union(locked)).collect()}
+    assert {"broken", "none"} <= set(errors) and any(x.startswith("locked!") for x in errors)
+    assert any("bytes" in r.error for r in ingest.archive_entries(zipped, max_entry=1).where("error IS NOT NULL").collect())
+    inline = ingest.inline_files(spark.createDataFrame([("t.py", "x = 1"), ("u.py", None)], "path string, text string"))
+    assert [r.path for r in ingest.ingest_files(inline.union(files.select("path", "content"))).where("path LIKE '_.py'").collect()] == ["t.py"]
 
 
 def test_sinks(spark, tmp_path):
