@@ -49,3 +49,8 @@ def kept(df: DataFrame, per_core: int = PER_CORE) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return few_files(df, per_core).checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage between the rounds of a long job: Spark removes the shuffle files, broadcasts and checkpoints of frames that nobody holds any more only then."""
+    spark.sparkContext._jvm.System.gc()
