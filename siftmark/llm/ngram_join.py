@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.durable import release
 from . import textkit as tk
 from .bitmaps import bitmap_of, hash_bitmap, hash_bitmaps, probe
 
@@ -225,6 +226,7 @@ def _verify(documents: DataFrame, pairs: DataFrame, classes: DataFrame, id_type:
     near = tk.durable(both.mapInArrow(tk.lean(bound), "a long, b long"))
     wanted = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     ends = tk.durable(classes.select("class", "hi", "lo", "doc_id").join(wanted, "class"))
+    release(documents.sparkSession)
     sets = tk.durable(_of_classes(documents, ends, id_type, lambda shingles: (shingles.tobytes(),), "shingles binary", [pa.binary()]))
     arrays = (
         near.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("of_a")), "a")
@@ -260,7 +262,8 @@ def components(edges: DataFrame) -> DataFrame:
         own = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
         now = tk.durable(spread.join(own, "component").select("node", "old", F.least("component", "further").alias("component")))
         labels = now.select("node", "component")
-        if not now.where("old <> component").limit(1).count():
+        release(edges.sparkSession)
+        if now.where("old <> component").isEmpty():
             return labels
 
 
@@ -376,8 +379,10 @@ def linked_documents(documents: DataFrame, id_type: str = "long") -> DataFrame:
     tokens = scanned.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= HEAVY_TOTAL)
     heavy = tokens.orderBy(F.desc("count"), "token").limit(HEAVY).collect()
     prefixes = tk.scanned(_prefixes(documents, classes, heavy, id_type))
+    release(documents.sparkSession)
 
     first = components(_verify(documents, _lead_pairs(prefixes), classes, id_type))
+    release(documents.sparkSession)
     held = prefixes.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")).select("class", "n", "component", "bits", "tokens")
     open_tokens = tk.durable(_open_tokens(held.select(F.explode("tokens").alias("token"), "component")).select("token"))
     bitmap = documents.sparkSession.sparkContext.broadcast(hash_bitmap(open_tokens, "token"))
@@ -395,11 +400,15 @@ def linked_documents(documents: DataFrame, id_type: str = "long") -> DataFrame:
 
     # tokens that only the bitmap lets through are held within one component, so they make no pair
     holders = tk.durable(held.mapInArrow(tk.lean(pick), "token long, place long, class long, n long, component long, bits array<long>"))
+    release(documents.sparkSession)
     best = tk.durable(_pivot_pairs(holders))
     merged = components(_between(_verify(documents, best, classes, id_type), best))
+    release(documents.sparkSession)
     still = _renamed(holders, merged)
     cross = tk.durable(_cross_pairs(still.join(_open_tokens(still), "token")))
+    release(documents.sparkSession)
     last = components(_between(_verify(documents, cross, classes, id_type), cross))
+    release(documents.sparkSession)
     named = classes.join(first.withColumnRenamed("node", "class"), "class", "left").select("class", "hi", "lo", "doc_id", F.coalesce("component", "class").alias("component"))
     named = tk.durable(_renamed(_renamed(named, merged), last))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
