@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("chat_formatting", "decontamination", "html_extraction", "license_scans", "line_dedup", "ngram_join", "packing", "periodic_runs", "quality_rules", "secret_scans", "toxicity")
+MODULES = ("chat_formatting", "decontamination", "html_extraction", "license_scans", "line_dedup", "ngram_join", "packing", "periodic_runs", "quality_rules", "ranked_search", "secret_scans", "toxicity", "url_filters")
 
 
 def collect(what: str) -> dict:
