@@ -37,6 +37,27 @@ def deadline_history(changes: DataFrame) -> DataFrame:
     return changes.select("key", "changed_at", before.alias("old_deadline"), F.col("deadline").alias("new_deadline")).where("old_deadline is not null and old_deadline <> new_deadline")
 
 
+def deadline_versions(changes: DataFrame) -> DataFrame:
+    """assignment_id, deadline, valid_from, valid_to of every change (assignment_id, changed_at, deadline): in force from its change up to the next one, without end if it is the last. Of changes at one time the latest deadline stays."""
+    last = changes.groupBy("assignment_id", "changed_at").agg(F.max("deadline").alias("deadline"))
+    following = F.lead("changed_at").over(Window.partitionBy("assignment_id").orderBy("changed_at"))
+    return last.select("assignment_id", "deadline", F.col("changed_at").alias("valid_from"), following.alias("valid_to"))
+
+
+def in_force(attempts: DataFrame, versions: DataFrame) -> DataFrame:
+    """attempts (assignment_id, submitted_at, ...) with the deadline that was in force when they arrived, and accepted: sent before it.
+
+    An equi-join on the assignment whose condition picks the one version that
+    holds at the time, so no row comes twice; a hot assignment's attempts can
+    be split, as only its few versions are on the other side. Attempts before
+    the first version, or without a time, have no deadline and aren't accepted.
+    """
+    v = versions.select(F.col("assignment_id").alias("_assignment"), F.col("deadline"), "valid_from", "valid_to")
+    holds = (attempts["assignment_id"] == F.col("_assignment")) & (attempts["submitted_at"] >= F.col("valid_from")) & (F.col("valid_to").isNull() | (attempts["submitted_at"] < F.col("valid_to")))
+    joined = attempts.join(v, holds, "left")
+    return joined.select(*(attempts[c] for c in attempts.columns), "deadline", F.coalesce(attempts["submitted_at"] < F.col("deadline"), F.lit(False)).alias("accepted"))
+
+
 def enroll_new(enrolled: DataFrame, wanted: DataFrame) -> DataFrame:
     """The distinct (assignment_id, student_id) of wanted that aren't enrolled yet."""
     return wanted.select(*STUDENT).distinct().join(enrolled.select(*STUDENT), list(STUDENT), "left_anti")

@@ -6,9 +6,6 @@ sources.programs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import token_value
@@ -29,28 +26,16 @@ from ..sources import programs as src
 from ..sources.durable import kept
 from ..streaming import jobs as st
 from . import sql as S
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        key = name or f.__name__
-        _QUERIES[key] = f
-        if sql:
-            _SQL[key] = sql
-        return f
-
-    return register
-
+from .registry import _QUERIES, _SQL, Query, query
 
 def queries() -> dict[str, Query]:
+    from . import stream_queries  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -868,47 +853,3 @@ def index_sink(spark, sf):
     ig.add_to_index(sets.where("submission_id % 2 = 0"), path)
     ig.add_to_index(sets, path)
     return spark.read.parquet(path)
-
-
-def _part_stream(spark, sf):
-    """The part table as a stream of programs; what a window over them adds (version) is left out."""
-    part = st.stream_table(spark, sf, "part")
-    static = _programs(spark, sf).select("submission_id", "assignment_id", "language", "file_name", "code")
-    return part.select(F.col("p_partkey").alias("submission_id")).join(static, "submission_id")
-
-
-@query(f"{CODE} SELECT assignment_id, submission_id, hash, pos, start_line, end_line FROM fps")
-def stream_fingerprints(spark, sf):
-    return st.stream_fingerprints(_part_stream(spark, sf), st.work_folder(spark, "stream"))
-
-
-@query(f"{CODE} SELECT * FROM cand")
-def stream_candidates(spark, sf):
-    return st.stream_candidates(_part_stream(spark, sf), st.work_folder(spark, "stream"))
-
-
-def _event_stream(spark, sf):
-    return st.stream_table(spark, sf, "events").select(F.col("event_type").alias("assignment_id"), F.col("event_id").alias("submission_id"), F.concat(F.lit("S"), F.col("user_id")).alias("student_id"), F.col("ts").alias("submitted_at"))
-
-
-@query("SELECT event_type AS assignment_id, event_id AS submission_id, ts < d AS accepted FROM events JOIN (SELECT event_type, max(ts) - INTERVAL 2 DAY AS d FROM events GROUP BY 1) USING (event_type)")
-def stream_deadline(spark, sf):
-    deadlines = src.attempts(spark, sf).groupBy("assignment_id").agg((F.max("submitted_at") - F.expr("INTERVAL 2 DAYS")).alias("deadline"))
-    accepted, late = st.stream_deadline(_event_stream(spark, sf), deadlines, st.work_folder(spark, "stream"))
-    flagged = lambda rows, flag: rows.select("assignment_id", "submission_id", F.lit(flag).alias("accepted"))
-    return flagged(accepted, True).unionByName(flagged(late, False))
-
-
-@query("SELECT event_type AS assignment_id, 'S' || user_id AS student_id, max_by(event_id, ts) AS submission_id, max(ts) AS submitted_at, count(*) AS n FROM events GROUP BY 1, 2")
-def stream_latest(spark, sf):
-    return st.stream_latest(_event_stream(spark, sf), st.work_folder(spark, "stream"))
-
-
-@query("SELECT event_type AS assignment_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2")
-def burst_counts(spark, sf):
-    return st.burst_counts(src.attempts(spark, sf))
-
-
-@query("SELECT * FROM (SELECT event_type AS assignment_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2) WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
-def stream_bursts(spark, sf):
-    return st.stream_bursts(_event_stream(spark, sf), st.work_folder(spark, "stream"))

@@ -25,11 +25,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _place(spark: SparkSession, path: str):
+    """The folder's file system and its path there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Make a folder that isn't there yet."""
+    store, place = _place(spark, path)
+    store.mkdirs(place)
+
+
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there and holds anything but hidden files and markers; a success marker isn't needed."""
+    store, place = _place(spark, path)
+    return store.exists(place) and any(not f.getPath().getName().startswith(("_", ".")) for f in store.listStatus(place))
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of new_folder(), in whatever store it is."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    store, place = _place(spark, path)
+    store.delete(place, True)
 
 
 #: Tasks a core that write an intermediate: enough to even out, and few enough not to fill the store with small files.

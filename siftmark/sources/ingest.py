@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.intake import base_name, dotted_extension, ext_language, safe_path
+from .durable import has_data
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -134,7 +135,6 @@ def add_to_index(sets: DataFrame, path: str) -> None:
     """Add (assignment_id, submission_id, hash) rows that the index doesn't hold yet."""
     spark = sets.sparkSession
     new = sets.select("assignment_id", "submission_id", "hash").distinct()
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    if has_data(spark, path):
         new = new.join(spark.read.schema("assignment_id string, submission_id long, hash long").parquet(path), ["assignment_id", "submission_id", "hash"], "left_anti")
     new.write.mode("append").parquet(path)

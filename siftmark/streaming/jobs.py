@@ -13,12 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, StructType
 
 from ..operators.fingerprint import fingerprints
-from ..operators.pairs import distinct_hashes
 from ..operators.tokens import tokenize_any
-from ..operators.versions import STUDENT
+from ..operators.versions import STUDENT, in_force
+from ..sources.durable import make_folder
 from ..sources.durable import new_folder as work_folder  # noqa: F401  a stream's files are kept beside the checkpoints
 
 
@@ -63,36 +63,26 @@ def run_append(stream: DataFrame, folder: str) -> DataFrame:
     schema = stream.schema
     query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(schema).parquet(f"{folder}/out")
+    return _written(stream.sparkSession, f"{folder}/out", schema)
 
 
-def stream_fingerprints(submissions: DataFrame, folder: str) -> DataFrame:
-    """Fingerprints of arriving submissions (KEYS, code, language, file_name)."""
+def _written(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """What batches have written below path; nothing if none has come yet."""
+    make_folder(spark, path)
+    return spark.read.schema(schema).parquet(path)
 
-    def each(batch: DataFrame, number: int) -> None:
-        fingerprints(tokenize_any(batch)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    run_batches(submissions, each, folder)
-    return submissions.sparkSession.read.parquet(f"{folder}/out").drop("batch")
+_PRINTS = "assignment_id string, submission_id long, hash long, pos int, start_line int, end_line int, batch int"
 
 
-def stream_candidates(submissions: DataFrame, folder: str) -> DataFrame:
-    """assignment_id, a, b, shared of arriving submissions against all that came before and with them; each pair once, when its later side arrives."""
-    spark = submissions.sparkSession
-    pairs_schema = "assignment_id string, a long, b long, shared long"
+def stream_fingerprints(submissions: DataFrame, folder: str) -> DataFrame:
+    """Fingerprints of arriving submissions (KEYS, code, language, file_name)."""
 
     def each(batch: DataFrame, number: int) -> None:
-        sets = distinct_hashes(fingerprints(tokenize_any(batch)))
-        sets.write.mode("overwrite").parquet(f"{folder}/index/batch={number}")
-        index = spark.read.schema("assignment_id string, submission_id long, hash long, batch int").parquet(f"{folder}/index").where(F.col("batch") <= number)
-        new = index.where(F.col("batch") == number).select("assignment_id", "hash", F.col("submission_id").alias("x"))
-        held = index.select("assignment_id", "hash", F.col("submission_id").alias("y"), "batch")
-        met = new.join(held, ["assignment_id", "hash"]).where((F.col("batch") < number) & (F.col("x") != F.col("y")) | (F.col("batch") == number) & (F.col("x") < F.col("y")))
-        found = met.groupBy("assignment_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-        found.write.mode("overwrite").parquet(f"{folder}/pairs/batch={number}")
+        fingerprints(tokenize_any(batch)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     run_batches(submissions, each, folder)
-    return spark.read.schema(pairs_schema).parquet(f"{folder}/pairs").drop("batch")
+    return _written(submissions.sparkSession, f"{folder}/out", _PRINTS).drop("batch")
 
 
 def stream_deadline(attempts: DataFrame, deadlines: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -108,10 +98,28 @@ def stream_deadline(attempts: DataFrame, deadlines: DataFrame, folder: str) -> t
     run_batches(attempts, each, folder)
     # columns of no stream: a reader of the folder needs their types even before a row has come
     columns = attempts.sparkSession.createDataFrame([], attempts.schema).join(deadlines.limit(0), "assignment_id").schema.add("batch", IntegerType()).add("late", IntegerType())
-    found = spark.read.schema(columns).parquet(f"{folder}/out").drop("batch")
+    found = _written(spark, f"{folder}/out", columns).drop("batch")
     return found.where("late = 0").drop("late"), found.where("late = 1").drop("late")
 
 
+def stream_deadline_versions(attempts: DataFrame, versions: Callable[[], DataFrame], folder: str) -> DataFrame:
+    """in_force() of arriving attempts, all of them, late ones with accepted false.
+
+    versions gives the table of deadline_versions() anew in each batch, so an
+    extension counts for what arrives after it, and a batch that runs again
+    judges by the attempts' own times, as before.
+    """
+    spark = attempts.sparkSession
+
+    def each(batch: DataFrame, number: int) -> None:
+        table = versions()
+        in_force(batch, F.broadcast(table) if _small(table) else table).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    run_batches(attempts, each, folder)
+    schema = in_force(spark.createDataFrame([], attempts.schema), versions()).schema.add("batch", IntegerType())
+    return _written(spark, f"{folder}/out", schema).drop("batch")
+
+
 def _small(table: DataFrame, most: int = 100_000) -> bool:
     """Whether a static table has few enough rows to be sent to every task."""
     return table.limit(most + 1).count() <= most
@@ -136,7 +144,7 @@ def stream_latest(attempts: DataFrame, folder: str) -> DataFrame:
         merged(rows).write.mode("overwrite").parquet(f"{folder}/last/batch={number}")
 
     run_batches(attempts, each, folder)
-    return merged(spark.read.schema(schema).parquet(f"{folder}/last"))
+    return merged(_written(spark, f"{folder}/last", schema))
 
 
 def burst_counts(attempts: DataFrame, minutes: int = 60) -> DataFrame:
