@@ -89,8 +89,8 @@ def contaminated_passages(documents: DataFrame, benchmark: DataFrame) -> DataFra
     Every document's windows are hashed under all masks; those that a bitmap
     of the benchmark's hashes lets through are joined with them in Spark, and
     the aligned words around each hit are compared. The masks lose no such
-    window. Items with equal words count as the one with the smallest item_id;
-    items without words find nothing. doc_start and doc_end are word numbers,
+    window. Items with equal words count as the one with the smallest item_id, null
+    if they have none; items without words find nothing. doc_start and doc_end are word numbers,
     n_windows the number of distinct windows, or of places of a short item.
     Null texts are empty, rows without doc_id are one document, repeated rows
     count once; other columns are not read.
@@ -103,42 +103,45 @@ def contaminated_passages(documents: DataFrame, benchmark: DataFrame) -> DataFra
 def _long_passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     items = seed_runs(benchmark.select(F.col("item_id").cast("long"), "text"))
-    items = tk.durable(items.groupBy("words").agg(F.min("doc_id").alias("item_id"), F.first("seeds").alias("seeds")))
-    item_seeds = items.select("item_id", F.explode("seeds").alias("s")).select("item_id", F.col("s.seed").alias("seed"), F.col("s.pos").alias("item_pos"))
+    items = items.groupBy("words").agg(F.min("doc_id").alias("item_id"), F.first("seeds").alias("seeds"))
+    items = tk.durable(items.withColumn("item_no", F.monotonically_increasing_id()))  # kept, so the numbers stay; an item_id may be null
+    item_seeds = items.select("item_no", F.explode("seeds").alias("s")).select("item_no", F.col("s.seed").alias("seed"), F.col("s.pos").alias("item_pos"))
     bitmap = spark.sparkContext.broadcast(hash_bitmap(item_seeds, "seed"))
     runs = tk.scanned(seed_runs(documents.select(F.col("doc_id").cast("long"), "text"), bitmap))
+    bitmap.destroy()
     hits = (
         runs.select("doc_id", "run", F.explode("seeds").alias("s"))
         .select("doc_id", "run", F.col("s.seed").alias("seed"), F.col("s.pos").alias("pos"))
         .join(item_seeds, "seed")
-        .select("doc_id", "run", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
+        .select("doc_id", "run", "item_no", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
         .distinct()
     )
     aligned = (
-        hits.join(items.select("item_id", F.col("words").alias("item")), "item_id")
+        hits.join(items.select("item_no", F.col("words").alias("item")), "item_no")
         .alias("h")
         .join(runs.select("doc_id", "run", "words").alias("r"), F.col("h.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("h.run") == F.col("r.run")))
-        .select("h.doc_id", "h.run", "item_id", "diagonal", "words", "item")
+        .select("h.doc_id", "h.run", "item_no", "diagonal", "words", "item")
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, run, item_id, diagonal = (batch.column(c).to_pylist() for c in range(4))
+            doc, run, item_no, diagonal = (batch.column(c).to_pylist() for c in range(4))
             rows: tuple[list, list, list] = ([], [], [])
             for i in range(batch.num_rows):
                 words, item = batch.column(4)[i].values.to_numpy(), batch.column(5)[i].values.to_numpy()
                 at = overlap_starts(words, item, diagonal[i] - run[i])
                 rows[0].extend([doc[i]] * len(at))
-                rows[1].extend([item_id[i]] * len(at))
+                rows[1].extend([item_no[i]] * len(at))
                 rows[2].extend((at + run[i]).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc_id", "item_id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc_id", "item_no", "pos"])
 
-    return (
-        aligned.mapInArrow(tk.lean(verify), "doc_id long, item_id long, pos long")
+    windows = (
+        aligned.mapInArrow(tk.lean(verify), "doc_id long, item_no long, pos long")
         .distinct()
-        .groupBy("doc_id", "item_id")
+        .groupBy("doc_id", "item_no")
         .agg(F.count(F.lit(1)).alias("n_windows"), F.min("pos").alias("doc_start"), (F.max("pos") + SPAN).alias("doc_end"))
     )
+    return windows.join(items.select("item_no", "item_id"), "item_no").select("doc_id", "item_id", "n_windows", "doc_start", "doc_end")
 
 
 def _short_items(benchmark: DataFrame) -> DataFrame:
@@ -180,7 +183,8 @@ def _whole_items(documents: DataFrame, items: DataFrame) -> DataFrame:
                 columns = [pa.array([ids[i + t] for t, _ in found], pa.int64()), pa.array([s for s, _ in found.values()], pa.int64()), pa.array([np.frombuffer(w, np.int64) for _, w in found], pa.list_(pa.int64())), pa.array([at for _, at in found.values()], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "seed", "words", "at"])
 
-    held = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tk.lean(go), "doc_id long, seed long, words array<long>, at array<long>")
+    held = tk.scanned(documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tk.lean(go), "doc_id long, seed long, words array<long>, at array<long>"))
+    bitmap.destroy()
     places = held.join(items, ["seed", "words"]).select("doc_id", "item_id", "n", F.explode("at").alias("pos")).distinct()
     return places.groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("n_windows"), F.min("pos").alias("doc_start"), (F.max("pos") + F.first("n")).alias("doc_end")).drop("n")
 
@@ -203,16 +207,17 @@ def _words_sql(table: str, key: str) -> str:
 
 SQL = {
     "op1_benchmark_decontamination": f"""
-WITH b AS (SELECT min(item_id) OVER (PARTITION BY ws) AS item_id, item_id AS own, ws, w, p, n FROM ({_words_sql('benchmark', 'item_id')})),
+WITH items AS MATERIALIZED (SELECT min(item_id) AS item_id, row_number() OVER () AS item_no, ws, len(ws) AS n FROM (SELECT item_id, ws FROM ({_words_sql('benchmark', 'item_id')}) WHERE p = 0) GROUP BY ws),
+b AS (SELECT item_no, ws, unnest(ws) AS w, unnest(range(n)) AS p, n FROM items),
 d AS ({_words_sql('documents', 'doc_id')}),
-m AS (SELECT doc_id, item_id, d.p AS p, d.p - b.p AS diagonal, least(d.n, b.n + d.p - b.p) AS stop FROM d JOIN b USING (w) WHERE own = item_id),
-dense AS (SELECT doc_id, item_id, diagonal FROM m GROUP BY ALL HAVING count(*) >= {LEAST}),
-s AS (SELECT doc_id, item_id, diagonal, stop, unnest(range(p - {SPAN - 1}, p + 1)) AS start FROM m SEMI JOIN dense USING (doc_id, item_id, diagonal)),
-win AS (SELECT DISTINCT doc_id, item_id, start FROM (SELECT doc_id, item_id, diagonal, start, count(*) AS n FROM s
+m AS (SELECT doc_id, item_no, d.p AS p, d.p - b.p AS diagonal, least(d.n, b.n + d.p - b.p) AS stop FROM d JOIN b USING (w)),
+dense AS (SELECT doc_id, item_no, diagonal FROM m GROUP BY ALL HAVING count(*) >= {LEAST}),
+s AS (SELECT doc_id, item_no, diagonal, stop, unnest(range(p - {SPAN - 1}, p + 1)) AS start FROM m SEMI JOIN dense USING (doc_id, item_no, diagonal)),
+win AS (SELECT DISTINCT doc_id, item_no, start FROM (SELECT doc_id, item_no, diagonal, start, count(*) AS n FROM s
   WHERE start >= greatest(0, diagonal) AND start + {SPAN} <= stop GROUP BY ALL HAVING count(*) >= {LEAST})),
-short AS (SELECT DISTINCT doc_id, item_id, d.p AS start, b.n FROM d JOIN b ON b.own = b.item_id AND b.p = 0 AND b.n < {SPAN} AND d.w = b.w AND d.ws[d.p + 1:d.p + b.n] = b.ws)
-SELECT doc_id, item_id, count(*) AS n_windows, min(start) AS doc_start, max(start) + {SPAN} AS doc_end FROM win GROUP BY doc_id, item_id
-UNION ALL SELECT doc_id, item_id, count(*), min(start), max(start) + n FROM short GROUP BY doc_id, item_id, n
+short AS (SELECT DISTINCT doc_id, item_no, d.p AS start, b.n FROM d JOIN b ON b.p = 0 AND b.n < {SPAN} AND d.w = b.w AND d.ws[d.p + 1:d.p + b.n] = b.ws)
+SELECT doc_id, item_id, count(*) AS n_windows, min(start) AS doc_start, max(start) + {SPAN} AS doc_end FROM win JOIN items USING (item_no) GROUP BY doc_id, item_no, item_id
+UNION ALL SELECT doc_id, item_id, count(*), min(start), max(start) + s.n FROM short s JOIN items USING (item_no) GROUP BY doc_id, item_no, item_id, s.n
 """
 }
 QUERIES = {"op1_benchmark_decontamination": op1_benchmark_decontamination}

@@ -99,13 +99,14 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
     again = _chunk_hashes(texts).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
     bitmap = documents.sparkSession.sparkContext.broadcast(hash_bitmap(again, "h1"))
     chunks = tk.scanned(_chunk_texts(texts, bitmap))
+    bitmap.destroy()
     place = F.struct(F.coalesce("doc_id", F.lit(_LIMIT)).alias("doc_id"), "key", "no")
     first = durable(chunks.groupBy("h1", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last"))
     return chunks.join(first, ["h1", "chunk"]).where((F.col("key") != F.col("first.key")) | (F.col("no") != F.col("first.no"))).select("key", "no").distinct()
 
 
-def _cut_out(documents: DataFrame, removed: DataFrame, kept_of: Callable[[str, set[int]], tuple[list[str], int]], text_as: str, pieces: str) -> DataFrame:
-    """documents with what kept_of() leaves of a text without its removed (key, no), and n_lines_before, n_lines_removed, pieces."""
+def _cut_out(documents: DataFrame, removed: DataFrame, kept_of: Callable[[str, set[int]], tuple[list[str], int]], pieces: str) -> DataFrame:
+    """row (a struct of all columns) and cut (what kept_of() leaves of the text without its removed (key, no), n_lines_before, n_lines_removed, pieces)."""
     gone = removed.groupBy("key").agg(F.collect_set("no").alias("gone"))
     rows = documents.select(F.struct("*").alias("row"), _key(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("key"))
     joined = rows.join(gone, "key", "left")
@@ -128,9 +129,13 @@ def _cut_out(documents: DataFrame, removed: DataFrame, kept_of: Callable[[str, s
             out.append(("\n".join(kept), n, n - len(kept), cuts))
         return pd.DataFrame(out, columns=["text", *added])
 
-    done = joined.select("row", strip(F.col("row.text"), F.col("gone")).alias("cut"))
+    return joined.select("row", strip(F.col("row.text"), F.col("gone")).alias("cut"))
+
+
+def _flat(cut: DataFrame, documents: DataFrame, text_as: str) -> DataFrame:
+    added = [c for c in cut.schema["cut"].dataType.names if c != "text"]
     names = [c for c in documents.columns if c.lower() not in added]
-    return done.select(*((F.col("cut.text").alias(text_as) if c == "text" else F.col(f"row.`{c}`").alias(c)) for c in names), *(f"cut.{c}" for c in added))
+    return cut.select(*((F.col("cut.text").alias(text_as) if c == "text" else F.col(f"row.`{c}`").alias(c)) for c in names), *(f"cut.{c}" for c in added))
 
 
 def _without_chunks(text: str, drop: set[int]) -> tuple[list[str], int]:
@@ -145,34 +150,40 @@ def dedup_lines(documents: DataFrame, text_as: str = "text") -> DataFrame:
     which nothing is left is empty and has all its lines removed. A null text
     stays null, with no lines. Rows with equal doc_id and text are one
     document repeated and get the same result; null doc_ids come last. All
-    other columns are carried along, whatever their names.
+    other columns are carried along, but for those named as an added one, in
+    whose place that comes; cut_chunks() keeps these too, in a struct.
     """
-    return _cut_out(documents, repeated_chunks(documents), _without_chunks, text_as, "n_chunks_removed")
+    return _flat(cut_chunks(documents), documents, text_as)
+
+
+def cut_chunks(documents: DataFrame) -> DataFrame:
+    """dedup_lines() as two structs: row with all columns of documents, and cut with text, n_lines_before, n_lines_removed, n_chunks_removed."""
+    return _cut_out(documents, repeated_chunks(documents), _without_chunks, "n_chunks_removed")
 
 
 def _windows(text: str) -> Iterator[tuple[int, bytes]]:
-    """(first line, SHA-256) of every two lines in a row that have a word."""
+    """(first line, bytes) of every two lines in a row that have a word."""
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
     for no, (a, b) in enumerate(zip(lines, lines[1:], strict=False)):
         if a.strip() or b.strip():
-            yield no, hashlib.sha256(a + b"\n" + b).digest()
+            yield no, a + b"\n" + b
 
 
-def _head(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "big", signed=True)
+def _head(window: bytes) -> int:
+    return int.from_bytes(hashlib.md5(window).digest()[:8], "big", signed=True)
 
 
 def _window_hashes(texts: DataFrame) -> DataFrame:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h1, n = np.unique(np.array([_head(digest) for text in batch.column(2) for _, digest in _windows(text.as_py())], np.int64), return_counts=True)
+            h1, n = np.unique(np.array([_head(window) for text in batch.column(2) for _, window in _windows(text.as_py())], np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(n.astype(np.int64))], names=["h1", "n"])
 
     return texts.mapInArrow(tk.lean(go), "h1 long, n long")
 
 
-def _window_digests(texts: DataFrame, bitmap) -> DataFrame:
-    """The windows that may be repeated."""
+def _window_texts(texts: DataFrame, bitmap) -> DataFrame:
+    """The windows that may be repeated, with their bytes."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
@@ -180,13 +191,13 @@ def _window_digests(texts: DataFrame, bitmap) -> DataFrame:
             keys, ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for key, doc, text in zip(keys, ids, batch.column(2), strict=True):
                 found = list(_windows(text.as_py()))
-                hit = probe(bits, np.array([_head(digest) for _, digest in found], np.int64))
-                rows.extend((key, doc, *found[i]) for i in np.flatnonzero(hit))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "doc_id", "no", "digest"])
+                heads = np.array([_head(window) for _, window in found], np.int64)
+                rows.extend((key, doc, found[i][0], int(heads[i]), found[i][1]) for i in np.flatnonzero(probe(bits, heads)).tolist())
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "doc_id", "no", "h1", "window"])
 
-    return texts.mapInArrow(tk.lean(go), "key string, doc_id long, no long, digest binary")
+    return texts.mapInArrow(tk.lean(go), "key string, doc_id long, no long, h1 long, window binary")
 
 
 def repeated_windows(documents: DataFrame) -> DataFrame:
@@ -194,15 +205,17 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
 
     A passage of two lines or more is repeated just when all its windows are,
     so these windows cover the repeated passages of any length from their
-    first line to their last, whatever is around them.
+    first line to their last, whatever is around them. As in
+    repeated_chunks(), hashes find them and equal bytes decide.
     """
     texts = _texts(documents)
     again = _window_hashes(texts).groupBy("h1").agg(F.sum("n").alias("n")).where("n > 1").select("h1")
     bitmap = documents.sparkSession.sparkContext.broadcast(hash_bitmap(again, "h1"))
-    windows = tk.scanned(_window_digests(texts, bitmap))
+    windows = tk.scanned(_window_texts(texts, bitmap))
+    bitmap.destroy()
     place = F.struct(F.coalesce("doc_id", F.lit(_LIMIT)).alias("doc_id"), "key", "no")
-    first = durable(windows.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last"))
-    return windows.join(first, "digest").where((F.col("key") != F.col("first.key")) | (F.col("no") > F.col("first.no") + 1)).select("key", "no")
+    first = durable(windows.groupBy("h1", "window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last"))
+    return windows.join(first, ["h1", "window"]).where((F.col("key") != F.col("first.key")) | (F.col("no") > F.col("first.no") + 1)).select("key", "no")
 
 
 def _without_windows(text: str, drop: set[int]) -> tuple[list[str], int]:
@@ -226,7 +239,12 @@ def dedup_passages(documents: DataFrame, text_as: str = "text") -> DataFrame:
     The first place of a line always keeps it, and a copy of a text of two
     lines or more loses all its lines.
     """
-    return _cut_out(documents, repeated_windows(documents), _without_windows, text_as, "n_passages_removed")
+    return _flat(cut_passages(documents), documents, text_as)
+
+
+def cut_passages(documents: DataFrame) -> DataFrame:
+    """dedup_passages() as two structs: row with all columns of documents, and cut with text, n_lines_before, n_lines_removed, n_passages_removed."""
+    return _cut_out(documents, repeated_windows(documents), _without_windows, "n_passages_removed")
 
 
 def op2_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

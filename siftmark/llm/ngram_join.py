@@ -74,7 +74,7 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 def class_of(shingles: np.ndarray) -> tuple[int, int]:
     """A 128-bit name of a set, as two signed numbers."""
     n = np.uint64(len(shingles))
-    total = np.array([tk.mix(shingles ^ _CLASS[0]).sum(dtype=np.uint64) + n, shingles.sum(dtype=np.uint64) * _CLASS[2] + n])
+    total = np.array([tk.mix(shingles ^ _CLASS[0]).sum(dtype=np.uint64), shingles.sum(dtype=np.uint64)]) * np.array([1, _CLASS[2]], np.uint64) + n
     hi, lo = tk.mix(total ^ _CLASS[1]).view(np.int64).tolist()
     return hi, lo
 
@@ -400,6 +400,7 @@ def linked_documents(documents: DataFrame, id_type: str = "long") -> DataFrame:
 
     # tokens that only the bitmap lets through are held within one component, so they make no pair
     holders = tk.durable(held.mapInArrow(tk.lean(pick), "token long, place long, class long, n long, component long, bits array<long>"))
+    bitmap.destroy()
     release(documents.sparkSession)
     best = tk.durable(_pivot_pairs(holders))
     merged = components(_between(_verify(documents, best, classes, id_type), best))

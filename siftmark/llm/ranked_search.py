@@ -291,6 +291,7 @@ def _search_block(documents: DataFrame, block: Block) -> DataFrame:
     couples = neighbour_pairs(in_order)
     weights, ordered, pairs = send(w), send(in_order), send(couples)
     index = tk.scanned(bounded_segments(raw, n_docs, total, weights, pairs))
+    weights.destroy()
     least = send(_first_thresholds(index, n_items, ordered, pairs, n_terms))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

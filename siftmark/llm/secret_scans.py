@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.durable import few_files, new_folder
+from ..sources.durable import few_files, has_data, new_folder
 from . import textkit as tk
 from .textkit import durable, read
 
@@ -101,8 +101,7 @@ def update_ledger(documents: DataFrame, path: str, rules: dict | None = None) ->
     same findings, which findings_by_path() merges.
     """
     spark = documents.sparkSession
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    stored = spark.read.schema(LEDGER).parquet(path) if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place) else None
+    stored = spark.read.schema(LEDGER).parquet(path) if has_data(spark, path) else None
     few_files(scan_unseen(documents, stored, rules), 16).write.mode("append").parquet(path)
     return spark.read.schema(LEDGER).parquet(path)
 

@@ -185,8 +185,9 @@ def test_stages_take_odd_rows(spark, tmp_path, no):
     spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     good = " ".join(f"w{chr(97 + i % 26)}{i * 7 % 101}" for i in range(120))
     rows = [(None, None), (None, good), (None, good), (1, ""), (2, good + "\nsecond line of it"), (2, good + "\nsecond line of it"), (3, "x " * 200_000), (4, "a\n" * 5), (5, good[:-3] + "zz")]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, class string, key string, row string, gone string, n string, _row string, n_words string, kept string"
-    frame = spark.createDataFrame([(d, t, None, None, None, *"abcdefgh") for d, t in rows], schema)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, class string, key string, row string, gone string, n string, _row string, n_words string, kept string, _row_key string, n_lines_removed string, cut string, _other_id string"
+    clash = "abcdefghijkl"
+    frame = spark.createDataFrame([(d, t, None, None, None, *clash) for d, t in rows], schema)
     stage = corpus_pipeline.STAGES[no][1]
     whole, none = stage(spark, frame, str(tmp_path)), stage(spark, frame.limit(0), str(tmp_path))
     assert none.count() == 0
@@ -195,6 +196,7 @@ def test_stages_take_odd_rows(spark, tmp_path, no):
         return
     got = whole.collect()
     assert whole.columns == frame.columns and 0 < len(got) <= len(rows)
+    assert all(tuple(r)[5:] == tuple(clash) for r in got)
     before = Counter((r.doc_id, r.text) for r in frame.collect())
     if no != 1:
         assert not Counter((r.doc_id, r.text) for r in got) - before

@@ -203,6 +203,22 @@ def test_copies_lose_all_their_lines(spark):
     assert (got[200].text, got[201].text, got[203].text) == ("x\nx\nx", None, "one line")
 
 
+def test_added_columns_and_own_ones(spark):
+    docs = spark.createDataFrame([(1, "a\nb", "own", "x"), (2, "a\nb", "own", "x")], "doc_id long, text string, n_lines_removed string, row string")
+    flat = line_dedup.dedup_passages(docs)
+    assert flat.columns == ["doc_id", "text", "row", "n_lines_before", "n_lines_removed", "n_passages_removed"]
+    both = {r.row.doc_id: r for r in line_dedup.cut_passages(docs).collect()}
+    assert (both[2].row.n_lines_removed, both[2].cut.n_lines_removed, both[2].row.row) == ("own", 2, "x")
+
+
+def test_items_without_an_id(spark):
+    long = " ".join(f"w{i}" for i in range(14))
+    items = spark.createDataFrame([(None, long), (None, "seven of them"), (4, long + " more"), (5, "alone here"), (None, "alone here")], "item_id long, text string")
+    docs = frame(spark, [(1, f"x {long} y"), (2, "x seven of them"), (3, f"{long} more"), (4, "alone here")])
+    got = {(r.doc_id, r.item_id, r.n_windows) for r in decontamination.contaminated_passages(docs, items).collect()}
+    assert got == {(1, None, 3), (1, 4, 4), (2, None, 1), (3, None, 3), (3, 4, 4), (4, 5, 1)}
+
+
 # n-gram join
 
 
