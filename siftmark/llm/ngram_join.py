@@ -48,6 +48,8 @@ WORDS = 6
 TRIES = 8
 #: Holders of a shingle that one task of round 3 takes on one side.
 TILE = 1000
+#: Edges of a graph that is small enough for one partition; it affects speed only.
+FEW_EDGES = 200_000
 _SHORT = tk.constants(WIDTH, 7)
 _CLASS = tk.constants(3, 8)
 
@@ -252,9 +254,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of the edges (a, b) reaches.
 
     Labels spread over the edges and then over themselves (a label takes its
-    own node's label), so long chains need few rounds.
+    own node's label), so long chains need few rounds. FEW_EDGES at most are
+    put into one partition, where the same rounds need no shuffle.
     """
-    both = tk.durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ends = tk.durable(edges.select("a", "b"))
+    if ends.count() <= FEW_EDGES:
+        ends = ends.coalesce(1)
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")
+    both = tk.durable(ends.select(ways).select("x.a", "x.b").distinct())
     labels = tk.durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
