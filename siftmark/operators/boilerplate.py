@@ -40,6 +40,11 @@ def without_boilerplate(sets: DataFrame, stats: DataFrame) -> DataFrame:
     return sets.join(stats.where("is_boilerplate").select("assignment_id", "hash"), ["assignment_id", "hash"], "left_anti")
 
 
+def only_boilerplate(sets: DataFrame, stats: DataFrame) -> DataFrame:
+    """The sets' rows whose hash is boilerplate of their assignment."""
+    return sets.join(stats.where("is_boilerplate").select("assignment_id", "hash"), ["assignment_id", "hash"], "left_semi")
+
+
 def adjusted_pairs(sets: DataFrame, stats: DataFrame) -> DataFrame:
     """assignment_id, a, b, shared, raw, adjusted, overlap, n_boilerplate, n_clean of all pairs with a common hash.
 

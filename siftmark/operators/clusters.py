@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.durable import kept
 
@@ -57,3 +58,8 @@ def cluster_stats(members: DataFrame, edges: DataFrame, submissions: DataFrame)
     )
     joined = people.join(found, ["assignment_id", "cluster_id"])
     return joined.select("assignment_id", "cluster_id", "size", F.round("average", 9).alias("average"), "highest", F.col("best.a").alias("best_a"), F.col("best.b").alias("best_b"), "members", "students", "within_minutes")
+
+
+def ranked_clusters(stats: DataFrame) -> DataFrame:
+    """cluster_stats() with place: the largest first within the assignment, then the one with the highest average; cluster_id decides ties."""
+    return stats.withColumn("place", F.row_number().over(Window.partitionBy("assignment_id").orderBy(F.desc("size"), F.desc("average"), "cluster_id")))

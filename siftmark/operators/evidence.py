@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..sources.durable import kept
 from .boilerplate import adjusted_pairs, boilerplate_stats, hash_frequency
-from .fingerprint import K, W, fingerprints
+from .fingerprint import K, W, fingerprint_counts, fingerprints
 from .pairs import distinct_hashes, shared_hashes
 from .tokens import KEYS, tokenize_any
 from .versions import latest_version
@@ -17,6 +17,8 @@ from .versions import latest_version
 HIGH, MEDIUM, LOW = 0.7, 0.4, 0.2
 GAP = 2
 FIRST_TYPES, LEAST_TYPES, FIRST_NAMES, RENAMED = 20, 5, 10, 0.3
+#: Lines of a block that is swept by itself.
+COVER_BLOCK = 1 << 16
 STRUCTURES = {"loops": ("FOR", "WHILE"), "conditions": ("IF", "ELSE", "ELIF"), "functions": ("DEF", "FUNCTION")}
 
 
@@ -55,9 +57,46 @@ def matched_regions(raw: DataFrame) -> DataFrame:
 
 
 def line_coverage(regions: Column, side: str) -> Column:
-    """Distinct lines that the regions cover on one side."""
-    lines = F.flatten(F.transform(regions, lambda r: F.sequence(r[f"s{side}"], r[f"e{side}"])))
-    return F.size(F.array_distinct(lines)).cast("long")
+    """How many distinct lines the regions cover on one side: the union of their intervals, by one sweep over their sorted ends with the furthest line so far; no list of lines is made."""
+    ends = F.array_sort(F.transform(regions, lambda r: F.struct(r[f"s{side}"].cast("long").alias("first"), r[f"e{side}"].cast("long").alias("last"))))
+    start = F.struct(F.lit(0).cast("long").alias("covered"), F.lit(None).cast("long").alias("upto"))
+
+    def sweep(state: Column, r: Column) -> Column:
+        begin = F.greatest(r["first"], state["upto"] + 1)  # null is passed over
+        return F.struct((state["covered"] + F.greatest(r["last"] - begin + 1, F.lit(0))).alias("covered"), F.greatest(state["upto"], r["last"]).alias("upto"))
+
+    return F.aggregate(ends, start, sweep, lambda s: s["covered"])
+
+
+def covered_lines(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, lines: how many distinct lines the rows (keys, first, last) of each key cover, as rows.
+
+    The same sweep for keys with any number of intervals: they are cut at
+    blocks of lines, each block is swept by a window with a running maximum,
+    and the blocks' counts are added, so a key is dealt over many tasks. Rows
+    with a null end, or one before the first line, cover nothing.
+    """
+    from_block, to_block = F.floor(F.col("first") / COVER_BLOCK), F.floor(F.col("last") / COVER_BLOCK)
+    valid = intervals.where("first <= last").select(*keys, F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+    # of the blocks that an interval runs over, those in its middle are whole, and only counted
+    ends = valid.select(*keys, "first", "last", F.explode(F.array_distinct(F.array(from_block, to_block))).alias("block"))
+    low, high = F.col("block") * COVER_BLOCK, (F.col("block") + 1) * COVER_BLOCK - 1
+    parts = ends.select(*keys, "block", F.greatest("first", low).alias("first"), F.least("last", high).alias("last"))
+    middles = valid.select(*keys, (from_block + 1).alias("first"), (to_block - 1).alias("last")).where("first <= last")
+
+    def union(rows: DataFrame, by: list[str], n: str) -> DataFrame:
+        before = Window.partitionBy(*by).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+        fresh = rows.withColumn("upto", F.max("last").over(before))
+        return fresh.select(*by, F.greatest(F.col("last") - F.greatest("first", F.col("upto") + 1) + 1, F.lit(0)).alias(n))
+
+    # blocks that are whole count once, however many middles they are in, and their parts not at all
+    whole = union(middles.distinct(), keys, "blocks").groupBy(*keys).agg(F.sum("blocks").alias("blocks"))
+    inside = parts.select(*keys, "block").distinct()
+    held = inside.alias("i").join(middles.alias("m"), [F.col(f"i.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys] + [F.col("block").between(F.col("m.first"), F.col("m.last"))], "left_semi")
+    left = parts.alias("p").join(held.alias("h"), [F.col(f"p.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys] + [F.col("p.block") == F.col("h.block")], "left_anti")
+    lines = union(left.distinct(), [*keys, "block"], "lines").groupBy(*keys).agg(F.sum("lines").alias("lines"))
+    both = lines.select(*keys, "lines").unionByName(whole.select(*keys, (F.col("blocks") * COVER_BLOCK).alias("lines")))
+    return both.groupBy(*keys).agg(F.sum("lines").cast("long").alias("lines"))
 
 
 def structure_counts(tokens: DataFrame) -> DataFrame:
@@ -138,7 +177,11 @@ def analyze(submissions: DataFrame, starter: DataFrame | None = None, threshold:
     submitted_at, status, language, file_name, code. Tokens are made once a
     submission, not once a pair. risk_on names the score that risk goes by.
     """
-    latest = kept(latest_version(submissions))
+    return analyze_latest(kept(latest_version(submissions)), starter, threshold, risk_on, k, w)
+
+
+def analyze_latest(latest: DataFrame, starter: DataFrame | None = None, threshold: float = 0.7, risk_on: str = "raw", k: int = K, w: int = W) -> DataFrame:
+    """analyze() of submissions that are all taken as they are: assignment_id, submission_id, language, file_name, code."""
     tokens = kept(tokenize_any(latest))
     prints = kept(fingerprints(tokens, k, w))
     sets = distinct_hashes(prints)
@@ -148,3 +191,15 @@ def analyze(submissions: DataFrame, starter: DataFrame | None = None, threshold:
     pairs = pairs.withColumns({"n_regions": F.size("regions").cast("long"), "lines_a": line_coverage(F.col("regions"), "a"), "lines_b": line_coverage(F.col("regions"), "b")})
     pairs = structure_flags(renaming_flag(pairs, beginnings(tokens)), structure_counts(tokens))
     return pairs.withColumns({"evidence": evidence_codes(), "risk": risk_level(F.col(risk_on))})
+
+
+def text_report(texts: DataFrame, k: int = K, w: int = W) -> DataFrame:
+    """One row for every two texts (assignment_id, submission_id, language, file_name, code) of an assignment with a common fingerprint: what analyze() finds, n_tokens and size (fingerprints) of either, regions and explanation.
+
+    For two texts alone, give them an assignment_id of their own.
+    """
+    texts = kept(texts)
+    tokens = kept(tokenize_any(texts))
+    counts = fingerprint_counts(texts, tokens, k, w).select("assignment_id", "submission_id", "n_tokens", "n_fingerprints")
+    found = explanation(analyze_latest(texts, k=k, w=w))
+    return _sides(found, counts, ["n_tokens", "n_fingerprints"])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ ALLOWED = {
 GROUP = {"department": "CSE", "division": "D3", "batch": "2023"}
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 PROMPT_CHARS, GATE = 3000, 0.7
+#: Pairs that a scorer gets at once.
+BATCH_ROWS = 64
 
 
 def dotted_extension(name: Column) -> Column:
@@ -110,3 +115,39 @@ def semantic_merge(pairs: DataFrame, scores: DataFrame, keys: list[str]) -> Data
     """pairs with semantic: the score of another source, cut to 0..1; null where it is missing or negative."""
     value = F.when(F.col("semantic_score") >= 0, F.least(F.greatest("semantic_score", F.lit(0.0)), F.lit(1.0)))
     return pairs.join(scores, keys, "left").withColumn("semantic", value).drop("semantic_score")
+
+
+def score_pairs(pairs: DataFrame, scorer: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Series]] | None = None, columns: Sequence[str] = ("prompt_a", "prompt_b"), batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """pairs with semantic_score (double), which a scorer of the caller's finds; null for all without one.
+
+    scorer takes an iterator of batches of these columns, of batch_rows pairs
+    at most, and gives a series of scores for each: so a model is loaded once a
+    task. It runs where the pairs are; all other columns stay where they are
+    in the row. A batch whose scores aren't as many as its pairs is an error.
+    """
+    if scorer is None:
+        return pairs.withColumn("semantic_score", F.lit(None).cast("double"))
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        asked: list[int] = []
+
+        def small() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, len(batch), batch_rows):
+                    part = batch.iloc[at : at + batch_rows].reset_index(drop=True)
+                    asked.append(len(part))
+                    yield part
+
+        for no, scores in enumerate(scorer(small())):
+            if len(scores) != asked[no]:
+                raise ValueError(f"the scorer gave {len(scores)} scores for {asked[no]} pairs")
+            yield pd.Series(scores, dtype="float64")
+
+    return pairs.withColumn("semantic_score", score(F.struct(*columns)))
+
+
+def event_details(props: Column, paths: dict[str, tuple[str, str]]) -> dict[str, Column]:
+    """Typed values of JSON texts: for each name (path, type) the value there, null where the text is broken or null, or has no such value."""
+    parsed = F.try_parse_json(props)
+    return {name: F.try_variant_get(parsed, path, kind) for name, (path, kind) in paths.items()}

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.durable import kept
 from .tokens import KEYS
@@ -65,6 +66,11 @@ def candidate_pairs(sets: DataFrame, within: str | None = "assignment_id") -> Da
     return pair_counts(sets, within)
 
 
+def ranked_candidates(candidates: DataFrame) -> DataFrame:
+    """candidates with place: by shared hashes, most first, within the assignment; ids decide ties."""
+    return candidates.withColumn("place", F.row_number().over(Window.partitionBy("assignment_id").orderBy(F.desc("shared"), "a", "b")))
+
+
 def inverted_index(sets: DataFrame, block: int = 1000) -> DataFrame:
     """assignment_id, hash, block, submission_ids (sorted), n: a hash's holders, in blocks by their number, so that no list is longer than a block."""
     grouped = sets.groupBy("assignment_id", "hash", F.floor(F.col("submission_id") / block).alias("block")).agg(F.array_sort(F.collect_set("submission_id")).alias("submission_ids"))

@@ -29,7 +29,7 @@ from . import sql as S
 from .registry import _QUERIES, _SQL, Query, query
 
 def queries() -> dict[str, Query]:
-    from . import stream_queries  # noqa: F401  registers its own
+    from . import report_queries, stream_queries  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
@@ -577,9 +577,17 @@ def analyze_cohort(spark, sf):
     return ev.analyze(_programs(spark, sf)).select("assignment_id", "a", "b", "shared", "raw", "adjusted", "overlap", "n_clean", "n_regions", "lines_a", "lines_b", "renamed", "risk", "evidence")
 
 
-@query(f"{ANALYSED} SELECT assignment_id, a, b, len(string_split(CASE WHEN found = '' THEN 'none' ELSE found END, ',')) AS sentences FROM analysed")
+_SENTENCES = """list_filter([CASE WHEN adjusted >= 0.7::DOUBLE THEN 'Nearly all of the remaining code agrees (' || printf('%.1f%%', round(adjusted * 100, 1)) || ').' WHEN adjusted >= 0.4::DOUBLE THEN 'A good part of the remaining code agrees (' || printf('%.1f%%', round(adjusted * 100, 1)) || ').'
+    WHEN adjusted >= 0.2::DOUBLE THEN 'Some of the remaining code agrees (' || printf('%.1f%%', round(adjusted * 100, 1)) || ').' END,
+  CASE WHEN overlap > 0 THEN 'Of ' || printf('%.1f%%', round(raw * 100, 1)) || ' agreement, ' || printf('%.1f%%', round(overlap * 100, 1)) || ' is boilerplate.' END,
+  CASE WHEN n_regions > 0 THEN n_regions || ' region(s) match.' END, CASE WHEN n_regions > 0 AND (lines_a > 5 OR lines_b > 5) THEN 'They cover ' || lines_a || ' and ' || lines_b || ' lines.' END,
+  CASE WHEN renamed THEN 'Names differ while the structure is the same.' END, CASE WHEN same_loops THEN 'The same number of loops.' END, CASE WHEN same_conditions THEN 'The same number of conditions.' END,
+  CASE WHEN same_functions THEN 'The same number of functions.' END, CASE WHEN n_clean > 0 THEN n_clean || ' fingerprints beyond boilerplate match.' END, CASE WHEN found = '' THEN 'Nothing speaks for a copy.' END], lambda x: x IS NOT NULL)"""
+
+
+@query(f"{ANALYSED} SELECT assignment_id, a, b, array_to_string({_SENTENCES}, ' ') AS explanation FROM analysed")
 def explanations(spark, sf):
-    return ev.explanation(ev.analyze(_programs(spark, sf))).select("assignment_id", "a", "b", F.size("explanation").cast("long").alias("sentences"))
+    return ev.explanation(ev.analyze(_programs(spark, sf))).select("assignment_id", "a", "b", F.array_join("explanation", " ").alias("explanation"))
 
 
 @query(f"{LATEST} SELECT assignment_id, a, b, x.student_id AS student_a, y.student_id AS student_b, x.file_name AS file_a, y.file_name AS file_b, raw FROM adj JOIN latest x USING (assignment_id) JOIN latest y USING (assignment_id) WHERE x.submission_id = a AND y.submission_id = b")
@@ -660,13 +668,13 @@ def line_overlap(spark, sf):
 # Scores from elsewhere
 
 
-@query(f"""{LATEST} SELECT a.assignment_id, a, b, adjusted, length(CASE WHEN length(p.code || repeat('x', ((a * 13) % 4000)::INT)) > 3000 THEN (p.code || repeat('x', ((a * 13) % 4000)::INT))[1:3000] || chr(10) || '[cut]' ELSE p.code || repeat('x', ((a * 13) % 4000)::INT) END) AS prompt_chars
+@query(f"""{LATEST} SELECT a.assignment_id, a, b, adjusted, md5(CASE WHEN length(p.code || repeat('x', ((a * 13) % 4000)::INT)) > 3000 THEN (p.code || repeat('x', ((a * 13) % 4000)::INT))[1:3000] || chr(10) || '[cut]' ELSE p.code || repeat('x', ((a * 13) % 4000)::INT) END) AS prompt
 FROM adj a JOIN latest p ON p.submission_id = a WHERE adjusted >= 0.7::DOUBLE * ((a % 10)::DOUBLE / 10)""")
 def semantic_candidates(spark, sf):
     latest = _latest(spark, sf)
     chosen = it.semantic_candidates(_results_of(latest), (F.col("a") % 10) / 10)
     code = latest.select(F.col("submission_id").alias("a"), F.concat("code", F.repeat(F.lit("x"), ((F.col("submission_id") * 13) % 4000).cast("int"))).alias("code"))
-    return chosen.join(code, "a").select("assignment_id", "a", "b", "adjusted", F.length(it.prompt_text(F.col("code"))).cast("long").alias("prompt_chars"))
+    return chosen.join(code, "a").select("assignment_id", "a", "b", "adjusted", F.md5(it.prompt_text(F.col("code"))).alias("prompt"))
 
 
 @query(f"{PROSE} SELECT c.assignment_id, a, b, shared, CASE WHEN l.quality - 1 + l.toxic * 2 >= 0 THEN least((l.quality - 1 + l.toxic * 2)::DOUBLE, 1.0::DOUBLE) END AS semantic FROM cand c LEFT JOIN labels l ON l.doc_id = a")
@@ -735,9 +743,9 @@ def top_pairs(spark, sf):
     return rp.top_pairs(_results(spark, sf)).select("assignment_id", "a", "b", "raw", "place")
 
 
-@query(f"{LATEST} SELECT assignment_id, a, b, CASE WHEN raw >= 0.7::DOUBLE THEN 'high' WHEN raw >= 0.4::DOUBLE THEN 'medium' ELSE 'low' END AS risk FROM adj WHERE raw >= 0.4::DOUBLE AND raw < 0.7::DOUBLE")
+@query(f"{LATEST} SELECT assignment_id, a, b, CASE WHEN raw >= 0.7::DOUBLE THEN 'high' WHEN raw >= 0.4::DOUBLE THEN 'medium' ELSE 'low' END AS risk FROM adj WHERE raw < 0.4::DOUBLE")
 def results_by_risk(spark, sf):
-    return rp.by_risk(_results(spark, sf), "medium").select("assignment_id", "a", "b", "risk")
+    return rp.by_risk(_results(spark, sf), "low").select("assignment_id", "a", "b", "risk")
 
 
 @query(f"{LATEST} SELECT assignment_id, count(*) AS pairs, round(avg(raw), 9) AS average, count(*) FILTER (raw >= 0.7::DOUBLE) AS high, count(*) FILTER (raw >= 0.4::DOUBLE AND raw < 0.7::DOUBLE) AS medium FROM adj GROUP BY 1")
