@@ -14,7 +14,7 @@ BLOCKS = frozenset(
     "optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template iframe title textarea noembed noframes xmp svg math object audio video canvas".split())
+SKIPPED = frozenset("script style noscript template iframe title textarea noembed noframes xmp svg audio video canvas".split())
 # An opening tag ends an open one of these, unless one of the others is nearer.
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 _TOKEN = re.compile(
@@ -40,6 +40,8 @@ class Block:
 
 
 _ROOT = Frame("", frozenset())
+#: The feature of what stands in any element with a class, an id or a role.
+NAMED = "named"
 
 
 def _features(tag: str, attributes: str) -> Iterable[str]:
@@ -49,6 +51,7 @@ def _features(tag: str, attributes: str) -> Iterable[str]:
             for word in _SPLIT.split((m[2] or m[3] or m[4] or "").lower()):
                 if word:
                     yield f"c:{word}"
+                    yield NAMED
 
 
 def blocks(html: str) -> list[Block]:
@@ -114,7 +117,7 @@ def blocks(html: str) -> list[Block]:
                 end(tag)
             continue
         if tag in SKIPPED:
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
+            if not m[3].rstrip().endswith("/") or tag != "svg":
                 close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
                 at = close.end() if close else n
             continue

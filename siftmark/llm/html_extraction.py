@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .html_blocks import Block, blocks
+from .html_blocks import NAMED, Block, blocks
 from .html_training import MARK, labelled_pages
 from . import textkit as tk
 from .textkit import read
@@ -24,11 +24,14 @@ def text_features(block: Block, before: int, after: int) -> list[str]:
     words = text.count(" ") + 1
     linked = min(4, 4 * block.linked // max(1, len(text)))
     size = min(7, words.bit_length())
+    named = NAMED in block.frame.names
     return [
         f"own:{block.own}",
         f"size:{size}",
         f"linked:{linked}",
         f"size:{size} own:{block.own}",
+        f"size:{size} named:{named}",
+        f"linked:{linked} named:{named}",
         f"stop:{text[-1] in '.!?:;…”\"'}",
         f"commas:{min(3, text.count(','))}",
         f"mark:{any(c in text for c in '©®™')}",
@@ -39,11 +42,10 @@ def text_features(block: Block, before: int, after: int) -> list[str]:
 
 @dataclass
 class Crf:
-    """Two labels (1: main text). weights: what a feature adds to label 1; step[y, z]: from label y to z; start[z]: of a page's first block."""
+    """Two labels (1: main text). weights: what a feature adds to label 1; step[y, z]: from label y to z. Either label may begin a page: that has no weight of its own."""
 
     weights: dict[str, float]
     step: np.ndarray
-    start: np.ndarray
 
     def emissions(self, page: list[Block]) -> np.ndarray:
         weights, above, out = self.weights, {}, np.zeros(len(page))
@@ -64,7 +66,7 @@ class Crf:
             return []
         (a, b), (c, d) = self.step.tolist()
         emissions = self.emissions(page).tolist()
-        zero, one = float(self.start[0]), float(self.start[1]) + emissions[0]
+        zero, one = 0.0, emissions[0]
         back = []
         for e in emissions[1:]:
             from_zero, from_one = zero + b, one + d
@@ -77,12 +79,12 @@ class Crf:
         return labels[::-1]
 
 
-def _marginals(emissions: np.ndarray, step: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _marginals(emissions: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities of label 1, and expected counts of label pairs, by forward and backward sums in logarithms."""
     n = len(emissions)
     score = np.stack([np.zeros(n), emissions], 1)
     forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
-    forward[0] = start + score[0]
+    forward[0] = score[0]
     for i in range(1, n):
         forward[i] = np.logaddexp(forward[i - 1, 0] + step[0], forward[i - 1, 1] + step[1]) + score[i]
     for i in range(n - 2, -1, -1):
@@ -108,22 +110,21 @@ def train(pages: list[str]) -> Crf:
         page_features = [[*b.frame.names, *text_features(b, i, len(page) - 1 - i)] for i, b in enumerate(page)]
         data.append((gold, page_features))
     index = {x: i for i, x in enumerate(sorted({x for _, page in data for f in page for x in f}))}
-    w, step, start = np.zeros(len(index)), np.zeros((2, 2)), np.zeros(2)
-    squares = [np.full_like(p, 1e-2) for p in (w, step, start)]
+    w, step = np.zeros(len(index)), np.zeros((2, 2))
+    squares = [np.full_like(p, 1e-2) for p in (w, step)]
     coded = [(gold, np.array([index[x] for f in page for x in f]), np.array([len(f) for f in page])) for gold, page in data if page]
     order = np.random.default_rng(1)
     for _ in range(EPOCHS):
         for k in order.permutation(len(coded)):
             gold, features, counts = coded[k]
-            one, pairs = _marginals(np.add.reduceat(w[features], np.cumsum(counts) - counts), step, start)
+            one, pairs = _marginals(np.add.reduceat(w[features], np.cumsum(counts) - counts), step)
             grad_w, real = np.bincount(features, np.repeat(one - gold, counts), len(w)), np.zeros((2, 2))
             y = gold.astype(int)
             np.add.at(real, (y[:-1], y[1:]), 1)
-            grad_start = np.array([1 - one[0], one[0]]) - np.array([1 - gold[0], gold[0]])
-            for p, g, s in zip((w, step, start), (grad_w + PENALTY * w, pairs - real, grad_start), squares, strict=True):
+            for p, g, s in zip((w, step), (grad_w + PENALTY * w, pairs - real), squares, strict=True):
                 s += g * g
                 p -= RATE * g / np.sqrt(s)
-    return Crf({x: float(w[i]) for x, i in index.items() if abs(w[i]) > 1e-6}, step, start)
+    return Crf({x: float(w[i]) for x, i in index.items() if abs(w[i]) > 1e-6}, step)
 
 
 def main_text(html: str | None, model: Crf) -> str:

@@ -22,7 +22,9 @@ _SIDE = ["aside", "div class=sidebar", "div id=sidebar", "aside class=widget", "
 _ADVERT = ["div class=ad", "div class=advert", "div class='ad-banner'", "div id=ads", "aside class=ad", "div class=sponsored", "div class=promo", "p class=advertisement", "section class=ads"]
 _NOTICE = ["div class='cookie-notice'", "div id=cookie-banner", "div class=notice", "div class=alert", "p class=notice", "div class=gdpr-consent", "div class=subscribe", "div class=newsletter", "div class=popup", "div role=alert"]
 _SHARE = ["div class=share", "ul class=social", "div class=share-buttons"]
-_COMMENTS = ["div id=comments", "section class=comments", "div class=comment-list", "ol class=commentlist", "div class=discussion", "section id=comments", "div class=responses"]
+_COMMENTS = ["div id=comments", "section class=comments", "div class=comment-list", "ol class=commentlist", "div class=discussion", "section id=comments", "div class=responses", "div class=user-replies", "section id=replies", "div class='reader-comments'", "div class=reactions"]
+#: Places without a name, of an article or around it.
+_PLAIN = ["div", "section", "div", "div class=row", "div class=col", "center", "td"]
 
 
 class _Page:
@@ -52,8 +54,22 @@ class _Page:
         item = (lambda: f"<li><a href=/x>{self.words(1, 3, False)}</a></li>") if self.chance(0.7) else (lambda: f"<a href=/y>{self.words(1, 2, False)}</a> ")
         return "".join(item() for _ in range(n))
 
+    def plain_body(self) -> str:
+        """Paragraphs in one kind of place: containers without names, or all in one."""
+        texts = [MARK + self.words(6, 90) for _ in range(int(self.rng.integers(1, 8)))]
+        if self.chance(0.4):
+            texts[0] = MARK + self.words(2, 9, False)
+        kind = self.rng.random()
+        if kind < 0.4:
+            return "".join(f"<div>{t}</div>" for t in texts)
+        if kind < 0.8:
+            return "<div>" + "".join(f"<p>{t}</p>" for t in texts) + "</div>"
+        return "".join(f"<p>{t}</p>" for t in texts)
+
     def body(self) -> str:
-        parts = [f"<h1>{MARK}{self.words(3, 9, False)}</h1>"]
+        if self.chance(0.3):
+            return self.plain_body()
+        parts = [f"<h1>{MARK}{self.words(3, 9, False)}</h1>"] if self.chance(0.8) else []
         for _ in range(int(self.rng.integers(1, 10))):
             long = self.chance(0.7)
             text = MARK + (self.words(15, 90) if long else self.words(1, 14))
@@ -92,18 +108,20 @@ class _Page:
         advert = lambda: self.within(self.pick(_ADVERT), some(0.4, lambda: "<p>") + self.words(2, 45))
         top = some(0.7, lambda: self.within(self.pick(_TOP), some(0.5, lambda: f"<h1>{self.words(1, 3, False)}</h1>") + some(0.4, lambda: f"<p>{self.words(2, 12)}</p>") + self.links(3)))
         side = some(0.5, lambda: self.within(self.pick(_SIDE), f"<h3>{self.words(1, 3, False)}</h3>" + self.links(4) + some(0.5, lambda: f"<p>{self.words(5, 50)}</p>")))
-        article = self.within(self.pick(_ARTICLE), self.body())
+        article = self.within(self.pick(_ARTICLE), self.body()) if self.chance(0.7) else self.within(self.pick(_PLAIN), self.body())
         if self.chance(0.15):
             article = self.body()  # straight in its wrapper
         if self.chance(0.3):
             article = self.within(self.pick(["div class=wrapper", "div id=page", "div class=container", "section"]), article)
-        parts = [
+        begins = self.chance(0.25)  # with the article
+        before = [
             top,
             some(0.8, lambda: self.within(self.pick(_MENU), self.links(int(self.rng.integers(2, 8))))),
             some(0.3, notice),
             some(0.4, advert),
             some(0.3, lambda: side),
-            article,
+        ]
+        after = [
             some(0.3, lambda: self.within(self.pick(_SHARE), self.links(3))),
             some(0.3, advert),
             some(0.45, self.comments),
@@ -112,7 +130,8 @@ class _Page:
             some(0.2, notice),
             some(0.85, lambda: self.within(self.pick(_BOTTOM), some(0.6, lambda: "&copy; ") + self.words(2, 25) + some(0.3, lambda: self.links(3)))),
         ]
-        return f"<html><head><title>{self.words(2, 6)}</title><style>p{{}}</style></head><body>{''.join(parts)}</body></html>"
+        page = "".join([*([] if begins else before), article, *([] if self.chance(0.1) else after)])
+        return page if self.chance(0.1) else f"<html><head><title>{self.words(2, 6)}</title><style>p{{}}</style></head><body>{page}</body></html>"
 
 
 def labelled_pages(n: int, seed: int = 0) -> Iterator[str]:
@@ -120,4 +139,4 @@ def labelled_pages(n: int, seed: int = 0) -> Iterator[str]:
     for i in range(n):
         page = _Page(seed * 1_000_003 + i)
         html = page.html()
-        yield html[: int(len(html) * page.rng.uniform(0.4, 1))] if page.chance(0.12) else html
+        yield html[: int(len(html) * page.rng.uniform(0.4, 1))].rstrip(MARK) if page.chance(0.12) else html

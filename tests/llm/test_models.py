@@ -9,6 +9,12 @@ def crf():
     return html_extraction.train(list(html_training.labelled_pages(300)))
 
 
+@pytest.fixture(scope="module")
+def model():
+    """As the query trains it."""
+    return html_extraction.train(list(html_training.labelled_pages(html_extraction.PAGES)))
+
+
 def test_crf_on_held_out_pages(crf):
     right = both = 0
     for html in html_training.labelled_pages(100, seed=77):
@@ -28,11 +34,48 @@ def test_viterbi_is_the_best_path(crf):
     e = crf.emissions(page)
 
     def total(path):
-        return crf.start[path[0]] + sum(e[i] for i, y in enumerate(path) if y) + sum(crf.step[y, z] for y, z in itertools.pairwise(path))
+        return sum(e[i] for i, y in enumerate(path) if y) + sum(crf.step[y, z] for y, z in itertools.pairwise(path))
 
     assert total(crf.decode(page)) == pytest.approx(max(total(p) for p in itertools.product((0, 1), repeat=len(page))))
 
 
+def test_marginals_are_sums_over_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 6):
+        e, step = rng.normal(size=n) * 2, rng.normal(size=(2, 2))
+        one, pairs, total = np.zeros(n), np.zeros((2, 2)), 0.0
+        for path in itertools.product((0, 1), repeat=n):
+            weight = np.exp(sum(e[i] for i, y in enumerate(path) if y) + sum(step[y, z] for y, z in itertools.pairwise(path)))
+            total += weight
+            one += weight * np.array(path)
+            for y, z in itertools.pairwise(path):
+                pairs[y, z] += weight
+        got_one, got_pairs = html_extraction._marginals(e, step)
+        assert np.allclose(got_one, one / total) and np.allclose(got_pairs, pairs / total)
+
+
+LONG = "This is a long paragraph with many words, which goes on for a while and tells something of interest to the reader."
+
+
+@pytest.mark.parametrize(
+    ("html", "lines"),
+    [
+        (f"<article><p>A normal first sentence of it.</p><p>{LONG}</p></article>", ["A normal first sentence of it.", LONG]),
+        (f"<h1>Title here</h1><p>{LONG}</p><p>{LONG}</p>", ["Title here", LONG, LONG]),
+        (f"<div>{LONG}</div>" * 4, [LONG] * 4),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div>", [LONG] * 2),
+        ("<html><body><article><h1>On maths</h1><p>Energy <math><mi>E</mi> = mc2</math> is known, and it was so before we knew it well.</p></article></body></html>", ["On maths", "Energy E = mc2 is known, and it was so before we knew it well."]),
+        (f"<article><h1>A name of it</h1><p>{LONG}</p></article><div class='user-replies'><h3>Replies</h3><div><p>I liked it a lot, thanks for the work.</p></div></div>", ["A name of it", LONG]),
+        (f"<body><nav><a href=/>Home</a></nav><div><div>{LONG}</div><div>{LONG}</div></div><footer>&copy; 2020 us</footer>", [LONG] * 2),
+        (f"<article><h2>Short</h2><table><tr><td>a</td><td>b</td></tr></table><pre>x = 1\ny = 2</pre><p>{LONG}</p></article>", ["Short", "a", "b", "x = 1 y = 2", LONG]),
+    ],
+)
+def test_pages_written_by_hand(model, html, lines):
+    assert html_extraction.main_text(html, model).split("\n") == lines
+
+
 def test_blocks():
     html = "<p>a&amp;b &lt;c <b>d<br>e</b>\n f<p>g<script>var t='</p>'</script><!-- x --><td title='a>b'>h&nbsp;i<li>j</li>k</x><div/>l<a href=\"x"
     assert [b.text for b in html_blocks.blocks(html)] == ["a&b <c d e f", "g", "h i", "j", "k", "l"]
@@ -43,8 +86,11 @@ def test_blocks():
 def test_extract_text(spark, crf):
     article = "<article><h1>T</h1><p>" + "Word after word, and more of it. " * 5 + "</p></article>"
     page = "<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav>" + article + "<div class=ad>Buy this now.</div><footer>&copy; us</footer></body></html>"
-    rows = [(1, "u", page, "x"), (2, None, None, "x"), (None, "v", "", "x"), (1, "u", page, "x")]
+    rows = [(1, "u", page, "x"), (2, None, None, "x"), (None, "v", "", "x"), (1, "u", page, "x"), (3, "w", "<article><h1>T</h1>" + f"<p>{LONG}</p>" * 20_000, "x")]
     got = html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), crf).collect()
+    long = next(r for r in got if r.page_id == 3)
+    assert long.n_chars == len(long.text) and long.text.count(LONG) == 20_000
+    got = [r for r in got if r.page_id != 3]
     want = "T\n" + ("Word after word, and more of it. " * 5).strip()
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in got) == sorted([("1", want, len(want))] * 2 + [("2", "", 0), ("None", "", 0)])
     assert html_extraction.extract_text(spark.createDataFrame([], "page_id long, url string, html string"), crf).count() == 0
