@@ -9,7 +9,9 @@ itself. Lines go by their MD5 once they are numbered, so no task holds texts.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +21,9 @@ from ..sources.durable import kept
 from .diff import edit_script
 
 PAIR = ("assignment_id", "a", "b")
-#: Lines that are numbered within one window; times that gaps are cut anew.
-BLOCK, ROUNDS = 4096, 3
-_SCRIPT = "assignment_id string, a long, b long, gap string, kind string, i long, j long"
+#: Lines that are numbered within one window; times that gaps are cut anew; rows of gaps that Python takes at once.
+BLOCK, ROUNDS, GAP_ROWS = 4096, 3, 20_000
+_SCRIPT = "assignment_id string, a long, b long, kind string, i long, j long"
 
 
 def longest_rising(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -56,13 +58,33 @@ def _anchors(sides: DataFrame) -> DataFrame:
     return once.where("n_a = 1 AND n_b = 1").select(*PAIR, "gap", "i", "j")
 
 
+def _by_gap(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows of each gap by themselves, sorted by their line."""
+    rows = rows.sort_values(["gap", "no"], kind="stable")
+    cuts = np.flatnonzero((rows["gap"].to_numpy()[1:] != rows["gap"].to_numpy()[:-1])) + 1
+    for i, j in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+        yield rows.iloc[i:j]
+
+
+def _bundle(n_rows: int) -> Column:
+    """Gaps that one call of Python takes together: a number that about GAP_ROWS of so many rows share."""
+    return F.pmod(F.xxhash64("gap"), F.lit(n_rows // GAP_ROWS + 1)).alias("bundle")
+
+
 def _rising(anchors: DataFrame) -> DataFrame:
+    """The longest rising run of each gap's anchors. A gap's only anchor rises by itself, so Python sees the others alone."""
+
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i")
-        chosen = {i for i, _ in longest_rising(list(zip(rows["i"].tolist(), rows["j"].tolist(), strict=True)))}
-        return rows[rows["i"].isin(chosen)]
+        taken = []
+        for gap in _by_gap(rows.rename(columns={"i": "no"})):
+            chosen = {i for i, _ in longest_rising(list(zip(gap["no"].tolist(), gap["j"].tolist(), strict=True)))}
+            taken.append(gap[gap["no"].isin(chosen)])
+        return pd.concat(taken).rename(columns={"no": "i"})[["assignment_id", "a", "b", "gap", "i", "j"]]
 
-    return anchors.groupBy(*PAIR, "gap").applyInPandas(choose, "assignment_id string, a long, b long, gap string, i long, j long")
+    counted = kept(anchors.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*PAIR, "gap"))))
+    several = counted.where("n > 1").drop("n")
+    chosen = several.groupBy(*PAIR, _bundle(several.count())).applyInPandas(choose, "assignment_id string, a long, b long, gap string, i long, j long")
+    return counted.where("n = 1").drop("n").unionByName(chosen)
 
 
 def _cut(sides: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -87,18 +109,26 @@ def _cut(sides: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def _scripts(sides: DataFrame) -> DataFrame:
-    """_SCRIPT of every gap by itself."""
+    """_SCRIPT of every gap by itself. Where a gap has lines of one side alone they are all deleted, or inserted; Python sees the others."""
 
     def go(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("no")
-        a, b = rows[rows["side"] == "a"], rows[rows["side"] == "b"]
-        i, j = a["no"].tolist(), b["no"].tolist()
-        script = edit_script(a["line"].tolist(), b["line"].tolist())
-        first = rows.iloc[0]
-        out = [(first["assignment_id"], first["a"], first["b"], first["gap"], kind, i[p] if p >= 0 else None, j[q] if q >= 0 else None) for kind, p, q in script]
-        return pd.DataFrame(out, columns=["assignment_id", "a", "b", "gap", "kind", "i", "j"]).astype({"i": "Int64", "j": "Int64"})
-
-    return sides.groupBy(*PAIR, "gap").applyInPandas(go, _SCRIPT)
+        first, out = rows.iloc[0], []
+        for gap in _by_gap(rows):
+            of_a = (gap["side"] == "a").to_numpy()
+            no, line = gap["no"].to_numpy(), gap["line"].to_numpy()
+            i, j = no[of_a].tolist(), no[~of_a].tolist()
+            script = edit_script(line[of_a].tolist(), line[~of_a].tolist())
+            out += [(kind, i[p] if p >= 0 else None, j[q] if q >= 0 else None) for kind, p, q in script]
+        found = pd.DataFrame(out, columns=["kind", "i", "j"]).astype({"i": "Int64", "j": "Int64"})
+        return found.assign(assignment_id=first["assignment_id"], a=first["a"], b=first["b"])[["assignment_id", "a", "b", "kind", "i", "j"]]
+
+    both = F.max("side").over(Window.partitionBy(*PAIR, "gap")) != F.min("side").over(Window.partitionBy(*PAIR, "gap"))
+    flagged = kept(sides.withColumn("both", both), 16)
+    mixed = flagged.where("both")
+    found = mixed.groupBy(*PAIR, _bundle(mixed.count())).applyInPandas(go, _SCRIPT)
+    alone = flagged.where("NOT both")
+    of_a = F.col("side") == "a"
+    return found.unionByName(alone.select(*PAIR, F.when(of_a, "delete").otherwise("insert").alias("kind"), F.when(of_a, F.col("no")).alias("i"), F.when(~of_a, F.col("no")).alias("j")))
 
 
 def line_script(pairs: DataFrame, lines: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -115,7 +145,7 @@ def line_script(pairs: DataFrame, lines: DataFrame, rounds: int = ROUNDS) -> Dat
             break
         found.append(anchors.select(*PAIR, F.lit("equal").alias("kind"), "i", "j"))
         sides = kept(_cut(sides, anchors), 16)
-    out = _scripts(sides).select(*PAIR, "kind", "i", "j")
+    out = _scripts(sides)
     for anchors in found:
         out = out.unionByName(anchors)
     return out
@@ -131,7 +161,7 @@ def long_diff(pairs: DataFrame, lines: DataFrame, rounds: int = ROUNDS) -> DataF
     placed = with_b.select(*PAIR, "kind", "i", "j", F.coalesce("i", F.col("after")).alias("x")).unionByName(script.where("j IS NULL").select(*PAIR, "kind", "i", "j", F.col("i").alias("x")))
     # deletions between two equal lines come before the insertions there
     equal_before = F.max(F.when(F.col("kind") == "equal", F.col("i"))).over(pair.orderBy("x", "rank", "j").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = placed.withColumn("rank", F.when(F.col("kind") == "insert", 1).otherwise(0)).withColumn("x", F.when(F.col("kind") == "insert", F.col("x")).otherwise(F.col("i")))
+    ranked = placed.withColumn("rank", F.when(F.col("kind") == "insert", 1).otherwise(0))
     stretch = ranked.withColumn("stretch", F.coalesce(equal_before, F.lit(-1).cast("long")))
     order = pair.orderBy("stretch", F.when(F.col("kind") == "equal", 0).when(F.col("kind") == "delete", 1).otherwise(2), "i", "j")
     islands = stretch.withColumn("fresh", F.coalesce((F.lag("kind").over(order) != F.col("kind")).cast("int"), F.lit(1))).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -34,14 +34,21 @@ class Entry:
 
 
 @dataclass
-class EntryRange(InputPartition):
-    """Entries of one archive for one task; without entries, why the archive can't be read."""
+class EntryRange:
+    """Entries of one archive; without entries, why the archive can't be read."""
 
     path: str
     entries: tuple[Entry, ...] = ()
     error: str | None = None
 
 
+@dataclass
+class Bundle(InputPartition):
+    """What one task reads: a range of a large archive, or small ones together."""
+
+    ranges: tuple[EntryRange, ...]
+
+
 def _open(path: str):
     """A file of any store that pyarrow knows, read by ranges."""
     from pyarrow import fs
@@ -101,26 +108,42 @@ def read_entry(f, entry: Entry, max_entry: int) -> bytes:
     return bytes(out)
 
 
+def bundles(ranges: Iterator[EntryRange], task_bytes: int, task_entries: int) -> Iterator[Bundle]:
+    """Ranges in their order, as many together as a task takes."""
+    some, size, n = [], 0, 0
+    for r in ranges:
+        packed, entries = sum(e.packed for e in r.entries), max(1, len(r.entries))
+        if some and (size + packed > task_bytes or n + entries > task_entries):
+            yield Bundle(tuple(some))
+            some, size, n = [], 0, 0
+        some.append(r)
+        size, n = size + packed, n + entries
+    if some:
+        yield Bundle(tuple(some))
+
+
 class ZipReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.paths = [p for p in options.get("path", "").split("\n") if p]
         self.max_entry = int(options.get("maxentry", MAX_ENTRY))
         self.task_bytes, self.task_entries = int(options.get("taskbytes", TASK_BYTES)), int(options.get("taskentries", TASK_ENTRIES))
 
-    def partitions(self) -> list[EntryRange]:
-        return [r for p in self.paths for r in plan_ranges(p, self.task_bytes, self.task_entries)]
-
-    def read(self, partition: EntryRange) -> Iterator[tuple]:
-        if partition.error:
-            yield partition.path, None, None, partition.error
-            return
-        with _open(partition.path) as f:
-            for entry in partition.entries:
-                name = f"{partition.path}!{entry.name}"
-                try:
-                    yield name, entry.name, read_entry(f, entry, self.max_entry), None
-                except (ValueError, OSError) as e:
-                    yield name, entry.name, None, f"entry: {e}"
+    def partitions(self) -> list[Bundle]:
+        ranges = (r for p in self.paths for r in plan_ranges(p, self.task_bytes, self.task_entries))
+        return list(bundles(ranges, self.task_bytes, self.task_entries))
+
+    def read(self, partition: Bundle) -> Iterator[tuple]:
+        for part in partition.ranges:
+            if part.error:
+                yield part.path, None, None, part.error
+                continue
+            with _open(part.path) as f:
+                for entry in part.entries:
+                    name = f"{part.path}!{entry.name}"
+                    try:
+                        yield name, entry.name, read_entry(f, entry, self.max_entry), None
+                    except (ValueError, OSError) as e:
+                        yield name, entry.name, None, f"entry: {e}"
 
 
 class ZipEntries(DataSource):
