@@ -15,14 +15,17 @@ from . import textkit as tk
 
 #: Hash buckets of words, width of their embeddings, filters of each width in words.
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
-#: A word's embedding is that of the whole word plus that of its first bytes, so that forms unseen in training still have one.
-STEM = 4
-_SALT = tk.constants(1, 11)[0]
+#: A word's embedding is that of the whole word plus those of its first bytes, so many of them, so that forms unseen in training still have one.
+STEMS = (4, 7)
+PARTS = 1 + len(STEMS)
+_SALT = tk.constants(len(STEMS), 11)
 #: Buckets in fewer training documents keep an embedding of zero, as do those that training never saw.
 MIN_SEEN = 8
-#: The bounded sample of labelled documents to learn from: so many of each label at most, those with the smallest hashes of their doc_id, of at most LONGEST words each and TRAIN_WORDS of either label in all. Their texts are learned from whole, as scores take whole texts.
+#: The bounded sample of labelled documents to learn from: so many of each label at most, evenly of its languages, those with the smallest hashes of their doc_id, of at most LONGEST words each and TRAIN_WORDS of either label in all. Their texts are learned from whole, as scores take whole texts.
 MAX_EACH, LONGEST, TRAIN_WORDS = 3000, 50_000, 2_000_000
-EPOCHS, BATCH, RATE = 6, 32, 0.1
+EPOCHS, BATCH, RATE = 8, 32, 0.1
+#: What a maximum below 0 counts: were it nothing, texts whose words no filter knows yet would teach none of them.
+LEAK = 0.3
 #: Spread of the embeddings that training begins with.
 START = 0.02
 #: Bins of the scores from which thresholds are chosen, and the weight, in documents, that all languages have in the choice for one.
@@ -58,7 +61,7 @@ def padded(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pad = max(WIDTHS) - 1
     n = np.maximum(np.diff(first), 1)
     begin = np.concatenate([[0], np.cumsum(n + pad)])
-    out = np.full((begin[-1], 2), BUCKETS, np.int64)
+    out = np.full((begin[-1], PARTS), BUCKETS, np.int64)
     text = np.repeat(np.arange(len(n)), np.diff(first))
     out[np.arange(len(ids)) - first[text] + begin[text]] = ids
     return out, begin
@@ -71,7 +74,7 @@ def _activations(model: Cnn, ids: np.ndarray) -> Iterator[np.ndarray]:
     for tables, shift in zip(model.tables(), model.shifts, strict=True):
         total = tables[0][ids[:n, 0]] + shift
         for j in range(len(tables)):
-            for part in (0, 1):
+            for part in range(PARTS):
                 if j or part:
                     total += tables[j][ids[j : n + j, part]]
         yield total
@@ -88,7 +91,11 @@ def _pooled(model: Cnn, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
 def raw_scores(model: Cnn, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     words, begin = padded(ids, first)
     # summed row by row, so a text's score doesn't hang on its neighbours
-    return (np.maximum(_pooled(model, words, begin), 0).astype(np.float64) * model.out).sum(1) + model.bias
+    return (_active(_pooled(model, words, begin)).astype(np.float64) * model.out).sum(1) + model.bias
+
+
+def _active(pooled: np.ndarray) -> np.ndarray:
+    return np.maximum(pooled, LEAK * pooled)
 
 
 def scores(model: Cnn, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -97,12 +104,12 @@ def scores(model: Cnn, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two buckets for each word, of the whole of it and of its first STEM bytes; and where each text's words begin."""
+    """PARTS buckets for each word, of the whole of it and of its first STEMS bytes; and where each text's words begin."""
     starts, ends = tk.runs(tk.ALNUM[data], offsets)
     prefix = tk.sums(data, tk.FOLDED)
     whole = tk.span_hashes(prefix, starts, ends)
-    stem = tk.mix(tk.span_hashes(prefix, starts, np.minimum(starts + STEM, ends)) ^ _SALT)
-    return (np.stack([whole, stem], 1) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), np.searchsorted(starts, offsets)
+    stems = [tk.mix(tk.span_hashes(prefix, starts, np.minimum(starts + n, ends)) ^ salt) for n, salt in zip(STEMS, _SALT, strict=True)]
+    return (np.stack([whole, *stems], 1) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), np.searchsorted(starts, offsets)
 
 
 def train(texts: list[np.ndarray], labels: np.ndarray, rate_of_ones: float | None = None, seed: int = 7) -> Cnn:
@@ -157,16 +164,16 @@ def train(texts: list[np.ndarray], labels: np.ndarray, rate_of_ones: float | Non
 def gradients(model: Cnn, ids: np.ndarray, begin: np.ndarray, labels: np.ndarray, known: np.ndarray) -> tuple[list[np.ndarray], float, np.ndarray, np.ndarray]:
     """Of the mean logistic loss of padded texts: by the filters, shifts and output weights, by the bias, and by rows of the embedding (which rows, and their gradients); only rows that are known have one."""
     pooled, where = _forward(model, ids, begin)
-    active = np.maximum(pooled, 0)
+    active = _active(pooled)
     p = 1 / (1 + np.exp(-np.clip(active @ model.out + model.bias, -30, 30)))
     error = ((p - labels) / len(labels)).astype(pooled.dtype)
-    back = error[:, None] * model.out[None, :] * (pooled > 0)
+    back = error[:, None] * model.out[None, :] * np.where(pooled > 0, 1, LEAK).astype(pooled.dtype)
     grads = [np.zeros_like(w) for w in model.filters] + [np.zeros_like(s) for s in model.shifts] + [active.T @ error]
     touched, flows = [], []
     for no, k in enumerate(WIDTHS):
         part = back[:, no * FILTERS : (no + 1) * FILTERS]
         grads[len(WIDTHS) + no] += part.sum(0)
-        for j, half in np.ndindex(k, 2):
+        for j, half in np.ndindex(k, PARTS):
             word = ids[where[no] + j, half]  # texts x filters
             within = np.minimum(word, BUCKETS - 1)
             real = (word < BUCKETS) & known[within]
@@ -230,26 +237,42 @@ def learnable(labels: DataFrame) -> DataFrame:
 def fit(documents: DataFrame, labels: DataFrame, max_each: int = MAX_EACH) -> Cnn:
     """A network from a bounded sample of the documents with a label: see MAX_EACH, LONGEST and TRAIN_WORDS."""
     known = tk.durable(learnable(labels).where("NOT chooses"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     count = dict(known.groupBy("toxic").count().collect())
+    # lang chooses rows, it enters no score; each language's first, then each one's second, and so on
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    langs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    nth = F.row_number().over(Window.partitionBy("toxic", "lang").orderBy(*order))
+    ranked = known.join(langs, "doc_id").withColumn("nth", nth).where(F.col("nth") <= 2 * max_each)
     # twice as many as are taken, as some may be too long; at most 4 * max_each ids, small enough to broadcast
-    chosen = known.where("toxic = 1").orderBy(*order).limit(2 * max_each).union(known.where("toxic = 0").orderBy(*order).limit(2 * max_each)).drop("chooses")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    some = [ranked.where(F.col("toxic") == label).orderBy("nth", *order).limit(2 * max_each).select("doc_id", "toxic", "nth") for label in (0, 1)]
+    candidates = tk.durable(some[0].union(some[1]))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in tk.text_chunks(batch.column(3)):
+                n = np.diff(word_ids(data, offsets)[1])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(3)), pa.array(n.astype(np.int64))], names=["doc_id", "toxic", "nth", "n"])
+
+    # lengths decide what is taken, before any words move; over 2 * max_each documents a label
+    sized = texts.join(F.broadcast(candidates), "doc_id").select("doc_id", "toxic", "nth", "text").mapInArrow(tk.lean(lengths), "doc_id long, toxic int, nth int, n long")
+    sized = sized.where(F.col("n") <= LONGEST).groupBy("doc_id", "toxic", "nth").agg(F.max("n").alias("n"))
+    upto = Window.partitionBy("toxic").orderBy("nth", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = sized.withColumns({"taken": F.count(F.lit(1)).over(upto), "upto": F.sum("n").over(upto)}).where((F.col("taken") <= max_each) & (F.col("upto") <= TRAIN_WORDS))
+    chosen = tk.durable(fits.select("doc_id", "toxic"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in tk.text_chunks(batch.column(2)):
                 ids, first = word_ids(data, offsets)
-                packed = [ids[a:b].astype("<u4").tobytes() if b - a <= LONGEST else None for a, b in zip(first[:-1], first[1:], strict=True)]
+                packed = [ids[a:b].astype("<u4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "words"])
 
-    found = rows.mapInArrow(tk.lean(words), "doc_id long, toxic int, words binary").where("words IS NOT NULL")
-    upto = Window.partitionBy("toxic").orderBy(*order, "words").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over 2 * max_each documents at most
-    ranked = found.withColumns({"nth": F.count(F.lit(1)).over(upto), "upto": F.sum(F.octet_length("words") / 8).over(upto)})
-    taken = ranked.where((F.col("nth") <= max_each) & (F.col("upto") <= TRAIN_WORDS)).select("doc_id", "toxic", "words").collect()
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(tk.lean(words), "doc_id long, toxic int, words binary")
+    taken = found.groupBy("doc_id", "toxic").agg(F.max("words").alias("words")).collect()  # of rows with one doc_id, one
     taken.sort(key=lambda r: (tk.mix(np.array([r.doc_id], np.int64).view(np.uint64))[0], bytes(r.words)))  # the same order whatever the partitions
-    texts = [np.frombuffer(bytes(r.words), "<u4").astype(np.int64).reshape(-1, 2) for r in taken]
-    return train([t if len(t) else np.full((1, 2), BUCKETS) for t in texts], np.array([r.toxic for r in taken], np.int64), count.get(1, 0) / max(1, sum(count.values())))
+    texts = [np.frombuffer(bytes(r.words), "<u4").astype(np.int64).reshape(-1, PARTS) for r in taken]
+    return train([t if len(t) else np.full((1, PARTS), BUCKETS) for t in texts], np.array([r.toxic for r in taken], np.int64), count.get(1, 0) / max(1, sum(count.values())))
 
 
 def score_documents(documents: DataFrame, model: Cnn) -> DataFrame:

@@ -147,7 +147,7 @@ def small_network(seed=3):
         [rng.normal(0, 0.1, toxicity.FILTERS) for _ in toxicity.WIDTHS], rng.normal(0, 0.5, toxicity.FILTERS * len(toxicity.WIDTHS)), 0.1,
     )
     model.embedding[:40] = rng.normal(0, 1, (40, toxicity.DIM))
-    texts = [rng.integers(0, 40, (n, 2)) for n in (7, 1, 12)]
+    texts = [rng.integers(0, 40, (n, toxicity.PARTS)) for n in (7, 1, 12)]
     first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     return model, texts, np.concatenate(texts), first
 
@@ -164,7 +164,7 @@ def naive_score(model, text):
                     if i + j < len(text):
                         value += sum(model.embedding[part] for part in text[i + j]) @ model.filters[no][j][:, f]
                 best = max(best, value)
-            z += max(best, 0) * model.out[no * toxicity.FILTERS + f]
+            z += max(best, toxicity.LEAK * best) * model.out[no * toxicity.FILTERS + f]
     return z
 
 
@@ -181,7 +181,7 @@ def test_gradients_equal_numerical_ones():
 
     def loss():
         pooled, _ = toxicity._forward(model, padded, begin)
-        z = np.maximum(pooled, 0) @ model.out + model.bias
+        z = np.maximum(pooled, toxicity.LEAK * pooled) @ model.out + model.bias
         return float(np.mean(np.logaddexp(0, z) - labels * z))
 
     grads, grad_b, rows, grad_e = toxicity.gradients(model, padded, begin, labels, known)
