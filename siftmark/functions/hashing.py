@@ -21,3 +21,11 @@ def horner(values: list[Column]) -> Column:
     for v in values[1:]:
         total = (total * BASE + v) % MODULUS
     return total
+
+
+def value_of(kind: str) -> int:
+    """token_value() of a type that is known beforehand."""
+    total = 0
+    for c in kind:
+        total = (total * BASE + ord(c)) % MODULUS
+    return total

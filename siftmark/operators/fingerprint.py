@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import BASE, MODULUS, horner, token_value
-from .tokens import KEYS, prose_words
+from ..functions.lexicons import LANGUAGES, Language
+from .tokens import KEYS, code_values, prose_words
 
 # Tokens in a k-gram, and k-grams in a window.
 K, W = 5, 4
@@ -74,14 +77,14 @@ def _kgram_array(values: Column, k: int) -> Column:
     return total
 
 
-def _winnow_array(places: Column, w: int) -> Column:
+def _winnow_array(places: Column, w: int, kind: str = "bigint") -> Column:
     """Distinct least values of every w consecutive ones, or of all if there are w or fewer."""
     n = F.size(places) - (w - 1)
     some = F.greatest(n, F.lit(0))
     least = F.slice(places, F.lit(1), some)
     for j in range(1, w):
         least = F.zip_with(least, F.slice(places, F.lit(j + 1), some), lambda a, b: F.least(a, b))
-    return F.when(n > 1, F.array_distinct(least)).when(F.size(places) > 0, F.array(F.array_min(places))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n > 1, F.array_distinct(least)).when(F.size(places) > 0, F.array(F.array_min(places))).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def _placed(texts: DataFrame, k: int) -> DataFrame:
@@ -113,3 +116,26 @@ def prose_sets(texts: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """KEYS, hash: distinct_hashes(prose_fingerprints(texts)), in each row."""
     hashes = F.array_distinct(F.transform(_winnow_array(F.col("places"), w), lambda p: F.shiftright(p, 32)))
     return _placed(texts, k).select(*KEYS, F.explode(hashes).alias("hash"))
+
+
+def code_sets(submissions: DataFrame, k: int = K, w: int = W, languages: Mapping[str, Language] = LANGUAGES) -> DataFrame:
+    """KEYS, hash: distinct_hashes(fingerprints(tokenize_any(submissions))) of submissions (one row each), in each row: only the sets become rows."""
+    if k <= 0 or w <= 0:
+        raise ValueError(f"k and w must be positive, got {k} and {w}")
+    hashed = code_values(submissions, languages, lines=False).select(*KEYS, _kgram_array(F.col("tokens"), k).alias("hashes"))
+    places = hashed.select(*KEYS, F.transform("hashes", lambda h, i: h * (_PLACES + 1) + (_PLACES - i)).alias("places"))
+    hashes = F.array_distinct(F.transform(_winnow_array(F.col("places"), w), lambda p: F.shiftright(p, 32)))
+    return places.select(*KEYS, F.explode(hashes).alias("hash"))
+
+
+def code_fingerprints(submissions: DataFrame, k: int = K, w: int = W, languages: Mapping[str, Language] = LANGUAGES) -> DataFrame:
+    """fingerprints(tokenize_any(submissions)) of submissions (one row each), in each row; a k-gram carries its lines along, so that only fingerprints become rows."""
+    if k <= 0 or w <= 0:
+        raise ValueError(f"k and w must be positive, got {k} and {w}")
+    valued = code_values(submissions, languages)
+    n = F.greatest(F.size("tokens") - (k - 1), F.lit(0))
+    split = valued.select(*KEYS, F.transform("tokens", lambda t: t["value"]).alias("values"), F.transform(F.slice("tokens", F.lit(1), n), lambda t, i: F.struct((-i).alias("back"), t["line"].alias("s"))).alias("starts"), F.transform(F.slice("tokens", F.lit(k), n), lambda t: t["line"]).alias("ends"))
+    hashed = split.select(*KEYS, _kgram_array(F.col("values"), k).alias("hashes"), F.zip_with("starts", "ends", lambda a, e: F.struct(a["back"].alias("back"), a["s"].alias("s"), e.alias("e"))).alias("lines"))
+    grams = hashed.select(*KEYS, F.zip_with("hashes", "lines", lambda h, x: F.struct(h.alias("h"), x["back"].alias("back"), x["s"].alias("s"), x["e"].alias("e"))).alias("grams"))
+    picked = grams.select(*KEYS, F.explode(_winnow_array(F.col("grams"), w, "struct<h: bigint, back: int, s: int, e: int>")).alias("p"))
+    return picked.select(*KEYS, F.col("p.h").alias("hash"), (-F.col("p.back")).alias("pos"), F.col("p.s").alias("start_line"), F.col("p.e").alias("end_line"))

@@ -35,6 +35,37 @@ def set_classes(sets: DataFrame) -> DataFrame:
     return named.select(*KEYS, F.sha2(F.array_join(F.transform("hashes", lambda h: h.cast("string")), ","), 256).alias("class"), F.size("hashes").cast("long").alias("size"))
 
 
+def class_members(sets: DataFrame, within: str | None = "assignment_id") -> DataFrame:
+    """(within,) submission_id, rep, members: the class of every submission with a hash, named by its smallest submission_id, and how many have the same set."""
+    keys = [within] if within else []
+    named = kept(set_classes(sets))
+    reps = named.groupBy(*keys, "class").agg(F.min("submission_id").alias("rep"), F.count(F.lit(1)).alias("members"))
+    return named.join(reps, [*keys, "class"]).select(*keys, "submission_id", "rep", "members")
+
+
+def class_pairs(sets: DataFrame, members: DataFrame, within: str | None = "assignment_id") -> DataFrame:
+    """(within,) a, b, n_a, n_b, shared of all pairs of classes (of class_members()) with a common hash, a < b, and of each class of several members with itself (a = b).
+
+    So it grows with the different sets and what they share. Each member of a
+    shares so many hashes with each of b: expand_classes() writes them out.
+    """
+    keys = [within] if within else []
+    own = kept(sets.join(members.where("submission_id = rep").select("submission_id", "rep", "members"), "submission_id").select(*keys, "rep", "members", "hash"))
+    side = lambda s: own.select(*keys, "hash", F.col("rep").alias(s), F.col("members").alias(f"n_{s}"))
+    shared = F.count(F.lit(1)).alias("shared")
+    met = side("a").join(side("b"), [*keys, "hash"]).where("a < b").groupBy(*keys, "a", "b", "n_a", "n_b").agg(shared)
+    alike = own.where("members > 1").groupBy(*keys, "rep", "members").agg(shared)
+    return met.unionByName(alike.select(*keys, F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("members").alias("n_a"), F.col("members").alias("n_b"), "shared"))
+
+
+def expand_classes(pairs: DataFrame, members: DataFrame, within: str | None = "assignment_id") -> DataFrame:
+    """candidate_pairs() of class_pairs(): (within,) a, b, shared of the members."""
+    keys = [within] if within else []
+    member = lambda s: members.select(*keys, F.col("rep").alias(s), F.col("submission_id").alias(f"of_{s}"))
+    both = pairs.join(member("a"), [*keys, "a"]).join(member("b"), [*keys, "b"]).where("a < b OR of_a < of_b")
+    return both.select(*keys, F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"), "shared")
+
+
 def pair_counts(sets: DataFrame, within: str | None = "assignment_id", flags: Sequence[str] = ()) -> DataFrame:
     """(within,) a, b, shared and n_<flag> of all pairs with a common hash, a < b: how many hashes they share, and how many of these bear each boolean flag of sets.
 

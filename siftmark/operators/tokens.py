@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.hashing import value_of
 from ..functions.lexicons import LANGUAGES, PROSE_PATTERN, Language, lexeme_pattern
 from .language import lookup, resolve_language
 
@@ -79,6 +80,55 @@ def tokenize_any(submissions: DataFrame, languages: Mapping[str, Language] = LAN
     return _tokens(submissions.select(*KEYS, "code", given.alias("language")), languages)
 
 
+def _value(spec: Language, x: Column) -> Column:
+    """The hash of a lexeme's type; null for what makes no token. As _kind(), with numbers in place of types."""
+    first = F.substring(x, 1, 1)
+    table = F.create_map(*(F.lit(v) for lexeme, kind in (spec.operators | spec.keywords).items() for v in (lexeme, value_of(kind))))
+    string = reduce(lambda a, b: a | b, [x.rlike(f"\\A(?:{p})\\z") for p, _ in spec.strings])
+    word, number = F.when(first.rlike("[A-Za-z_$]"), F.lit(value_of("VAR"))), F.when(first.rlike("[0-9]"), F.lit(value_of("NUM")))
+    # what most lexemes are comes first: space is nothing, and no string begins with a letter but those with a prefix
+    value = F.coalesce(F.element_at(table, x), F.when(string, F.lit(value_of("STR"))), number, word)
+    if spec.directives:
+        value = F.when(first == "#", F.lit(value_of("INCLUDE"))).otherwise(value)
+    return F.when(first.isin(" ", "\n", "\t", "\r"), F.lit(None)).otherwise(value).cast("long")
+
+
+#: Elements that one inner sum runs over: sums of blocks, and then of their totals, so long arrays aren't copied for each element.
+_SUM_BLOCK = 128
+
+
+def _with_sums(rows: DataFrame, values: str, sums: str) -> DataFrame:
+    """rows with the array sums: for each element of values (array<int>) the sum of those before it."""
+    n = F.size(values)
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(n / _SUM_BLOCK).cast("int") - 1, F.lit(0)))
+    zero = F.array(F.lit(0).cast("long"))
+    grow = lambda by: lambda done, v: F.concat(done, F.array(F.element_at(done, -1) + by(v)))
+    # a block takes its own span of the array, which is sliced once for each block
+    cut = rows.withColumn("_blocks", F.transform(starts, lambda b: F.slice(values, b * _SUM_BLOCK + 1, _SUM_BLOCK)))
+    inner = cut.withColumn("_inner", F.transform("_blocks", lambda block: F.aggregate(block, zero, grow(lambda v: v))))
+    outer = inner.withColumn("_outer", F.aggregate("_inner", zero, grow(lambda s: F.element_at(s, -1))))
+    whole = F.flatten(F.zip_with("_inner", F.slice("_outer", 1, F.size("_inner")), lambda s, o: F.transform(F.slice(s, 1, F.size(s) - 1), lambda v: v + o)))
+    return outer.withColumn(sums, whole).drop("_blocks", "_inner", "_outer")
+
+
+def code_values(submissions: DataFrame, languages: Mapping[str, Language] = LANGUAGES, lines: bool = True) -> DataFrame:
+    """KEYS, tokens (value, line) of submissions (KEYS, code, language, file_name; one row each): what tokenize_any() gives, as one array in each row with only the hashes of types and the lines; without lines just the values.
+
+    Nothing is shuffled or sorted, and lexemes never become rows.
+    """
+    given = F.when(F.col("language").isin(*languages), F.col("language")).otherwise(resolve_language(F.col("language"), F.col("code"), F.col("file_name")))
+    rows = submissions.where(F.trim("code") != "").select(*KEYS, "code", given.alias("language"))
+    pieces = _by_language(languages, lambda spec: F.regexp_extract_all("code", F.lit(lexeme_pattern(spec)), F.lit(0)))
+    cut = rows.select(*KEYS, "language", pieces.alias("lexemes"))
+    values = _by_language(languages, lambda spec: F.transform("lexemes", lambda x: _value(spec, x)))
+    if not lines:
+        return cut.select(*KEYS, F.filter(values, lambda v: v.isNotNull()).alias("tokens"))
+    breaks = F.transform("lexemes", lambda x: (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))).cast("long"))
+    summed = _with_sums(cut.select(*KEYS, values.alias("values"), breaks.alias("breaks")), "breaks", "before")
+    both = F.zip_with("values", "before", lambda v, n: F.struct(v.alias("value"), (n + 1).cast("int").alias("line")))
+    return summed.select(*KEYS, F.filter(both, lambda t: t["value"].isNotNull()).alias("tokens"))
+
+
 def prose_words(text: Column) -> Column:
     """Words in lower case and runs of digits, in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(PROSE_PATTERN), F.lit(0))

@@ -60,7 +60,7 @@ def _code_tokens(spark, sf):
 
 
 def _sets_of(programs):
-    return kept(pr.distinct_hashes(fp.fingerprints(tk.tokenize_any(programs))))
+    return kept(fp.code_sets(programs))
 
 
 def _code_sets(spark, sf):
@@ -81,7 +81,7 @@ def _latest(spark, sf):
 
 
 def _prints_of(programs):
-    return kept(fp.fingerprints(tk.tokenize_any(programs)))
+    return kept(fp.code_fingerprints(programs))
 
 
 def _latest_prints(spark, sf):
@@ -353,7 +353,7 @@ def fingerprints(spark, sf):
 
 @query(f"{CODE} SELECT assignment_id, submission_id, hash, pos, start_line, end_line FROM fps")
 def code_fingerprints(spark, sf):
-    return fp.fingerprints(tk.tokenize_any(_programs(spark, sf)))
+    return fp.code_fingerprints(_programs(spark, sf))
 
 
 _COUNTS = """p.assignment_id, p.submission_id, coalesce(t.n, 0) AS n_tokens, coalesce(g.n, 0) AS n_kgrams, coalesce(f.n, 0) AS n_fingerprints FROM {source} p LEFT JOIN (SELECT submission_id, count(*) AS n FROM tok GROUP BY 1) t USING (submission_id)

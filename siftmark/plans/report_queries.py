@@ -12,7 +12,6 @@ from ..operators import intake as it
 from ..operators import long_diff as ld
 from ..operators import pairs as pr
 from ..operators import reports as rp
-from ..operators import tokens as tk
 from ..sources import archives as ar
 from ..sources import ingest as ig
 from ..sources import layout as lo
@@ -99,7 +98,7 @@ def analyze_with_starter(spark, sf):
     """The analysis with starter code: that of each cohort's first latest submission."""
     latest = _latest(spark, sf)
     first = latest.groupBy("assignment_id").agg(F.min("submission_id").alias("submission_id"))
-    starter = kept(pr.distinct_hashes(fp.fingerprints(tk.tokenize_any(latest.join(first, ["assignment_id", "submission_id"], "left_semi")))))
+    starter = kept(fp.code_sets(latest.join(first, ["assignment_id", "submission_id"], "left_semi")))
     return ev.analyze(_programs(spark, sf), starter).select("assignment_id", "a", "b", "shared", "raw", "adjusted", "overlap", "n_clean", "n_regions", "lines_a", "lines_b", "renamed", "risk", "evidence")
 
 
@@ -138,6 +137,33 @@ def ranked_clusters(spark, sf):
     return cl.ranked_clusters(cl.cluster_stats(cl.clusters(edges), edges, latest)).select("assignment_id", "cluster_id", "size", "average", "place")
 
 
+# Pairs of classes: copies aren't written out
+
+_MEMBERS = """c AS (SELECT {within} submission_id, list_sort(list(hash)) AS hs FROM sets GROUP BY ALL),
+members AS (SELECT {within} submission_id, min(submission_id) OVER w AS rep, count(*) OVER w AS members FROM c WINDOW w AS (PARTITION BY {within} hs)),
+own AS (SELECT {within} rep, members, hash FROM members JOIN sets USING ({within} submission_id) WHERE submission_id = rep),
+class_pairs AS (SELECT {x} x.rep AS a, y.rep AS b, x.members AS n_a, y.members AS n_b, count(*) AS shared FROM own x JOIN own y ON {on} x.hash = y.hash WHERE x.rep < y.rep OR x.rep = y.rep AND x.members > 1 GROUP BY ALL)"""
+_WITHIN = _MEMBERS.format(within="assignment_id,", x="x.assignment_id,", on="x.assignment_id = y.assignment_id AND")
+_ACROSS = _MEMBERS.format(within="", x="", on="")
+
+
+@query(f"{CODE}, {_WITHIN} SELECT * FROM class_pairs")
+def candidate_classes(spark, sf):
+    sets = _sets_of(_programs(spark, sf))
+    return pr.class_pairs(sets, kept(pr.class_members(sets)))
+
+
+@query(f"{CODE}, {_WITHIN} SELECT * FROM members")
+def candidate_members(spark, sf):
+    return pr.class_members(_sets_of(_programs(spark, sf)))
+
+
+@query(f"{PROSE}, {_ACROSS} SELECT * FROM class_pairs")
+def corpus_classes(spark, sf):
+    sets = _prose_sets(spark, sf)
+    return pr.class_pairs(sets, kept(pr.class_members(sets, None)), None)
+
+
 # Scores of a scorer that the caller brings
 
 

@@ -1,7 +1,6 @@
 """Structured Streaming twins of the batch operators.
 
-Windows over one submission's tokens don't exist on streams, so those parts
-run inside foreachBatch with the batch functions. Each batch writes under its
+Each batch runs inside foreachBatch with the batch functions, writes under its
 own number and reads nothing but what earlier numbers wrote, so a batch that
 runs again, in this process or after a restart, replaces what it wrote.
 """
@@ -15,8 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import IntegerType, StructType
 
-from ..operators.fingerprint import fingerprints
-from ..operators.tokens import tokenize_any
+from ..operators.fingerprint import code_fingerprints
 from ..operators.versions import STUDENT, in_force
 from ..sources.durable import make_folder
 from ..sources.durable import new_folder as work_folder  # noqa: F401  a stream's files are kept beside the checkpoints
@@ -79,7 +77,7 @@ def stream_fingerprints(submissions: DataFrame, folder: str) -> DataFrame:
     """Fingerprints of arriving submissions (KEYS, code, language, file_name)."""
 
     def each(batch: DataFrame, number: int) -> None:
-        fingerprints(tokenize_any(batch)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        code_fingerprints(batch).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     run_batches(submissions, each, folder)
     return _written(submissions.sparkSession, f"{folder}/out", _PRINTS).drop("batch")

@@ -12,9 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.fingerprint import fingerprints
-from ..operators.pairs import distinct_hashes
-from ..operators.tokens import tokenize_any
+from ..operators.fingerprint import code_sets
 from ..sources.durable import drop_folder, kept, make_folder
 from .jobs import run_batches
 
@@ -83,7 +81,7 @@ def stream_candidates(submissions: DataFrame, folder: str) -> DataFrame:
     spark = submissions.sparkSession
 
     def each(batch: DataFrame, number: int) -> None:
-        sets = kept(distinct_hashes(fingerprints(tokenize_any(batch))))
+        sets = kept(code_sets(batch))
         before = add_batch(spark, folder, sets, number)
         side = lambda rows, name: rows.select("assignment_id", "hash", F.col("submission_id").alias(name))
         met = side(sets, "x").join(side(before, "y"), ["assignment_id", "hash"]).where("x <> y")

@@ -266,3 +266,30 @@ def test_streams_go_on_where_they_stopped_and_count_no_batch_twice(spark, tmp_pa
         time.sleep(0.2)
     spark.streams.removeListener(progress)
     assert sum(progress.rows.values()) == 8 and not progress.failed
+
+
+def test_code_inside_the_row_is_as_over_token_rows(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "_SUM_BLOCK", 7)
+    rng = random.Random(8)
+    bits = ["x = 1\n", "if a > 0 :\n", "# note\n", "/* c\nc */", "'''t\nt'''", '"s"', "for i in r ( 3 ) :", "\n\n", "return f ( x ) ;", "#include <a>\n", "é", "0x1F", "//d\n", "`t\n`"]
+    rows = [(f"a{k % 3}", k, "".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 3, 9, 60]))), rng.choice(["python", "java", "cpp", "auto", None]), "f.js") for k in range(120)]
+    rows += [("a0", 900, None, "python", "f.py"), ("a0", 901, "  \n ", "c", "f.c"), ("a1", 902, "x = 1 + y\n" * 3000, "python", "f.py")]
+    code = spark.createDataFrame(rows, CODE)
+    columns = ("assignment_id", "submission_id", "hash", "pos", "start_line", "end_line")
+    for k, w in ((5, 4), (1, 1), (3, 2)):
+        slow = sorted(map(tuple, fingerprint.fingerprints(tokens.tokenize_any(code), k, w).select(*columns).collect()))
+        assert sorted(map(tuple, fingerprint.code_fingerprints(code, k, w).select(*columns).collect())) == slow
+        assert sorted(map(tuple, fingerprint.code_sets(code, k, w).collect())) == sorted({r[:3] for r in slow})
+
+
+@pytest.mark.parametrize("within", ["assignment_id", None])
+def test_classes_expand_to_all_pairs(spark, within):
+    rng = random.Random(9)
+    kinds = [rng.sample(range(30), rng.randint(1, 6)) for _ in range(12)]
+    rows = [(f"a{k % 3}", k, h) for k in range(90) for h in kinds[rng.randrange(12)]]
+    sets = spark.createDataFrame(rows, "assignment_id string, submission_id long, hash long").distinct()
+    members = pairs.class_members(sets, within)
+    found = pairs.class_pairs(sets, members, within)
+    rows_of = lambda df: sorted(map(tuple, df.collect()))
+    assert rows_of(pairs.expand_classes(found, members, within)) == rows_of(pairs.candidate_pairs(sets, within))
+    assert found.count() <= (3 if within else 1) * 78 and members.count() == sets.select("submission_id").distinct().count()
