@@ -120,3 +120,11 @@ def stream_once(spark, sf):
 @query("SELECT event_type AS assignment_id, 'S' || user_id AS student_id, max_by(event_id, ts) AS submission_id, max(ts) AS submitted_at, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_latest_state(spark, sf):
     return sf_.stream_latest_state(_event_stream(spark, sf), st.work_folder(spark, "stream"))
+
+
+@query("SELECT count(*) AS rows, true AS ended FROM part")
+def stream_progress(spark, sf):
+    """Rows that a stream has gone through, from what its batches left in its folder."""
+    folder = st.work_folder(spark, "stream")
+    lv.stream_candidates(_part_stream(spark, sf), folder)
+    return st.read_progress(spark, folder).agg(F.sum("rows").alias("rows"), F.every(F.col("ended_at").isNotNull()).alias("ended"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import IntegerType, StructType
@@ -51,11 +51,23 @@ def stream_table(spark: SparkSession, sf_dir: str, table: str, files_at_once: in
 
 
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], folder: str) -> None:
-    """Run each over everything there is, batch by batch."""
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
+    """Run each over everything there is, batch by batch. When a batch is done, its number of rows is written beside it: see read_progress()."""
+
+    def counted(batch: DataFrame, number: int) -> None:
+        seen = Observation()
+        each(batch.observe(seen, F.count(F.lit(1)).alias("rows")), number)
+        done = batch.sparkSession.createDataFrame([(seen.get["rows"],)], "rows long").withColumn("ended_at", F.current_timestamp())
+        done.coalesce(1).write.mode("overwrite").parquet(f"{folder}/progress/batch={number}")
+
+    query = stream.writeStream.foreachBatch(counted).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def read_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """batch, rows, ended_at of all batches that run_batches() has ended in this folder, in whatever process; one that ran again counts once."""
+    return _written(spark, f"{folder}/progress", "rows long, ended_at timestamp, batch int").select("batch", "rows", "ended_at")
+
+
 def run_append(stream: DataFrame, folder: str) -> DataFrame:
     """Write a stream to Parquet in append mode, and read what it wrote."""
     schema = stream.schema

@@ -22,6 +22,6 @@ def same(spark, query, sql):
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(theirs.columns, theirs.fetchall())
 
 
-@pytest.mark.parametrize("name", ["suspicious_pairs", "tokens_any", "code_fingerprints", "adjusted_pairs", "matched_regions", "student_dashboard", "validate_rows", "group_match", "latest_version", "stream_latest", "stream_fingerprints", "stream_candidates", "stream_deadline", "stream_bursts", "pair_diff", "boilerplate_sink", "own_assignments", "candidate_pairs", "fingerprints"])
+@pytest.mark.parametrize("name", ["suspicious_pairs", "tokens_any", "code_fingerprints", "adjusted_pairs", "matched_regions", "student_dashboard", "validate_rows", "group_match", "latest_version", "stream_latest", "stream_fingerprints", "stream_candidates", "stream_deadline", "stream_bursts", "pair_diff", "boilerplate_sink", "own_assignments", "candidate_pairs", "fingerprints", "stream_sessions", "stream_deadline_versions", "text_report", "candidate_classes", "scan_wanted", "ingest_zip_ranges", "long_pair_diff", "stream_progress"])
 def test_query(spark, name):
     same(spark, catalog.queries()[name], catalog.oracle_sql()[name])

@@ -149,3 +149,14 @@ def test_folders_without_files(spark, tmp_path):
     assert stateful.stream_sessions(sent.stream(), f"{tmp_path}/6").count() == 0
     assert stateful.stream_once(sent.stream(), f"{tmp_path}/7").count() == 0
     assert stateful.stream_latest_state(sent.stream(), f"{tmp_path}/8").count() == 0
+
+
+def test_progress_outlives_a_run(spark, tmp_path):
+    source, out = Source(spark, f"{tmp_path}/in", ATTEMPTS), f"{tmp_path}/out"
+    for n in (3, 1):
+        source.add([("a", "s", k, at(k)) for k in range(n)])
+    jobs.stream_latest(source.stream(), out)
+    source.add([("a", "s", 9, at(9))] * 5)
+    jobs.stream_latest(source.stream(), out)
+    assert sorted((r.batch, r.rows) for r in jobs.read_progress(spark, out).collect()) in ([(0, 3), (1, 1), (2, 5)], [(0, 1), (1, 3), (2, 5)])
+    assert jobs.read_progress(spark, f"{tmp_path}/none").count() == 0
