@@ -95,6 +95,13 @@ def stream_fingerprints(submissions: DataFrame, folder: str) -> DataFrame:
     return _written(submissions.sparkSession, f"{folder}/out", _PRINTS).drop("batch")
 
 
+def stream_candidates(submissions: DataFrame, folder: str) -> DataFrame:
+    """levels.stream_candidates(): pairs of arriving submissions, over an index in merged levels."""
+    from . import levels  # which needs this module
+
+    return levels.stream_candidates(submissions, folder)
+
+
 def stream_deadline(attempts: DataFrame, deadlines: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """Arriving attempts before the deadline of their assignment (a static table), and those that came later, which go to a table of their own."""
     spark = attempts.sparkSession
