@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.durable import kept
-from .pairs import pair_counts, set_sizes, with_sizes
+from .pairs import pair_counts
 
 # Share of submissions from which a hash is boilerplate, and the least number of submissions for that.
 THRESHOLD, LEAST = 0.7, 3
@@ -52,15 +52,12 @@ def adjusted_pairs(sets: DataFrame, stats: DataFrame) -> DataFrame:
     overlap is the share of common boilerplate in the union.
     """
     flags = stats.select("assignment_id", "hash", "is_boilerplate")
-    flagged = kept(sets.join(flags, ["assignment_id", "hash"]))
-    own = flagged.groupBy("assignment_id", "submission_id").agg(F.count_if(~F.col("is_boilerplate")).alias("size"))
-    counts = pair_counts(flagged, flags=["is_boilerplate"]).withColumnRenamed("n_is_boilerplate", "n_boilerplate")
-    clean = own.withColumnRenamed("size", "clean")
-    of = lambda side: clean.select("assignment_id", F.col("submission_id").alias(side), F.col("clean").alias(f"clean_{side}"))
-    joined = with_sizes(counts, set_sizes(sets)).join(of("a"), ["assignment_id", "a"]).join(of("b"), ["assignment_id", "b"])
+    flagged = kept(sets.join(flags.hint("merge"), ["assignment_id", "hash"]))
+    joined = pair_counts(flagged, flags=["is_boilerplate"]).withColumnRenamed("n_is_boilerplate", "n_boilerplate")
     union = F.col("size_a") + F.col("size_b") - F.col("shared")
     n_clean = F.col("shared") - F.col("n_boilerplate")
-    rest = F.col("clean_a") + F.col("clean_b") - n_clean
+    clean = lambda side: F.col(f"size_{side}") - F.col(f"own_is_boilerplate_{side}")
+    rest = clean("a") + clean("b") - n_clean
     return joined.select(
         "assignment_id", "a", "b", "shared", (F.col("shared") / union).alias("raw"), F.when(rest == 0, F.lit(0.0)).otherwise(n_clean / rest).alias("adjusted"),
         (F.col("n_boilerplate") / union).alias("overlap"), "n_boilerplate", n_clean.alias("n_clean"),
