@@ -5,6 +5,7 @@ import random
 import pytest
 
 from siftmark.operators import boilerplate, pairs, tokens
+from siftmark.plans import catalog
 from siftmark.sources import programs
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +57,10 @@ def test_pairs_bear_the_sizes_of_their_sides(spark):
     for r in pairs.pair_counts(flagged, flags=["even"]).collect():
         assert (r.own_even_a, r.own_even_b) == (own[r.assignment_id, r.a], own[r.assignment_id, r.b])
     assert boilerplate.adjusted_pairs(sets.limit(0), boilerplate.boilerplate_stats(boilerplate.hash_frequency(sets, sets))).count() == 0
+
+
+def test_groups_are_matched_in_many_tasks(spark):
+    found = catalog.queries()["group_match"](spark, SF)
+    per_task = found.rdd.glom().map(len).collect()
+    assert max(per_task) < sum(per_task) / 2
+    assert "upper" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
