@@ -84,8 +84,9 @@ def stream_candidates(submissions: DataFrame, folder: str) -> DataFrame:
         sets = kept(code_sets(batch))
         before = add_batch(spark, folder, sets, number)
         side = lambda rows, name: rows.select("assignment_id", "hash", F.col("submission_id").alias(name))
-        met = side(sets, "x").join(side(before, "y"), ["assignment_id", "hash"]).where("x <> y")
-        met = met.unionByName(side(sets, "x").join(side(sets, "y"), ["assignment_id", "hash"]).where("x < y"))
+        # an index is far larger than its files, so it isn't gathered on the driver
+        met = side(sets, "x").join(side(before, "y").hint("merge"), ["assignment_id", "hash"]).where("x <> y")
+        met = met.unionByName(side(sets, "x").join(side(sets, "y").hint("merge"), ["assignment_id", "hash"]).where("x < y"))
         found = met.groupBy("assignment_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
         found.write.mode("overwrite").parquet(f"{folder}/pairs/batch={number}")
 

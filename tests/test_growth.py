@@ -7,6 +7,7 @@ import pytest
 from siftmark.operators import boilerplate, pairs, tokens
 from siftmark.plans import catalog
 from siftmark.sources import programs
+from siftmark.streaming import levels
 
 SF = "/root/testdata/sf0.001"
 SETS = "assignment_id string, submission_id long, hash long"
@@ -64,3 +65,9 @@ def test_groups_are_matched_in_many_tasks(spark):
     per_task = found.rdd.glom().map(len).collect()
     assert max(per_task) < sum(per_task) / 2
     assert "upper" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_progress_of_a_stream_takes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(levels, "stream_candidates", None)
+    got = catalog.queries()["stream_progress"](spark, SF).collect()
+    assert [(r.rows, r.ended) for r in got] == [(200, True)]
