@@ -38,12 +38,8 @@ def scan_wanted(spark, sf):
 def ingest_zip_ranges(spark, sf):
     """As ingest_zip, of archives in files: each is read by ranges of its entries."""
     folder = new_folder(spark, "archives")
-    packed = kept(ig.zip_files(_files(spark, sf)))
-    names = packed.select(F.concat(F.md5("path"), F.lit(".zip")).alias("name"), "content", "path")
-    paths = ar.write_files(names, folder.removeprefix("file:"))
-    entries = ar.read_archives(spark, paths).where("error IS NULL").withColumn("name", F.substring_index(F.substring_index("path", "!", 1), "/", -1))
-    named = entries.join(names.select("name", F.col("path").alias("archive")), "name").select(F.concat("archive", F.lit("!"), "entry").alias("path"), "content")
-    return ig.ingest_files(named)
+    stored = kept(ar.write_archives(ig.zip_files(_files(spark, sf)), folder.removeprefix("file:")))
+    return ig.ingest_files(ar.read_stored(stored).where("error IS NULL").select("path", "content"))
 
 
 # Counts

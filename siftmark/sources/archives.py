@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .ingest import MAX_ENTRY
+from .durable import spread
+from .ingest import ENTRY, MAX_ENTRY, in_batches
 
 #: Packed bytes and entries that one task reads.
 TASK_BYTES, TASK_ENTRIES = 16 << 20, 1000
 _LOCAL_HEADER = struct.Struct("<4s5H3I2H")
 _PIECE = 1 << 20
+#: Files that write_archives() puts into one folder.
+_FOLDER_FILES = 10_000
 
 
 @dataclass(frozen=True)
@@ -108,6 +113,20 @@ def read_entry(f, entry: Entry, max_entry: int) -> bytes:
     return bytes(out)
 
 
+def read_range(part: EntryRange, archive: str, max_entry: int) -> Iterator[tuple]:
+    """path (archive!entry), entry, content, error of the entries of a range."""
+    if part.error:
+        yield archive, None, None, part.error
+        return
+    with _open(part.path) as f:
+        for entry in part.entries:
+            name = f"{archive}!{entry.name}"
+            try:
+                yield name, entry.name, read_entry(f, entry, max_entry), None
+            except (ValueError, OSError) as e:
+                yield name, entry.name, None, f"entry: {e}"
+
+
 def bundles(ranges: Iterator[EntryRange], task_bytes: int, task_entries: int) -> Iterator[Bundle]:
     """Ranges in their order, as many together as a task takes."""
     some, size, n = [], 0, 0
@@ -134,16 +153,7 @@ class ZipReader(DataSourceReader):
 
     def read(self, partition: Bundle) -> Iterator[tuple]:
         for part in partition.ranges:
-            if part.error:
-                yield part.path, None, None, part.error
-                continue
-            with _open(part.path) as f:
-                for entry in part.entries:
-                    name = f"{part.path}!{entry.name}"
-                    try:
-                        yield name, entry.name, read_entry(f, entry, self.max_entry), None
-                    except (ValueError, OSError) as e:
-                        yield name, entry.name, None, f"entry: {e}"
+            yield from read_range(part, part.path, self.max_entry)
 
 
 class ZipEntries(DataSource):
@@ -174,6 +184,59 @@ def read_archives(spark: SparkSession, paths: list[str], **options: int) -> Data
     return spark.read.format("zip_entries").options(path="\n".join(paths), **options).load()
 
 
+def write_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """archive, file: write each (path, content) of archives as a file of its own below folder, from the tasks that hold it; path is called archive, file is where it is.
+
+    A task's files are in a folder of their own, so an attempt that runs again
+    leaves those of the first one alone. To be kept, as each use writes anew.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        from pyarrow import fs
+
+        store, place = fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
+        own, n = uuid.uuid4().hex, 0
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if n % _FOLDER_FILES == 0:
+                    store.create_dir(f"{place}/{own}/{n // _FOLDER_FILES}")
+                with store.open_output_stream(f"{place}/{own}/{n // _FOLDER_FILES}/{n}.zip") as out:
+                    out.write(content.as_py())
+                yield name, f"{folder}/{own}/{n // _FOLDER_FILES}/{n}.zip"
+                n += 1
+
+    kinds = {"archive": pa.string(), "file": pa.string()}
+    return archives.select("path", "content").mapInArrow(lambda batches: in_batches(write(batches), kinds), "archive string, file string")
+
+
+_ENTRIES = "array<struct<name: string, offset: bigint, packed: bigint, size: bigint, crc: bigint, method: int, flags: int>>"
+_ENTRY_KINDS = pa.struct([("name", pa.string()), *((c, pa.int64()) for c in ("offset", "packed", "size", "crc")), ("method", pa.int32()), ("flags", pa.int32())])
+
+
+def read_stored(stored: DataFrame, max_entry: int = MAX_ENTRY, task_bytes: int = TASK_BYTES, task_entries: int = TASK_ENTRIES) -> DataFrame:
+    """path (archive!entry), entry, content, error of every file in the archives of a table (archive, file), as ZipEntries gives them.
+
+    Tasks plan the ranges from the archives' central directories, and the
+    ranges are dealt over other tasks, which read them. The driver sees no
+    names, however many archives there are.
+    """
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for name, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for number, part in enumerate(plan_ranges(file, task_bytes, task_entries)):
+                    yield name, file, number, [asdict(e) for e in part.entries], part.error
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for name, file, _, entries, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from read_range(EntryRange(file, tuple(Entry(**e) for e in entries), error), name, max_entry)
+
+    kinds = {"archive": pa.string(), "file": pa.string(), "number": pa.int32(), "entries": pa.list_(_ENTRY_KINDS), "error": pa.string()}
+    ranges = stored.select("archive", "file").mapInArrow(lambda batches: in_batches(plan(batches), kinds), f"archive string, file string, number int, entries {_ENTRIES}, error string")
+    return spread(ranges, "file", "number").mapInArrow(lambda batches: in_batches(read(batches), ENTRY, 2), "path string, entry string, content binary, error string")
+
+
 def write_files(files: DataFrame, folder: str) -> list[str]:
     """Write each (name, content) of files as a file of its own, from the tasks that hold it; the paths, sorted."""
 

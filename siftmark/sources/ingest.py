@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.intake import base_name, dotted_extension, ext_language, safe_path
-from .durable import has_data
+from .durable import has_data, spread
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -31,6 +32,30 @@ def ingest_files(files: DataFrame) -> DataFrame:
 MAX_ENTRY = 50 << 20
 
 
+#: Rows and bytes of content that a batch of entries holds, if one entry isn't more.
+_BATCH_ROWS, _BATCH_BYTES = 1000, 8 << 20
+
+
+def in_batches(rows: Iterator[tuple], kinds: dict[str, pa.DataType], content: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches; content is the column whose bytes bound them."""
+    some, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    for row in rows:
+        some.append(row)
+        size += len(row[content] or b"") if content is not None else 0
+        if len(some) >= _BATCH_ROWS or size >= _BATCH_BYTES:
+            yield batch()
+            some, size = [], 0
+    if some:
+        yield batch()
+
+
+ENTRY = {"path": pa.string(), "entry": pa.string(), "content": pa.binary(), "error": pa.string()}
+
+
 def archive_entries(archives: DataFrame, max_entry: int = MAX_ENTRY) -> DataFrame:
     """path (archive!entry), entry, content, error of every file in ZIP archives (path, content), entry by entry.
 
@@ -39,17 +64,13 @@ def archive_entries(archives: DataFrame, max_entry: int = MAX_ENTRY) -> DataFram
     damaged, or larger than max_entry bytes.
     """
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(path, entry, content, error):
-            kinds = (pa.string(), pa.string(), pa.binary(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((path, entry, content, error), kinds, strict=True)], names=["path", "entry", "content", "error"])
-
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content.as_py() or b""))
                 except (zipfile.BadZipFile, OSError, ValueError) as e:
-                    yield row(path, None, None, f"archive: {e}")
+                    yield path, None, None, f"archive: {e}"
                     continue
                 with archive:
                     for info in archive.infolist():
@@ -57,14 +78,14 @@ def archive_entries(archives: DataFrame, max_entry: int = MAX_ENTRY) -> DataFram
                             continue
                         name = f"{path}!{info.filename}"
                         if info.file_size > max_entry:
-                            yield row(name, info.filename, None, f"entry: {info.file_size} bytes")
+                            yield name, info.filename, None, f"entry: {info.file_size} bytes"
                             continue
                         try:
-                            yield row(name, info.filename, archive.read(info), None)
+                            yield name, info.filename, archive.read(info), None
                         except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError, zlib.error) as e:
-                            yield row(name, info.filename, None, f"entry: {e}")
+                            yield name, info.filename, None, f"entry: {e}"
 
-    return archives.select("path", "content").mapInArrow(expand, "path string, entry string, content binary, error string")
+    return archives.select("path", "content").mapInArrow(lambda batches: in_batches(entries(batches), ENTRY, 2), "path string, entry string, content binary, error string")
 
 
 def ingest_archives(archives: DataFrame) -> DataFrame:
@@ -84,18 +105,19 @@ def inline_files(texts: DataFrame) -> DataFrame:
 
 
 def zip_files(files: DataFrame) -> DataFrame:
-    """(path, content) of one archive for each value of archive, with its files (archive, path, content); a group is built in one task, so its files must be few."""
-
-    def pack(pdf):
-        import pandas as pd
-
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                archive.writestr(path, bytes(content))
-        return pd.DataFrame({"path": [pdf["archive"].iloc[0]], "content": [out.getvalue()]})
-
-    return files.groupBy("archive").applyInPandas(pack, "path string, content binary")
+    """(path, content) of one archive for each value of archive, with its files (archive, path, content); a task builds one archive after the other, so each must fit it."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for name, group in itertools.groupby(rows, key=lambda row: row[0]):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                for _, path, content in group:
+                    archive.writestr(path, content)
+            yield name, out.getvalue()
+
+    dealt = spread(files.select("archive", "path", "content"), "archive").sortWithinPartitions("archive", "path")
+    return dealt.mapInArrow(lambda batches: in_batches(pack(batches), {"path": pa.string(), "content": pa.binary()}, 1), "path string, content binary")
 
 
 def csv_mapping(lines: DataFrame) -> DataFrame:
