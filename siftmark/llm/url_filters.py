@@ -14,7 +14,7 @@ BASE = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block",
 MIN_CONFIDENCE = 0.6
 #: It is right for so many labelled URLs, and for so large a share of all of them, at least.
 MIN_URLS, MIN_SUPPORT = 10, 0.0005
-#: Of a labelled URL so many host labels (the last), path segments and parameters (the first) are mined: an itemset of a frequent URL is any set of its tokens, so their number has a bound. All tokens of a URL are matched.
+#: While no labelled URL has more host labels (counted from the last), path segments and parameters (from the first), all its tokens are items of their own. Of a URL that has more all are mined too, those of its tokens that come together always as one item: any set of a frequent URL's tokens is an itemset.
 HOST_TOKENS, PATH_TOKENS, QUERY_TOKENS = 4, 3, 3
 _BLOCKED = "blocked"
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -53,14 +53,30 @@ def _tokens(mined: bool) -> Column:
     return F.array_sort(F.array_distinct(F.concat(host, path, query)))
 
 
+def _with_items(rows: DataFrame) -> DataFrame:
+    """rows (id, near, items, blocked) with the items to be mined: the tokens, but of those of rows that have some beyond near, one for all that are in the same rows."""
+    far = rows.where(F.size(F.array_except("items", "near")) > 0).select(F.explode("items").alias("token")).distinct()
+    if far.isEmpty():
+        return rows
+    tokens = rows.select("id", "blocked", F.explode_outer("items").alias("token"))
+    where = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"rows_{seed}") for seed in range(2)]
+    held = tokens.join(far, "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"), *where)
+    alike = held.groupBy("n", "rows_0", "rows_1").agg(F.min("token").alias("first"), F.collect_list("token").alias("tokens"))
+    named = alike.select("first", F.explode("tokens").alias("token"))
+    return tokens.join(named, "token", "left").groupBy("id", "blocked").agg(F.array_sort(F.collect_set(F.coalesce("first", "token"))).alias("items"))
+
+
 def mine_rules(labelled: DataFrame) -> DataFrame:
     """tokens, confidence, n_urls: combinations of URL tokens whose labelled URLs are mostly to be blocked.
 
     labelled: url, blocked (boolean). Spark's FP-growth counts the frequent combinations of tokens, the label among
     them; a combination is a rule if at least MIN_CONFIDENCE of the URLs that hold it are to be blocked, and these are
-    MIN_URLS and MIN_SUPPORT of all at least. Rows of null url or label are left out, repeated rows count each.
+    MIN_URLS and MIN_SUPPORT of all at least. Rows of null url or label are left out, repeated rows count each. All
+    tokens of a URL are mined; of the tokens of URLs beyond the fixed numbers that come in the same URLs always, rules
+    name the first.
     """
-    rows = with_parts(labelled.select("url", "blocked").where("url IS NOT NULL AND blocked IS NOT NULL")).select(_tokens(True).alias("items"), "blocked")
+    rows = with_parts(labelled.select("url", "blocked").where("url IS NOT NULL AND blocked IS NOT NULL")).select(_tokens(True).alias("near"), _tokens(False).alias("items"), "blocked")
+    rows = _with_items(durable(rows.withColumn("id", F.monotonically_increasing_id())))
     rows = durable(rows.select(F.when(F.col("blocked"), F.concat("items", F.array(F.lit(_BLOCKED)))).otherwise(F.col("items")).alias("items")))
     n = rows.count()
     if not n:
