@@ -48,7 +48,7 @@ WORDS = 6
 TRIES = 8
 #: Holders of a shingle that one task of round 3 takes on one side.
 TILE = 1000
-#: Edges of a graph that is small enough for one partition; it affects speed only.
+#: Edges of a graph that is small enough for one task; it affects speed only.
 FEW_EDGES = 200_000
 _SHORT = tk.constants(WIDTH, 7)
 _CLASS = tk.constants(3, 8)
@@ -250,16 +250,43 @@ def _verify(documents: DataFrame, pairs: DataFrame, classes: DataFrame, id_type:
     return tk.durable(arrays.mapInArrow(tk.lean(exact), "a long, b long"))
 
 
+def _least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (a, b), and the least node that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        now, least = label.copy(), np.minimum(label[x], label[y])
+        for end in (x, y, label[x], label[y]):
+            np.minimum.at(now, end, least)
+        now = now[now]
+        if (now == label).all():
+            return nodes, nodes[label]
+        label = now
+
+
+def _few_components(edges: DataFrame) -> DataFrame:
+    """components() of FEW_EDGES at most, by one task: the rounds over such a graph are many jobs with next to nothing in each task, and the driver holds something of every task."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [[column.to_numpy(zero_copy_only=False) for column in batch.columns] for batch in batches]
+        if ends:
+            found = _least_reached(*map(np.concatenate, zip(*ends, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["node", "component"])
+
+    return tk.durable(edges.coalesce(1).mapInArrow(tk.lean(go), "node long, component long"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of the edges (a, b) reaches.
 
     Labels spread over the edges and then over themselves (a label takes its
-    own node's label), so long chains need few rounds. FEW_EDGES at most are
-    put into one partition, where the same rounds need no shuffle.
+    own node's label), so long chains need few rounds. Only FEW_EDGES at most
+    are gone through by one task.
     """
-    ends = tk.durable(edges.select("a", "b"))
+    ends = tk.durable(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
     if ends.count() <= FEW_EDGES:
-        ends = ends.coalesce(1)
+        return _few_components(ends)
     ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")
     both = tk.durable(ends.select(ways).select("x.a", "x.b").distinct())
     labels = tk.durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))

@@ -287,3 +287,24 @@ def test_components_of_a_long_chain(spark):
     got = {r.node: r.component for r in ngram_join.components(edges).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
     assert ngram_join.components(edges.limit(0)).count() == 0
+
+
+def test_few_edges_take_few_jobs(spark):
+    """A small graph takes no round of jobs for each step of its labels."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    context = spark.sparkContext
+    context.setJobGroup("few edges", "")
+    try:
+        labels = ngram_join.components(edges)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(context.statusTracker().getJobIdsForGroup("few edges")) <= 6
+    assert {r.component for r in labels.collect()} == {0}
+
+
+def test_few_and_many_edges_give_equal_components(spark, monkeypatch):
+    random.seed(11)
+    edges = spark.createDataFrame([(random.randrange(-90, 90), random.randrange(-90, 90)) for _ in range(80)], "a long, b long")
+    few = sorted(map(tuple, ngram_join.components(edges).collect()))
+    monkeypatch.setattr(ngram_join, "FEW_EDGES", 0)
+    assert few == sorted(map(tuple, ngram_join.components(edges).collect()))
