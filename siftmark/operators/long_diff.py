@@ -1,6 +1,7 @@
 """Differences of pairs of long texts, over many tasks.
 
-Lines that are found just once on either side are anchors; the longest run of
+Short pairs' scripts are found whole, many pairs to a task. Of longer ones
+lines that are found just once on either side are anchors; the longest run of
 them that rises on both sides is kept, and cuts the pair into gaps. Lines that
 are unique within a gap cut it again. Then each gap's script is found by
 itself. Lines go by their MD5 once they are numbered, so no task holds texts.
@@ -13,17 +14,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.durable import kept
-from .diff import edit_script
+from .diff import blocks, edit_script
 
 PAIR = ("assignment_id", "a", "b")
 #: Lines that are numbered within one window; times that gaps are cut anew; rows of gaps that Python takes at once.
 BLOCK, ROUNDS, GAP_ROWS = 4096, 3, 20_000
 _SCRIPT = "assignment_id string, a long, b long, kind string, i long, j long"
+#: Lines that either side of a pair may have whose script is found whole, and such pairs that Python takes at once.
+SHORT, PAIRS_AT_ONCE = 200, 500
+_OPS = "assignment_id string, a long, b long, op_no int, type string, a_start int, a_end int, b_start int, b_end int"
 
 
 def longest_rising(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -151,8 +156,43 @@ def line_script(pairs: DataFrame, lines: DataFrame, rounds: int = ROUNDS) -> Dat
     return out
 
 
-def long_diff(pairs: DataFrame, lines: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """assignment_id, a, b, op_no, type, a_start, a_end, b_start, b_end (lines from 1): the script of line_script() in blocks, as pair_diff() has them; a deletion and the insertion after it are a modification."""
+def _short_ops(pairs: DataFrame) -> DataFrame:
+    """_OPS of pairs (PAIR, lines_a, lines_b), each script found whole."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _OPS.split(", ")]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), *[pa.int32()] * 4]
+        for whole in batches:
+            for at in range(0, len(whole), PAIRS_AT_ONCE):
+                rows = []
+                for assignment, a, b, x, y in zip(*(c.to_pylist() for c in whole.slice(at, PAIRS_AT_ONCE).columns), strict=True):
+                    for no, (kind, i, j) in enumerate(blocks(edit_script(x, y))):
+                        rows.append((assignment, a, b, no, kind, *((i[0] + 1, i[-1] + 1) if i else (None, None)), *((j[0] + 1, j[-1] + 1) if j else (None, None))))
+                columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return pairs.select(*PAIR, "lines_a", "lines_b").mapInArrow(go, _OPS)
+
+
+def long_diff(pairs: DataFrame, lines: DataFrame, rounds: int = ROUNDS, short: int = SHORT) -> DataFrame:
+    """assignment_id, a, b, op_no, type, a_start, a_end, b_start, b_end (lines from 1) of pairs (PAIR): blocks as pair_diff() has them; a deletion and the insertion after it are a modification.
+
+    A pair with at most short lines on either side gets a shortest script, in
+    one call; others the script of line_script(). No array has more lines than
+    short.
+    """
+    first = F.collect_list(F.when(F.col("no") < short, F.struct("no", F.unhex("line").alias("line"))))
+    texts = kept(lines.groupBy("assignment_id", "submission_id").agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(first), lambda x: x["line"]).alias("lines")))
+    side = lambda s: texts.select("assignment_id", F.col("submission_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("lines").alias(f"lines_{s}")).hint("merge")
+    both = pairs.select(*PAIR).join(side("a"), ["assignment_id", "a"]).join(side("b"), ["assignment_id", "b"])
+    few = (F.col("n_a") <= short) & (F.col("n_b") <= short)
+    long = kept(both.where(~few).select(*PAIR))
+    found = _short_ops(both.where(few))
+    return found if long.isEmpty() else found.unionByName(_long_ops(long, lines, rounds))
+
+
+def _long_ops(pairs: DataFrame, lines: DataFrame, rounds: int) -> DataFrame:
+    """_OPS of line_script()."""
     script = line_script(pairs, lines, rounds)
     # an inserted line stands after the last line of a that is equal to one before it
     pair = Window.partitionBy(*PAIR)
@@ -165,10 +205,10 @@ def long_diff(pairs: DataFrame, lines: DataFrame, rounds: int = ROUNDS) -> DataF
     stretch = ranked.withColumn("stretch", F.coalesce(equal_before, F.lit(-1).cast("long")))
     order = pair.orderBy("stretch", F.when(F.col("kind") == "equal", 0).when(F.col("kind") == "delete", 1).otherwise(2), "i", "j")
     islands = stretch.withColumn("fresh", F.coalesce((F.lag("kind").over(order) != F.col("kind")).cast("int"), F.lit(1))).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = islands.groupBy(*PAIR, "island").agg(F.first("kind").alias("kind"), F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1"))
+    merged = islands.groupBy(*PAIR, "island").agg(F.first("kind").alias("kind"), F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1"))
     seq = pair.orderBy("island")
     after, before = (lambda c: F.lead(c).over(seq)), (lambda c: F.lag(c).over(seq))
-    joined = blocks.select(*PAIR, "island", "kind", "i0", "i1", "j0", "j1", after("kind").alias("next"), after("j0").alias("nj0"), after("j1").alias("nj1"), before("kind").alias("prev"))
+    joined = merged.select(*PAIR, "island", "kind", "i0", "i1", "j0", "j1", after("kind").alias("next"), after("j0").alias("nj0"), after("j1").alias("nj1"), before("kind").alias("prev"))
     modified = (F.col("kind") == "delete") & F.coalesce(F.col("next") == "insert", F.lit(False))
     left = joined.where(~((F.col("kind") == "insert") & F.coalesce(F.col("prev") == "delete", F.lit(False))))
     number = F.row_number().over(pair.orderBy("island")) - 1

@@ -191,20 +191,30 @@ def scored_pairs(spark, sf):
 n AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents)
 SELECT assignment_id, a, b, x.n AS lines_a, y.n AS lines_b, true AS alike, true AS in_order FROM close JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b""")
 def long_pair_diff(spark, sf):
-    """The line scripts of close texts, summed up: they use every line of either side once, in order, and pair only lines that are alike."""
-    texts = src.prose(spark, sf)
-    scored = pr.jaccard(pr.pair_counts(_prose_arrays(spark, sf))).where("score >= 0.4").select("assignment_id", "a", "b")
-    pairs, lines = kept(scored), kept(ld.numbered_lines(texts), 16)
-    ops = kept(ld.long_diff(pairs, lines))
+    """The line scripts of close texts, summed up: they use every line of either side once, in order, and pair only lines that are alike.
+
+    A script goes by the texts alone, so copies have one: each two different texts are compared once.
+    """
     from pyspark.sql.window import Window
 
+    texts = src.prose(spark, sf)
+    pairs = kept(pr.jaccard(pr.pair_counts(_prose_arrays(spark, sf))).where("score >= 0.4").select("assignment_id", "a", "b"))
+    named = texts.select("assignment_id", "submission_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("name"))
+    paired = pairs.select("assignment_id", F.explode(F.array("a", "b")).alias("submission_id")).distinct()
+    same = kept(named.join(paired.hint("merge"), ["assignment_id", "submission_id"]).withColumn("rep", F.min("submission_id").over(Window.partitionBy("assignment_id", "name"))).drop("name"))
+    rep = lambda s: same.select("assignment_id", F.col("submission_id").alias(s), F.col("rep").alias(f"rep_{s}")).hint("merge")
+    told = kept(pairs.join(rep("a"), ["assignment_id", "a"]).join(rep("b"), ["assignment_id", "b"]))
+    firsts = same.select("assignment_id", F.col("rep").alias("submission_id")).distinct()
+    lines = kept(ld.numbered_lines(texts.join(firsts.hint("merge"), ["assignment_id", "submission_id"], "left_semi")), 16)
+    ops = kept(ld.long_diff(kept(told.select("assignment_id", F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()), lines))
     seq = Window.partitionBy(*ld.PAIR).orderBy("op_no").rowsBetween(Window.unboundedPreceding, -1)
     next_to = lambda s: F.coalesce(F.col(f"{s}_start") == F.coalesce(F.max(f"{s}_end").over(seq), F.lit(0)) + 1, F.lit(True))
     checked = ops.withColumn("in_order", next_to("a") & next_to("b"))
     n = lambda s: F.sum(F.coalesce(F.col(f"{s}_end") - F.col(f"{s}_start") + 1, F.lit(0))).cast("long").alias(f"lines_{s}")
     sums = checked.groupBy(*ld.PAIR).agg(n("a"), n("b"), F.every("in_order").alias("in_order"))
     equal = ops.where("type = 'equal'").select(*ld.PAIR, F.explode(F.sequence(F.lit(0), F.col("a_end") - F.col("a_start"))).alias("k"), "a_start", "b_start")
-    named = lambda s: lines.select("assignment_id", F.col("submission_id").alias(s), F.col("no").alias(f"no_{s}"), F.col("line").alias(f"line_{s}"))
+    line_of = lambda s: lines.select("assignment_id", F.col("submission_id").alias(s), F.col("no").alias(f"no_{s}"), F.col("line").alias(f"line_{s}")).hint("merge")
     placed = equal.select(*ld.PAIR, (F.col("a_start") + F.col("k") - 1).cast("long").alias("no_a"), (F.col("b_start") + F.col("k") - 1).cast("long").alias("no_b"))
-    alike = placed.join(named("a"), ["assignment_id", "a", "no_a"]).join(named("b"), ["assignment_id", "b", "no_b"]).groupBy(*ld.PAIR).agg(F.every(F.col("line_a") == F.col("line_b")).alias("alike"))
-    return sums.join(alike, list(ld.PAIR), "left").select(*ld.PAIR, "lines_a", "lines_b", F.coalesce("alike", F.lit(True)).alias("alike"), "in_order")
+    alike = placed.join(line_of("a"), ["assignment_id", "a", "no_a"]).join(line_of("b"), ["assignment_id", "b", "no_b"]).groupBy(*ld.PAIR).agg(F.every(F.col("line_a") == F.col("line_b")).alias("alike"))
+    facts = sums.join(alike.hint("merge"), list(ld.PAIR), "left").select("assignment_id", F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), "lines_a", "lines_b", F.coalesce("alike", F.lit(True)).alias("alike"), "in_order")
+    return told.join(facts.hint("merge"), ["assignment_id", "rep_a", "rep_b"]).select(*ld.PAIR, "lines_a", "lines_b", "alike", "in_order")
