@@ -12,13 +12,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.fingerprint import code_sets
-from ..sources.durable import drop_folder, kept, make_folder
+from ..operators.fingerprint import code_arrays
+from ..operators.pairs import by_thousands, equal_sets
+from ..sources.durable import drop_folder, kept, make_folder, spread
 from .jobs import run_batches
 
 FAN, BUCKETS = 4, 16
-_INDEX = "assignment_id string, submission_id long, hash long, level int, run int, bucket int"
-_PAIRS = "assignment_id string, a long, b long, shared long, batch int"
+_INDEX = "assignment_id string, submission_id long, hash long, of int, level int, run int, bucket int"
+#: Classes of equal sets of a batch, by their smallest submission_id x, and those of the same batch or an earlier one (of) that they meet; the classes' members, by thousands.
+_PAIRS = "assignment_id string, x long, y long, of int, shared long, batch int"
+_MEMBERS = "assignment_id string, rep long, ids array<long>, batch int"
 
 
 def runs_before(number: int) -> list[tuple[int, int]]:
@@ -53,9 +56,9 @@ def read_runs(spark: SparkSession, folder: str, runs: list[tuple[int, int]]) ->
 
 
 def write_run(rows: DataFrame, folder: str, level: int, run: int) -> None:
-    """Rows (assignment_id, submission_id, hash) as a run, in place of what there was under its name: one file a bucket."""
+    """Rows (assignment_id, submission_id, hash, and of, the number of their batch) as a run, in place of what there was under its name: one file a bucket."""
     bucket = F.pmod("hash", F.lit(BUCKETS)).cast("int")
-    dealt = rows.select("assignment_id", "submission_id", "hash", bucket.alias("bucket")).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "hash")
+    dealt = rows.select("assignment_id", "submission_id", "hash", "of", bucket.alias("bucket")).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "hash")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(_path(folder, level, run))
 
 
@@ -70,26 +73,49 @@ def add_batch(spark: SparkSession, folder: str, sets: DataFrame, number: int) ->
             drop_folder(spark, _path(folder, level - 1, run * FAN + k))
     for level, run in merges_before(number):
         write_run(read_runs(spark, folder, [(level - 1, run * FAN + k) for k in range(FAN)]), folder, level, run)
-    write_run(sets, folder, 0, number)
+    write_run(sets.withColumn("of", F.lit(number)), folder, 0, number)
     own = read_runs(spark, folder, [(0, number)])
     buckets = [r.bucket for r in own.select("bucket").distinct().collect()]  # at most BUCKETS
     return read_runs(spark, folder, runs_before(number)).where(F.col("bucket").isin(buckets))
 
 
+def _expanded(spark: SparkSession, folder: str) -> DataFrame:
+    """assignment_id, a, b, shared of the members of all classes that the batches found to meet. Thousands of members go to a task for each two classes, and only there they become pairs."""
+    for name in ("pairs", "members"):
+        make_folder(spark, f"{folder}/{name}")
+    met, members = spark.read.schema(_PAIRS).parquet(f"{folder}/pairs"), spark.read.schema(_MEMBERS).parquet(f"{folder}/members")
+    side = lambda rep, batch: members.select("assignment_id", F.col("rep").alias(rep), F.col("batch").alias(batch), F.col("ids").alias(f"ids_{rep}")).hint("merge")
+    both = met.join(side("x", "batch"), ["assignment_id", "x", "batch"]).join(side("y", "of"), ["assignment_id", "y", "of"])
+    inside = (F.col("x") == F.col("y")) & (F.col("batch") == F.col("of"))
+    # of two thousands of one class either way round, that with the smaller ids first is enough
+    dealt = both.where(~inside | (F.col("ids_x")[0] <= F.col("ids_y")[0])).withColumn("nth", F.xxhash64(F.col("ids_x")[0], F.col("ids_y")[0]))
+    pairs = spread(dealt, "assignment_id", "x", "y", "nth").select("assignment_id", "shared", inside.alias("inside"), "ids_y", F.explode("ids_x").alias("p")).select("assignment_id", "shared", "inside", "p", F.explode("ids_y").alias("q"))
+    return pairs.where("p < q OR NOT inside AND p > q").select("assignment_id", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared")
+
+
 def stream_candidates(submissions: DataFrame, folder: str) -> DataFrame:
-    """assignment_id, a, b, shared of arriving submissions (KEYS, code, language, file_name) against all that came before and with them; each pair once, when its later side arrives."""
+    """assignment_id, a, b, shared of arriving submissions (KEYS, code, language, file_name) against all that came before and with them; each pair once, when its later side arrives.
+
+    What is written are classes of equal sets, their members, and the pairs of
+    classes: pairs of submissions come of them when they are read, so the
+    folder grows with the submissions and the different sets.
+    """
     spark = submissions.sparkSession
 
     def each(batch: DataFrame, number: int) -> None:
-        sets = kept(code_sets(batch))
+        # rows of a batch are counted on the way to its first shuffle; adaptive execution may drop what comes before one without rows
+        arrays = kept(code_arrays(batch))
+        classes = kept(equal_sets(arrays, ["assignment_id"]).withColumn("rep", F.col("all")[0]))
+        classes.select("assignment_id", "rep", F.explode(by_thousands()).alias("ids")).write.mode("overwrite").parquet(f"{folder}/members/batch={number}")
+        sets = classes.select("assignment_id", F.col("rep").alias("submission_id"), F.explode("hashes").alias("hash"))
         before = add_batch(spark, folder, sets, number)
-        side = lambda rows, name: rows.select("assignment_id", "hash", F.col("submission_id").alias(name))
+        side = lambda rows, name, *of: rows.select("assignment_id", "hash", F.col("submission_id").alias(name), *of)
         # an index is far larger than its files, so it isn't gathered on the driver
-        met = side(sets, "x").join(side(before, "y").hint("merge"), ["assignment_id", "hash"]).where("x <> y")
-        met = met.unionByName(side(sets, "x").join(side(sets, "y").hint("merge"), ["assignment_id", "hash"]).where("x < y"))
-        found = met.groupBy("assignment_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-        found.write.mode("overwrite").parquet(f"{folder}/pairs/batch={number}")
+        met = side(sets, "x").join(side(before, "y", "of").hint("merge"), ["assignment_id", "hash"])
+        met = met.unionByName(side(sets, "x").join(side(sets, "y", F.lit(number).alias("of")).hint("merge"), ["assignment_id", "hash"]).where("x < y"))
+        found = met.groupBy("assignment_id", "x", "y", "of").agg(F.count(F.lit(1)).alias("shared"))
+        alike = classes.where("size(all) > 1").select("assignment_id", F.col("rep").alias("x"), F.col("rep").alias("y"), F.lit(number).alias("of"), F.size("hashes").cast("long").alias("shared"))
+        found.unionByName(alike).write.mode("overwrite").parquet(f"{folder}/pairs/batch={number}")
 
     run_batches(submissions, each, folder)
-    make_folder(spark, f"{folder}/pairs")
-    return spark.read.schema(_PAIRS).parquet(f"{folder}/pairs").drop("batch")
+    return _expanded(spark, folder)
