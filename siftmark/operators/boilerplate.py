@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.durable import kept
-from .pairs import pair_counts
+from .pairs import merged, pair_counts
 
 # Share of submissions from which a hash is boilerplate, and the least number of submissions for that.
 THRESHOLD, LEAST = 0.7, 3
 
 
-def hash_frequency(sets: DataFrame, submissions: DataFrame) -> DataFrame:
-    """assignment_id, hash, occurrences, total, frequency; total counts all submissions, also those without fingerprints."""
+def hash_frequency(sets: DataFrame, submissions: DataFrame, many: bool = False) -> DataFrame:
+    """assignment_id, hash, occurrences, total, frequency; total counts all submissions, also those without fingerprints. many: the assignments are as many as submissions, so their totals aren't sent to every task."""
     totals = submissions.groupBy("assignment_id").agg(F.count(F.lit(1)).alias("total"))
     counts = sets.groupBy("assignment_id", "hash").agg(F.count(F.lit(1)).alias("occurrences"))
-    return counts.join(totals, "assignment_id").select("assignment_id", "hash", "occurrences", "total", (F.col("occurrences") / F.col("total")).alias("frequency"))
+    return counts.join(merged(totals) if many else totals, "assignment_id").select("assignment_id", "hash", "occurrences", "total", (F.col("occurrences") / F.col("total")).alias("frequency"))
 
 
 def boilerplate_stats(frequency: DataFrame, starter: DataFrame | None = None, threshold: float | None = THRESHOLD) -> DataFrame:

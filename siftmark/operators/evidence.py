@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from ..sources.durable import kept
 from .boilerplate import adjusted_pairs, boilerplate_stats, hash_frequency
-from .fingerprint import K, W, fingerprint_counts, fingerprints
-from .pairs import distinct_hashes, shared_hashes
+from .fingerprint import K, W, code_fingerprints
+from .pairs import distinct_hashes, merged
 from .tokens import KEYS, tokenize_any
 from .versions import latest_version
 
@@ -30,7 +30,7 @@ def raw_regions(prints: DataFrame) -> DataFrame:
     """assignment_id, a, b, hash, sa, sb, ea, eb: the first place on either side of every hash that two submissions share."""
     first = prints.groupBy(*KEYS, "hash").agg(F.min_by(F.struct("start_line", "end_line"), "pos").alias("at"))
     of = lambda side: first.select("assignment_id", F.col("submission_id").alias(side), "hash", F.col("at.start_line").alias(f"s{side}"), F.col("at.end_line").alias(f"e{side}"))
-    return of("a").join(of("b"), ["assignment_id", "hash"]).where("a < b").select("assignment_id", "a", "b", "hash", "sa", "sb", "ea", "eb")
+    return of("a").join(merged(of("b")), ["assignment_id", "hash"]).where("a < b").select("assignment_id", "a", "b", "hash", "sa", "sb", "ea", "eb")
 
 
 def matched_regions(raw: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def beginnings(tokens: DataFrame) -> DataFrame:
 
 def _sides(pairs: DataFrame, facts: DataFrame, columns: list[str]) -> DataFrame:
     of = lambda side: facts.select("assignment_id", F.col("submission_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
-    return pairs.join(of("a"), ["assignment_id", "a"], "left").join(of("b"), ["assignment_id", "b"], "left")
+    return pairs.join(merged(of("a")), ["assignment_id", "a"], "left").join(merged(of("b")), ["assignment_id", "b"], "left")
 
 
 def structure_flags(pairs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -181,15 +181,31 @@ def analyze(submissions: DataFrame, starter: DataFrame | None = None, threshold:
 
 
 def analyze_latest(latest: DataFrame, starter: DataFrame | None = None, threshold: float = 0.7, risk_on: str = "raw", k: int = K, w: int = W) -> DataFrame:
-    """analyze() of submissions that are all taken as they are: assignment_id, submission_id, language, file_name, code."""
-    tokens = kept(tokenize_any(latest))
-    prints = kept(fingerprints(tokens, k, w))
+    """analyze() of submissions that are all taken as they are: assignment_id, submission_id, language, file_name, code.
+
+    Tokens go once into the few facts that pairs need of a submission, and
+    fingerprints come of the text itself, so no row of a token is kept.
+    """
+    prints = kept(code_fingerprints(latest, k, w))
+    return _analyzed(latest, prints, kept(_facts(tokenize_any(latest))), starter, threshold, risk_on, False)
+
+
+def _facts(tokens: DataFrame) -> DataFrame:
+    """KEYS, n_tokens, structure_counts() and beginnings() of every submission with a token, in one go over its tokens."""
+    nth = F.row_number().over(Window.partitionBy(*KEYS, F.col("type") == "VAR").orderBy("pos"))
+    in_order = lambda when, value: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("pos", value)))), lambda x: x[value])
+    counts = [F.count_if(F.col("type").isin(*kinds)).alias(name) for name, kinds in STRUCTURES.items()]
+    starts = [in_order(F.col("pos") < FIRST_TYPES, "type").alias("types"), in_order((F.col("type") == "VAR") & (F.col("nth") <= FIRST_NAMES), "original").alias("names")]
+    return tokens.withColumn("nth", nth).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_tokens"), *counts, *starts)
+
+
+def _analyzed(latest: DataFrame, prints: DataFrame, facts: DataFrame, starter: DataFrame | None, threshold: float, risk_on: str, many: bool) -> DataFrame:
     sets = distinct_hashes(prints)
-    stats = boilerplate_stats(hash_frequency(sets, latest), starter, threshold)
+    stats = boilerplate_stats(hash_frequency(sets, latest, many), starter, threshold)
     regions = matched_regions(raw_regions(prints))
-    pairs = adjusted_pairs(sets, stats).join(regions, ["assignment_id", "a", "b"])
+    pairs = adjusted_pairs(sets, stats).join(merged(regions), ["assignment_id", "a", "b"])
     pairs = pairs.withColumns({"n_regions": F.size("regions").cast("long"), "lines_a": line_coverage(F.col("regions"), "a"), "lines_b": line_coverage(F.col("regions"), "b")})
-    pairs = structure_flags(renaming_flag(pairs, beginnings(tokens)), structure_counts(tokens))
+    pairs = structure_flags(renaming_flag(pairs, facts), facts)
     return pairs.withColumns({"evidence": evidence_codes(), "risk": risk_level(F.col(risk_on))})
 
 
@@ -199,7 +215,7 @@ def text_report(texts: DataFrame, k: int = K, w: int = W) -> DataFrame:
     For two texts alone, give them an assignment_id of their own.
     """
     texts = kept(texts)
-    tokens = kept(tokenize_any(texts))
-    counts = fingerprint_counts(texts, tokens, k, w).select("assignment_id", "submission_id", "n_tokens", "n_fingerprints")
-    found = explanation(analyze_latest(texts, k=k, w=w))
+    prints, facts = kept(code_fingerprints(texts, k, w)), kept(_facts(tokenize_any(texts)))
+    counts = facts.select(*KEYS, "n_tokens").join(merged(prints.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_fingerprints"))), list(KEYS))
+    found = explanation(_analyzed(texts, prints, facts, None, 0.7, "raw", True))
     return _sides(found, counts, ["n_tokens", "n_fingerprints"])
