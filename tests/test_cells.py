@@ -51,3 +51,12 @@ def test_sets_without_a_common_hash_have_no_pairs(spark):
     sets = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 3, 1)], SETS)
     assert pairs.pair_counts(sets).count() == 0 and pairs.pair_counts(sets.limit(0)).count() == 0
     assert pairs.candidate_pairs(sets, None).count() == 1
+
+
+def test_pairs_of_copies_are_not_sent_from_python(spark):
+    """A thousand copies of two sets are two million pairs, and few rows of what Python gives back."""
+    rows = spark.range(2000).selectExpr("'a' AS assignment_id", "id AS submission_id", "explode(array(1L, 2L + id % 2)) AS hash")
+    found = pairs.pair_counts(rows)
+    assert "Generate" in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    sums = found.selectExpr("count(*)", "sum(shared)", "count_if(a < b)", "min(size_a)").first()
+    assert tuple(sums) == (1999 * 1000, 1000 * 1000 + 2 * 999 * 1000, 1999 * 1000, 2)
